@@ -52,6 +52,23 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))
 
 
+#: Keys that an anti join may broadcast, 8 bytes each; more of them are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose key isn't in `keys`, a small materialised table of distinct 64-bit keys.
+
+    The keys are counted: while they are few the texts stay where they are, beyond that
+    both sides are shuffled.  Rows with a null key stay.
+    """
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    else:
+        keys = keys.hint("shuffle_hash")
+    return df.join(keys, column, "left_anti")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with about `limit` bytes of text each, one row at least."""
     n = batch.num_rows
