@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontamination, pii, quality, secrets, sharding, simhash, token_counts
+import corpus_pipeline
+from tessera.llm import bpe, decontamination, lm, pii, quality, secrets, sharding, simhash, token_counts, topk
 from tessera.llm.common import table
 
 SHARDS = 128
+NEIGHBOURS = 10
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), NEIGHBOURS)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,8 +56,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_decontamination, op4_sharding, op5_secrets, op6_bpe, op9_simhash, op10_token_counts)}
+    named = {f.__name__: f for f in (op1_pii, op2_quality, op3_decontamination, op4_sharding, op5_secrets, op6_bpe, op7_topk, op8_lm_scoring, op9_simhash, op10_token_counts)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL.format(shards=SHARDS)}
+    return {"op4_sharding": sharding.SQL.format(shards=SHARDS), "op7_topk": topk.SQL.format(k=NEIGHBOURS)}
