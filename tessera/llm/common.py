@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     if n == 0:
         return
     sizes = batch.column(column)
-    lengths = np.asarray(pa.compute.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    lengths = np.asarray(pc.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     ends = np.cumsum(lengths)
     start = 0
     while start < n:
@@ -109,7 +110,7 @@ def map_text(
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and the n+1 offsets; null counts as empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     offsets = offsets.astype(np.int64)

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """One row for each span of personal data in any document."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        piece = piece.filter(pa.compute.match_substring_regex(piece.column("text"), SIEVE).fill_null(False))
+        piece = piece.filter(pc.match_substring_regex(piece.column("text"), SIEVE).fill_null(False))
         ids, texts = piece.column("id"), piece.column("text").to_pylist()
         rows, out = [], []
         for i, text in enumerate(texts):
@@ -181,15 +182,15 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         for batch in batches:
             for piece in slices(batch, where):
                 column = piece.column(where)
-                hit = pa.compute.match_substring_regex(column, SIEVE).fill_null(False)
-                if pa.compute.any(hit).as_py():
+                hit = pc.match_substring_regex(column, SIEVE).fill_null(False)
+                if pc.any(hit).as_py():
                     new = pa.array([redacted(t, threshold) for t in column.filter(hit).to_pylist()], column.type)
-                    text = pa.compute.replace_with_mask(column, hit, new)
+                    text = pc.replace_with_mask(column, hit, new)
                     columns = [*piece.columns]
                     columns[where] = text
                     if length is not None:
-                        sizes = pa.compute.utf8_length(text).cast(piece.column(length).type)
-                        columns[length] = pa.compute.if_else(hit, sizes, piece.column(length))
+                        sizes = pc.utf8_length(text).cast(piece.column(length).type)
+                        columns[length] = pc.if_else(hit, sizes, piece.column(length))
                     piece = pa.record_batch(columns, schema=piece.schema)
                 yield piece
 
