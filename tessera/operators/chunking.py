@@ -134,7 +134,7 @@ _MEMBER = {
     "rust": re.compile(r"^(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)"),
 }
 _MEMBER["javascript"] = _MEMBER["typescript"]
-_NOT_A_NAME = frozenset("if for while switch catch return new else do try throw typeof await function".split())
+_NOT_A_NAME = frozenset("if for while switch catch return else do try throw typeof await function".split())
 
 
 def blank_out(source: str, quotes: str = "\"'`", line: str = "//", block: bool = True) -> str:
@@ -187,7 +187,7 @@ def statements(clean: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
             depth = max(0, depth - 1)
         if depth == 0 and (c == ";" or c in "}\n"):
             rest = clean[i + 1 : i + 40].lstrip(" \t")
-            follows = re.match(r"(?:\s*(?:else|catch|finally|while)\b|[;,.)=])", rest)
+            follows = re.match(r"(?:\s*(?:else|catch|finally|while)\b|from\b|[;,.)=])", rest)
             open_line = c == "\n" and (clean[begin:i].rstrip()[-1:] in ("=", ",", "(", "&", "|", "+", ":", "?", ">") or re.match(r"\s*[{.=|&?:]", clean[i : i + 40]) or clean[begin:i].lstrip().startswith(("@", "#[")))
             if not follows and not open_line:
                 yield begin, i + (c != "\n")
