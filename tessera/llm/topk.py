@@ -242,10 +242,10 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
                             yield took.append_column("shard", pa.array(np.full(len(rows), shard, np.int32)))
 
         visits = materialise(asked.mapInArrow(spread, "vec_id long, x array<double>, kth double, shard int"), "visits")
-        counts = visits.groupBy("shard").count().select("shard", F.ceil(F.col("count") / query_rows).cast("int").alias("parts"))
-        counts = F.broadcast(counts)  # at most MOST_SHARDS rows
-        queries = visits.join(counts, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-        points = placed.join(counts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        counts = [(r["shard"], math.ceil(r["count"] / query_rows)) for r in visits.groupBy("shard").count().collect()]  # at most MOST_SHARDS rows
+        parts = lambda: F.broadcast(spark.createDataFrame(counts, "shard int, parts int"))
+        queries = visits.join(parts(), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        points = placed.join(parts(), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
         def visit(asking: pa.Table, held: pa.Table) -> pa.Table:
             ids, pts = held.column("vec_id").to_numpy(), matrix(held.column("x"), dim)
