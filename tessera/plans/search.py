@@ -35,17 +35,61 @@ def candidates(chunks: DataFrame, files: DataFrame, queries: DataFrame, settings
     return top.where(F.col("similarity") >= settings.similarity_threshold)
 
 
-def rank(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, max_tokens: int | None = None) -> DataFrame:
-    """Reranked, filtered, assembled rows with `rank`."""
-    budget = settings.result_max_tokens if max_tokens is None else (max(1, min(max_tokens, settings.result_max_tokens)) if settings.result_max_tokens < 256 else max(256, min(max_tokens, settings.result_max_tokens)))
+def resolve_budget(max_tokens: int | None, settings: Settings = Settings()) -> int:
+    """The requested budget within its limits; None means the configured one."""
+    top = settings.result_max_tokens
+    return top if max_tokens is None else max(1 if top < 256 else 256, min(max_tokens, top))
+
+
+def stages(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, max_tokens: int | None = None) -> dict[str, DataFrame]:
+    """Every step from candidates to assembled rows, by name, as lazy DataFrames."""
+    out = {"above": cands}
     scored = reranker(cands.drop("rank").join(F.broadcast(queries.select("query_id", "query")), "query_id"))
-    scored = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "chunk_id")))
-    passed = controls.relative_threshold(scored, settings.rerank_relative_factor, settings.rerank_score_floor)
-    distinct = folds.deduplicate(passed)
-    capped = controls.test_filter(distinct, include_tests, max_file_chunks)
-    if settings.hierarchical_assembly_enabled:
-        capped = controls.per_file_controls(capped, settings.max_symbols_per_file)
-    return folds.token_budget(capped, budget, settings.rerank_top_k_output, settings.per_file_budget_ratio, per_file=settings.hierarchical_assembly_enabled)
+    out["scored"] = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "chunk_id")))
+    out["passed"] = controls.relative_threshold(out["scored"], settings.rerank_relative_factor, settings.rerank_score_floor)
+    out["distinct"] = folds.deduplicate(out["passed"])
+    out["capped"] = controls.test_filter(out["distinct"], include_tests, max_file_chunks)
+    hierarchical = settings.hierarchical_assembly_enabled
+    out["controlled"] = controls.per_file_controls(out["capped"], settings.max_symbols_per_file) if hierarchical else out["capped"]
+    out["taken"] = folds.token_budget(out["controlled"], resolve_budget(max_tokens, settings), settings.rerank_top_k_output, settings.per_file_budget_ratio, per_file=hierarchical)
+    return out
+
+
+def rank(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), **options) -> DataFrame:
+    """Reranked, filtered, assembled rows."""
+    return stages(cands, queries, reranker, settings, **options)["taken"]
+
+
+def counters(queries: DataFrame, found: DataFrame, steps: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
+    """(query_id, ...) what each step of `stages` let through and dropped, with outcome and reason, for the search log."""
+    n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    df = queries.select("query_id").join(n(found, "candidates"), "query_id", "left")
+    for step, name in (("above", "above_similarity"), ("passed", "passed_threshold"), ("distinct", "deduplicated_count"), ("capped", "after_tests_and_cap"), ("controlled", "after_per_file")):
+        df = df.join(n(steps[step], name), "query_id", "left")
+    top = steps["scored"].groupBy("query_id").agg(F.max("score").alias("top_score"))
+    kind = lambda df, name: df.where("chunk_type = 'file'").groupBy("query_id").agg(F.count("*").alias(name))
+    relaxed = steps["capped"].groupBy("query_id").agg(F.max("test_filter_relaxed").alias("test_filter_relaxed"))
+    budget = steps["taken"].groupBy("query_id").agg(F.count("*").alias("returned_results"), F.max("budget_used").alias("used_tokens"), F.max("budget_stopped").alias("token_budget_exhausted"), F.max("budget_skipped").alias("per_file_budget_skipped"))
+    for part in (top, kind(steps["distinct"], "files_before"), kind(steps["capped"], "file_chunks_selected"), kind(steps["controlled"], "files_after"), relaxed, budget):
+        df = df.join(part, "query_id", "left")
+    zero = [c for c in df.columns if c not in ("query_id", "top_score", "test_filter_relaxed", "token_budget_exhausted")]
+    df = df.fillna(0, zero).fillna(0.0, ["top_score"]).fillna(False, ["test_filter_relaxed", "token_budget_exhausted"])
+    threshold = F.greatest(F.lit(settings.rerank_score_floor), F.col("top_score") * settings.rerank_relative_factor)
+    state = F.when(F.col("candidates") == 0, "no_candidates").when(F.col("above_similarity") == 0, "below_similarity_threshold").when(F.col("returned_results") == 0, "empty_after_budget").otherwise("ok")
+    # Nothing was taken: because controls left nothing, because de-duplication did, or because the first chunk was too large.
+    reason = F.when(F.col("after_per_file") > 0, "first_chunk_exceeded_budget").when(F.col("deduplicated_count") > 0, "no_results_after_controls").otherwise("no_results_after_dedup")
+    return df.select(
+        "query_id", "candidates", "above_similarity", "passed_threshold", "deduplicated_count", "returned_results", "used_tokens", "token_budget_exhausted", "per_file_budget_skipped", "test_filter_relaxed", "file_chunks_selected",
+        F.bround("top_score", 4).alias("top_score"),
+        F.bround(threshold, 4).alias("threshold"),
+        ((F.col("above_similarity") > 0) & (F.col("top_score") < threshold)).alias("fallback_used"),
+        (F.col("above_similarity") - F.col("passed_threshold")).alias("cut_count"),
+        (F.col("deduplicated_count") - F.col("after_tests_and_cap")).alias("tests_and_files_dropped"),
+        (F.col("file_chunks_selected") - F.col("files_after")).alias("per_file_file_replaced"),
+        (F.col("after_tests_and_cap") - F.col("after_per_file") - F.col("file_chunks_selected") + F.col("files_after")).alias("per_file_symbol_capped"),
+        state.alias("outcome"),
+        F.when(state == "empty_after_budget", reason).alias("reason"),
+    )
 
 
 def search(
@@ -68,14 +112,14 @@ def search(
         filters["directory"] = resolve_directory(directory, project, project_root(files, project) if project else None)
     filters["languages"] = languages_of(file_type, settings)
     cands = candidates(chunks, files, queries, settings, **filters)
-    taken = rank(cands, queries, reranker, settings, include_tests, max_file_chunks, max_tokens).withColumn("is_cross_file_ref", F.lit(False))
+    taken = rank(cands, queries, reranker, settings, include_tests=include_tests, max_file_chunks=max_file_chunks, max_tokens=max_tokens).withColumn("is_cross_file_ref", F.lit(False))
     meta = "context_metadata" in chunks.columns
     imports = F.col("context_metadata.imports") if meta else F.lit(None).cast("array<string>")
     taken = taken.withColumn("imports", imports).withColumn("signature", F.col("context_metadata.signature") if meta else F.lit(None).cast("string"))
     columns = [c for c in RESULT if c != "rank"]
     out = taken.select(*columns, "pos")
     if settings.cross_file_assembly_enabled and project:
-        budget = max_tokens or settings.result_max_tokens
+        budget = resolve_budget(max_tokens, settings)
         refs = references.chunk_refs(taken)
         more = references.cross_file(refs, chunks.drop("project_id"), files, project, budget, settings.cross_file_max_chunks, settings.cross_file_budget_threshold)
         more = more.withColumn("imports", imports).withColumn("pos", F.lit(1_000_000) + F.col("nth"))

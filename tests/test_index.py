@@ -117,6 +117,24 @@ def test_log(spark, tree, tmp_path):
     assert logs.load_baseline(str(tmp_path / "b.json"))["by_category"]["a"]["mrr"] == 1.0 and logs.load_baseline(str(tmp_path / "none")) is None
 
 
+def test_counters(spark):
+    schema = "query_id int, chunk_id int, filepath string, chunk_type string, start_line int, end_line int, chunk_text string, similarity double, token_count long"
+    rows = [
+        (0, 1, "/a.py", "file", 1, 90, "alpha beta", 0.9, 100), (0, 2, "/a.py", "function", 100, 110, "alpha beta gamma delta", 0.8, 100),
+        (0, 3, "/b.py", "function", 1, 9, "alpha beta epsilon", 0.7, 100), (0, 4, "/tests/c.py", "function", 1, 9, "alpha beta zeta eta", 0.7, 100), (0, 5, "/d.py", "function", 1, 9, "nothing", 0.7, 100),
+        (1, 6, "/a.py", "function", 1, 9, "alpha", 0.5, 99999),
+    ]
+    cands = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(0, "alpha beta"), (1, "alpha"), (2, "none")], "query_id int, query string")
+    steps = plan.stages(cands, queries)
+    got = {r["query_id"]: r.asDict() for r in plan.counters(queries, cands, steps).collect()}
+    assert (got[0]["outcome"], got[0]["returned_results"], got[0]["cut_count"], got[0]["per_file_file_replaced"], got[0]["per_file_symbol_capped"], got[0]["used_tokens"]) == ("ok", 2, 1, 1, 0, 300)
+    assert got[0]["tests_and_files_dropped"] == 1 and got[0]["top_score"] == 1.0 and not got[0]["fallback_used"]
+    assert (got[1]["outcome"], got[1]["reason"]) == ("empty_after_budget", "first_chunk_exceeded_budget")
+    assert (got[2]["outcome"], got[2]["reason"], got[2]["candidates"]) == ("no_candidates", None, 0)
+    assert plan.resolve_budget(None) == 8000 and plan.resolve_budget(10) == 256 and plan.resolve_budget(9000) == 8000
+
+
 def test_outcomes(spark):
     q = spark.createDataFrame([(i,) for i in range(4)], "query_id int")
     some = lambda *ids: spark.createDataFrame([(i,) for i in ids], "query_id int")
