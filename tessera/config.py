@@ -17,7 +17,7 @@ class Settings:
     cross_file_assembly_enabled: bool = True
     cross_file_budget_threshold: float = 0.7
     cross_file_max_chunks: int = 3
-    docs_languages: tuple[str, ...] = ("markdown",)
+    docs_languages: tuple[str, ...] = tuple(["markdown"])
     embedding_batch_max_tokens: int = 100_000
     embedding_dimensions: int = 1024
     file_only_max_lines: int = 200
@@ -99,7 +99,7 @@ IGNORED_NAMES: frozenset[str] = frozenset(
     )
 )
 #: A file whose name contains one of these is never read.
-IGNORED_PARTS: tuple[str, ...] = tuple(sorted(("worker-configuration.d.ts", "-env.d.ts", ".map", ".chunk.js", ".bundle.js", ".min.css", ".min.js", ".report.", "-report-")))
+IGNORED_PARTS: tuple[str, ...] = tuple(sorted(("-env.d.ts", ".map", "worker-configuration.d.ts", ".chunk.js", ".bundle.js", ".min.css", ".min.js", ".report.", "-report-")))
 
 #: Ranking instruction of each intent, in our own words.
 INTENTS: dict[str, str] = {
@@ -115,8 +115,8 @@ DEFAULT_INTENT = "implementation"
 INTENT_ALIASES: dict[str, str] = dict(
     sorted(
         {
-            "arch": "architecture", "design": "architecture", "bugfix": "debug", "troubleshoot": "debug", "schema": "definition", "types": "definition",
-            "impl": DEFAULT_INTENT, "perf": "performance", "speed": "performance", "auth": "security", "authz": "security", "calls": "usage", "examples": "usage",
+            "arch": "architecture", "design": "architecture", "bugfix": "debug", "schema": "definition", "troubleshoot": "debug", "types": "definition",
+            "impl": DEFAULT_INTENT, "auth": "security", "perf": "performance", "authz": "security", "speed": "performance", "calls": "usage", "examples": "usage",
         }.items()
     )
 )

@@ -12,8 +12,8 @@ from tessera.config import BUILTIN_TYPES, DEFAULT_INTENT, IGNORED_NAMES, IGNORED
 TOKEN = r"(\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"
 #: What may stand before or after a whole word; \b differs between regex engines.
 EDGE = r"[^\p{L}\p{M}\p{N}_]"
-TEST_PATH = r"(?i)(^|/)(__tests__|tests?)/|\.test\.[^/]+$|\.spec\.[^/]+$"
-TEST_QUERY = rf"(?i)(^|{EDGE})(test|tests|spec|e2e|unit\s+test|integration\s+test|fixture|mock)($|{EDGE})"
+TEST_PATH = r"(?i)(?:^|/)(?:tests?|__tests__)/|\.(?:spec|test)\.[^/]+$"
+TEST_QUERY = rf"(?i)(^|{EDGE})(e2e|fixture|mock|spec|tests?)($|{EDGE})"
 
 
 def _c(x: Column | str) -> Column:
@@ -93,7 +93,7 @@ def token_budget(requested: Column | str, configured: int) -> Column:
 
 def type_refs(signature: Column | str) -> Column:
     """Sorted distinct capitalised names of two characters or more that aren't built in."""
-    found = F.regexp_extract_all(_c(signature), F.lit(r"\b([A-Z][A-Za-z0-9_]{1,})\b"), F.lit(1))
+    found = F.regexp_extract_all(_c(signature), F.lit(r"\b([A-Z]\w+)\b"), F.lit(1))
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*[F.lit(n) for n in sorted(BUILTIN_TYPES)])))
 
 
@@ -104,8 +104,8 @@ def imported_symbols(imports: Column | str) -> Column:
     """
 
     def names(statement: Column) -> Column:
-        braces = F.regexp_extract(statement, r"import\s+(?:type\s+)?\{([^}]+)\}", 1)
-        plain = F.regexp_extract(statement, r"from\s+\S+\s+import\s+(.+?)(?:\s*#|$)", 1)
+        braces = F.regexp_extract(statement, r"import(?:\s+type)?\s+[{]([^}]+)[}]", 1)
+        plain = F.regexp_extract(statement, r"from\s+[^\s]+\s+import\s+([^#\n]+)(?:#|\Z)", 1)
         listed = F.split(F.when(braces != "", braces).otherwise(plain), ",")
         stripped = F.transform(listed, lambda n: strip(F.split(strip(n), " as ")[0]))
         return F.filter(stripped, lambda n: (n != "") & ((n != "*") | (braces != "")))
@@ -115,7 +115,7 @@ def imported_symbols(imports: Column | str) -> Column:
 
 def module_names(imports: Column | str) -> Column:
     """Top-level modules in the order of first mention, of the statements that one of four forms fits."""
-    forms = (r"^import\s+(\w+)", r"^from\s+([\w.]+)\s+import", r"^import\s+['\"](.+?)['\"]", r"^from\s+['\"](.+?)['\"]")
+    forms = (r"^import\s+(\w+)", r"^from\s+([.\w]+)\s+import", *(rf"^{word}\s+[\"'](.+?)[\"']" for word in ("import", "from")))
 
     def module(statement: Column) -> Column:
         s = strip(statement)

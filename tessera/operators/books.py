@@ -15,7 +15,7 @@ from tessera.operators.chunking import count_tokens
 PASSAGE_TOKENS, OVERLAP_TOKENS = 500, 50
 #: Books with a fixed id: a part of the title, and the id.
 KNOWN_BOOKS = (("ai engineering", "ai-engineering"), ("the pragmatic programmer", "pragmatic-programmer"), ("designing data-intensive applications", "ddia"))
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile("(?<=[!?.])" + r"\s+")
 
 
 def is_section(paragraph: str) -> bool:

@@ -56,7 +56,7 @@ class Chunk:
             self.tokens = count_tokens(self.text)
 
 
-# Python ------------------------------------------------------------------------------------
+# == Python ==
 
 
 def _python(source: str) -> tuple[list[str], list[Chunk]]:
@@ -107,7 +107,7 @@ def _python(source: str) -> tuple[list[str], list[Chunk]]:
     return imports, out
 
 
-# Brace languages ---------------------------------------------------------------------------
+# == Brace languages ==
 
 _IMPORT = {
     "typescript": re.compile(r"^import\b"),
@@ -251,7 +251,7 @@ def _braces(source: str, language: str) -> tuple[list[str], list[Chunk]]:
     return imports, declared + inner
 
 
-# SQL and Markdown --------------------------------------------------------------------------
+# == SQL and Markdown ==
 
 _SQL_START = re.compile(r"(?:--[^\n]*\n|/\*.*?\*/|\s)*", re.S)
 _SQL_NAME = re.compile(
@@ -313,7 +313,7 @@ def markdown_sections(source: str) -> list[Chunk]:
     return out
 
 
-# Splitting ---------------------------------------------------------------------------------
+# == Splitting ==
 
 
 def split_lines(chunk: Chunk, limit: int) -> list[Chunk]:

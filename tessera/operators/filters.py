@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 
-#: Files tables beyond this many bytes are joined by a shuffle; Spark decides from its own statistics.
+LOOKUP_ROWS = 10
 
 
 def resolve_directory(directory: str | None, project: str | None, root: str | None) -> str | None:
@@ -24,12 +24,12 @@ def languages_of(file_type: str | None, settings: Settings = Settings()) -> tupl
 def filter_chunks(
     df: DataFrame,
     *,
-    filepath: str | None = None,
+    directory: str | None = None,
+    languages: tuple[str, ...] | list[str] | None = None,
+    project: str | None = None,
     chunk_type: str | None = None,
+    filepath: str | None = None,
     language: str | None = None,
-    project: str | None = None,
-    languages: tuple[str, ...] | list[str] | None = None,
-    directory: str | None = None,
 ) -> DataFrame:
     """Equality, list and prefix filters.  In `directory`, _ and % are wildcards, as in LIKE."""
     for column, value in (("filepath", filepath), ("chunk_type", chunk_type), ("language", language), ("project_id", project)):
@@ -62,16 +62,16 @@ def symbol_lookup(
     files: DataFrame,
     names: list[str],
     project: str,
-    exclude: list[str] | None = None,
-    chunk_types: list[str] | None = None,
-    limit: int = 10,
+    exclude: list[str] | tuple[str, ...] = (),
+    chunk_types: tuple[str, ...] | list[str] | None = None,
+    limit: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """Chunks of these exact symbols in a project, the shortest first.  No names: no rows."""
     df = with_files(chunks.where(F.col("symbol_name").isin(names) if names else F.lit(False)), files.where(F.col("project_id") == project))
     if exclude:
-        df = df.where(~F.col("filepath").isin(exclude))
+        df = df.where(~F.col("filepath").isin(list(exclude)))
     if chunk_types is not None:
-        df = df.where(F.col("chunk_type").isin(chunk_types))
+        df = df.where(F.col("chunk_type").isin(list(chunk_types)))
     return df.orderBy("token_count", "chunk_id").limit(limit)
 
 

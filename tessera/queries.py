@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return register
 
 
-# Views ---------------------------------------------------------------------------------------
+# == Views ==
 
 SLOT = "CAST(floor((d.doc_id % 100) / 20) AS BIGINT)"
 BLOCK = "CAST(floor(d.doc_id / 100) AS BIGINT)"
@@ -92,7 +92,7 @@ def query_vectors(spark: SparkSession, d: str, n: int) -> DataFrame:
     return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
 
 
-# Vector search ---------------------------------------------------------------------------------
+# == Vector search ==
 
 SIM = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
@@ -126,7 +126,7 @@ def vector_topk_batch(spark, d):
     return df.select("query_id", "vec_id", "similarity", "rank")
 
 
-# Ranking controls --------------------------------------------------------------------------------
+# == Ranking controls ==
 
 
 @query(f"""
@@ -144,7 +144,7 @@ def relative_threshold(spark, d):
     return controls.relative_threshold(df).select("query_id", "pos", "vec_id", "score")
 
 
-PATTERN = "'(?i)(^|/)(__tests__|tests?)/|\\.test\\.[^/]+$|\\.spec\\.[^/]+$'"
+PATTERN = "'(?i)(?:^|/)(?:tests?|__tests__)/|\\.(?:spec|test)\\.[^/]+$'"
 
 
 @query(f"WITH {WITH_CANDS} SELECT query_id, pos, filepath FROM v_cand WHERE NOT regexp_matches(replace(filepath, chr(92), '/'), {PATTERN})")
@@ -246,7 +246,7 @@ def jaccard_pairs(spark, d):
     return a.join(b, F.col("a") < F.col("b")).where(j > 0.2).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
-# Lookups and references ----------------------------------------------------------------------------
+# == Lookups and references ==
 
 
 @query(f"""
@@ -259,7 +259,7 @@ def symbol_lookup(spark, d):
 
 
 BUILTIN = ", ".join(f"'{t}'" for t in sorted(fn.BUILTIN_TYPES))
-REFS = f"SELECT doc_id, source, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z0-9_]{{1,}})\\b', 1)), lambda t: t NOT IN ({BUILTIN}))) AS refs FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+REFS = f"SELECT doc_id, source, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z]\\w+)\\b', 1)), lambda t: t NOT IN ({BUILTIN}))) AS refs FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"
 
 
 def _english(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +283,7 @@ SIGNATURE = "concat('fn(a: Sym', CAST((chunk_id * 7) % 37 AS VARCHAR(9)), ', b:
 @query(f"""
 WITH {WITH_CANDS}, r AS (SELECT *, {SIGNATURE} AS signature FROM v_cand WHERE pos <= 3),
 used AS (SELECT query_id, sum(token_count + 50) AS used FROM r GROUP BY query_id HAVING sum(token_count + 50) / 8000.0 < 0.7),
-n AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(signature, '\\b([A-Z][A-Za-z0-9_]{{1,}})\\b', 1)) AS symbol_name FROM r),
+n AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(signature, '\\b([A-Z]\\w+)\\b', 1)) AS symbol_name FROM r),
 w AS (SELECT n.query_id, n.symbol_name, used FROM n JOIN used USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = n.query_id AND r.symbol_name = n.symbol_name)),
 f AS (SELECT w.query_id, used, c.chunk_id, c.filepath, c.symbol_name, c.token_count FROM w JOIN v_chunks c USING (symbol_name) JOIN v_files v ON v.filepath = c.filepath
       WHERE v.project_id = 'src4' AND c.chunk_type IN ('declaration', 'class') AND NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = w.query_id AND r.filepath = c.filepath)),
@@ -295,7 +295,7 @@ def cross_file(spark, d):
     return references.cross_file(rows, v_chunks(spark, d), v_files(spark, d), "src4").select("query_id", "chunk_id", "filepath", "symbol_name")
 
 
-# Statistics --------------------------------------------------------------------------------------
+# == Statistics ==
 
 COUNTS = ", ".join(f"count(*) FILTER (WHERE chunk_type = '{t}') AS {n}" for t, n in stats.TYPES)
 STATS = f"""SELECT language, count(DISTINCT filepath) AS total_files, count(chunk_id) AS total_chunks, count(DISTINCT project_root) AS total_projects,
@@ -359,7 +359,7 @@ def fanout_rollup(spark, d):
     return df.select("o_orderpriority", "parents", "children", F.col("value_repeated").cast("double").alias("value_repeated"), F.col("value_once").cast("double").alias("value_once"))
 
 
-# Writes and comparisons -----------------------------------------------------------------------------
+# == Writes and comparisons ==
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -409,7 +409,7 @@ def atomic_reindex(spark, d):
     return merge.replace_chunks(docs, inc, inc)
 
 
-# Paths and texts -----------------------------------------------------------------------------------
+# == Paths and texts ==
 
 PATHS = "('/r/a.py'), ('/r/A.PY'), ('/r/.py'), ('/r/x.tar.gz'), ('/r/node_modules/a.ts'), ('/r/user.mapper.ts'), ('/r/dist2/b.min.js'), ('/r/dist/b.js'), ('/r/Makefile'), ('/r/q.sql'), ('/r/s-report-1.md'), ('/r/c.yml'), ('/r/Cargo.lock'), ('/r/d/e.tsx'), ('/r/f.d.ts')"
 
@@ -459,7 +459,7 @@ IMPORTS = "(1, 'import os'), (2, 'from a.b.c import d'), (3, 'import \"lib/x\"')
 
 
 @query(f"""
-SELECT id, coalesce(string_split(coalesce(nullif(regexp_extract(trim(s), '^import\\s+(\\w+)', 1), ''), nullif(regexp_extract(trim(s), '^from\\s+([\\w.]+)\\s+import', 1), ''),
+SELECT id, coalesce(string_split(coalesce(nullif(regexp_extract(trim(s), '^import\\s+(\\w+)', 1), ''), nullif(regexp_extract(trim(s), '^from\\s+([.\\w]+)\\s+import', 1), ''),
   nullif(regexp_extract(trim(s), '^import\\s+[''"](.+?)[''"]', 1), ''), nullif(regexp_extract(trim(s), '^from\\s+[''"](.+?)[''"]', 1), '')), '.')[1], '') AS modules FROM (VALUES {IMPORTS}) t(id, s)""")
 def module_names(spark, d):
     df = spark.createDataFrame([(1, "import os"), (2, "from a.b.c import d"), (3, 'import "lib/x"'), (4, 'import { foo } from "drizzle-orm"'), (5, "from 'y.z'"), (6, "  import sys  "), (7, "package x"), (8, "import x.y")], "id int, s string")
@@ -520,7 +520,7 @@ def sentence_passages(spark, d):
     return books.chunk_chapters(chapters).select("book_id", "chunk_index", "token_count")
 
 
-# Books ----------------------------------------------------------------------------------------------
+# == Books ==
 
 
 @query()
@@ -567,7 +567,7 @@ def chapter_title(spark, d):
     return table(spark, d, "pages").select("page_id", fn.chapter_title("page_id", title, *heads).alias("title"))
 
 
-# Logs and metrics -----------------------------------------------------------------------------------
+# == Logs and metrics ==
 
 LOG = """SELECT event_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'no_candidates' WHEN 'purchase' THEN 'below_similarity_threshold' ELSE 'other' END AS outcome,
   value AS duration_ms, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE event_type END AS search_intent, CAST(user_id % 50 AS BIGINT) AS used_tokens FROM events"""
@@ -689,7 +689,7 @@ def intent_contest(spark, d):
     return analytics.intent_contest(items.crossJoin(F.broadcast(docs)).withColumn("score", score))
 
 
-# End to end -----------------------------------------------------------------------------------------
+# == End to end ==
 
 
 @query()

@@ -61,7 +61,7 @@ def parse_html(html: str | None) -> tuple[str, dict[str, str], str]:
     p = _Text()
     p.feed(html or "")
     p.close()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(p.parts)), p.heads, p.title.strip()
+    return re.sub("\n\n\n+", "\n\n", "\n".join(p.parts)), p.heads, p.title.strip()
 
 
 def html_text(html: str | None) -> str | None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +37,11 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def save_baseline(path: str, overall: dict, by_category: list[dict]) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"by_category": {r["category"]: r for r in by_category}, "overall": overall}, f, indent=2, sort_keys=True)
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps({"by_category": {r["category"]: r for r in by_category}, "overall": overall}, indent=2, sort_keys=True), "utf-8")
 
 
 def load_baseline(path: str) -> dict | None:
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    source = Path(path)
+    return json.loads(source.read_text("utf-8")) if source.exists() else None

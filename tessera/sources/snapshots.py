@@ -13,6 +13,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +43,7 @@ class Store:
     def current(self) -> dict[str, str]:
         """Path of each table in the current snapshot."""
         try:
-            with open(self._pointer, encoding="utf-8") as f:
-                return json.load(f)
+            return json.loads(Path(self._pointer).read_text("utf-8"))
         except FileNotFoundError:
             return {}
 
@@ -76,8 +76,7 @@ class Store:
                 at[name] = os.path.join(folder, name)
                 writer.parquet(at[name])
             fresh = f"{self._pointer}.{uuid.uuid4().hex}"
-            with open(fresh, "w", encoding="utf-8") as f:
-                json.dump(at, f)
+            Path(fresh).write_text(json.dumps(at), "utf-8")
             os.replace(fresh, self._pointer)
 
     def reset(self) -> None:

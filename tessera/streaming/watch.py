@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ class TreeReader(SimpleDataSourceStreamReader):
     def roots(self) -> dict[str, str]:
         """Project id to root.  A registry file is read at every poll, so projects may come and go."""
         if self.registry:
-            with open(self.registry, encoding="utf-8") as f:
-                return json.load(f)
+            return json.loads(Path(self.registry).read_text("utf-8"))
         return self.fixed
 
     def initialOffset(self) -> dict:

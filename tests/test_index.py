@@ -4,6 +4,7 @@ import json
 import os
 import time
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,8 +23,7 @@ CODE = "def {name}(value: Widget) -> Result:\n" + "".join(f"    step_{i} = compu
 
 def write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    Path(path).write_text(text, "utf-8")
 
 
 @pytest.fixture
