@@ -16,13 +16,22 @@ def vector_top_k(df: DataFrame, query: list[float], k: int = 50, id_col: str = "
     return top if min_similarity is None else top.where(F.col("similarity") >= min_similarity)
 
 
+#: Queries that are sent to every task; a larger table is paired with the vectors by a shuffle.
+BROADCAST_QUERIES = 20_000
+
+
+def _small(queries: DataFrame) -> DataFrame:
+    """With a broadcast hint, if it has been counted to be small."""
+    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+
+
 def vector_top_k_batch(df: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, similarity, rank) for each row of queries (query_id, query_vector).
 
     Every task keeps the k best of its rows for each query before the shuffle.  Spark's
     WindowGroupLimit does that, so the exchange carries queries * k rows a task.
     """
-    scored = df.where(F.col(vector_col).isNotNull()).crossJoin(F.broadcast(queries)).withColumn("similarity", F.round(cosine(vector_col, "query_vector"), 6))
+    scored = df.where(F.col(vector_col).isNotNull()).crossJoin(_small(queries)).withColumn("similarity", F.round(cosine(vector_col, "query_vector"), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("query_vector")
 

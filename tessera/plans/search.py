@@ -44,7 +44,7 @@ def resolve_budget(max_tokens: int | None, settings: Settings = Settings()) -> i
 def stages(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, max_tokens: int | None = None) -> dict[str, DataFrame]:
     """Every step from candidates to assembled rows, by name, as lazy DataFrames."""
     out = {"above": cands}
-    scored = reranker(cands.drop("rank").join(F.broadcast(queries.select("query_id", "query")), "query_id"))
+    scored = reranker(cands.drop("rank").join(queries.select("query_id", "query"), "query_id"))
     out["scored"] = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "chunk_id")))
     out["passed"] = controls.relative_threshold(out["scored"], settings.rerank_relative_factor, settings.rerank_score_floor)
     out["distinct"] = folds.deduplicate(out["passed"])

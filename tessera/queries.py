@@ -689,6 +689,78 @@ def intent_contest(spark, d):
     return analytics.intent_contest(items.crossJoin(F.broadcast(docs)).withColumn("score", score))
 
 
+@query(f"WITH {WITH} SELECT filepath, project_id, language, loc FROM v_files WHERE filepath IN (SELECT min(filepath) FROM v_files WHERE project_id = 'src7')")
+def point_lookup(spark, d):
+    files = v_files(spark, d)
+    path = files.where("project_id = 'src7'").agg(F.min("filepath")).first()[0]
+    return filters.file_by_path(files, path).select("filepath", "project_id", "language", "loc")
+
+
+@query(f"WITH {WITH} SELECT filepath, concat(language, CAST(loc AS VARCHAR(20))) AS file_hash FROM v_files WHERE project_id = 'src2'")
+def project_hashes(spark, d):
+    files = v_files(spark, d).withColumn("file_hash", F.concat("language", F.col("loc").cast("string")))
+    return filters.project_hashes(files, "src2")
+
+
+@query(f"WITH {WITH} SELECT project_id, count(*) AS chunks FROM v_chunks JOIN v_files USING (filepath) WHERE project_id <> 'src5' GROUP BY 1")
+def project_delete(spark, d):
+    files, chunks = merge.delete_project(v_files(spark, d), v_chunks(spark, d), "src5")
+    return filters.with_files(chunks, files).groupBy("project_id").agg(F.count("*").alias("chunks"))
+
+
+@query(f"WITH {WITH} SELECT chunk_id FROM v_chunks WHERE filepath IN (SELECT filepath FROM v_files WHERE language <> 'markdown')")
+def prune_orphans(spark, d):
+    return merge.prune_orphans(v_chunks(spark, d), v_files(spark, d).where("language <> 'markdown'")).select("chunk_id")
+
+
+STATEMENTS = "(1, 'import {{ Foo, Bar as B }} from x'), (2, 'from a.b import C, D as E  # note'), (3, 'from z import *'), (4, 'from m import (A, B)'), (5, 'import type {{ T }} from y'), (6, 'import os')".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM (VALUES {STATEMENTS}) t(id, s)),
+n AS (SELECT id, s, regexp_extract(s, 'import(?:\\s+type)?\\s+[{{]([^}}]+)[}}]', 1) AS a, regexp_extract(s, 'from\\s+[^\\s]+\\s+import\\s+([^#]+)', 1) AS b FROM s)
+SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(CASE WHEN a <> '' THEN a ELSE b END, ','), lambda x: trim(string_split(trim(x), ' as ')[1])), lambda x: x <> '' AND x <> '*'))), '|') AS symbols FROM n""")
+def imported_symbols(spark, d):
+    df = spark.sql(f"SELECT * FROM VALUES {STATEMENTS} AS t(id, s)")
+    return df.select("id", F.array_join(fn.imported_symbols(F.array("s")), "|").alias("symbols"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id < 300),
+h AS (SELECT doc_id, n, CASE WHEN n % 3 = 2 THEN concat('## ', line) ELSE line END AS line FROM l),
+g AS (SELECT *, sum(CASE WHEN line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM h)
+SELECT doc_id, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, max(CASE WHEN line LIKE '#%' THEN trim(ltrim(line, '#')) END) AS heading, CAST(sum(length(line)) + count(*) - 1 AS INTEGER) AS chars FROM g GROUP BY doc_id, section""")
+def markdown_sections(spark, d):
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = [(i, c.start, c.end, c.symbol, len(c.text)) for i, text in zip(pdf.doc_id, pdf.text) for c in chunking.markdown_sections(text)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start_line", "end_line", "heading", "chars"])
+
+    lines = F.transform(F.split("text", "\n"), lambda line, n: F.when(n % 3 == 1, F.concat(F.lit("## "), line)).otherwise(line))
+    docs = table(spark, d, "documents").where("doc_id < 300").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return docs.mapInPandas(run, "doc_id long, start_line int, end_line int, heading string, chars int")
+
+
+@query()
+def search_log_counters(spark, d):
+    q = query_vectors(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), "query_id")
+    q = q.select("query_id", "query", "query_vector")
+    found = plan.candidates(v_chunks(spark, d), v_files(spark, d), q)
+    return plan.counters(q, found, plan.stages(found, q))
+
+
+@query()
+def lsh_topk(spark, d):
+    return search.lsh_top_k(table(spark, d, "embeddings"), vector(spark, d, 0), 10, "vec_id").select("vec_id", "similarity")
+
+
+@query()
+def sample_scan(spark, d):
+    return filters.sample_chunks(v_chunks(spark, d), v_files(spark, d), "src4", 10, seed=3).select("chunk_id", "filepath", "chunk_type")
+
+
 # == End to end ==
 
 
