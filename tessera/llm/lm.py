@@ -176,10 +176,10 @@ class Room:
 
 
 def scores(rows: np.ndarray, weights: np.ndarray, room: Room) -> np.ndarray:
-    """The sum of the gathered rows: a sparse product.  The first feature is the bias, one row for all."""
+    """The sum of the gathered rows: a sparse product."""
     n = rows.shape[1]
     z, part = room.z[:n], room.part[:n]
-    z[:] = weights[rows[0, 0]]
+    np.take(weights, rows[0], axis=0, out=z, mode="clip")
     for r in rows[1:]:
         np.take(weights, r, axis=0, out=part, mode="clip")
         z += part
@@ -230,8 +230,8 @@ def _descend(rows: np.ndarray, target: np.ndarray, weights: np.ndarray, squares:
     g *= 1 / (g @ _ONES)
     g[np.arange(len(target)), target] -= 1
     whole = weights.view(f"V{4 * weights.shape[1]}")[:, 0]  # a row as one element
-    for k, r in enumerate(rows):
-        at, total = (r[:1], g.sum(0, keepdims=True)) if k == 0 else _sums(g, r, room)
+    for r in rows:
+        at, total = _sums(g, r, room)
         step = squares[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
         squares[at] = step
         total *= (RATE / np.sqrt(step + np.float32(1e-4)))[:, None]
