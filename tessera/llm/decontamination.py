@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_text, materialise, row_key, without
 
-GRAM = 4
-WINDOW = 6
+GRAM = 3
+WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Text of benchmark items that one pass looks for.
