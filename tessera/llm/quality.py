@@ -36,7 +36,7 @@ BUCKETS = 256
 #: Documents that score less are rejected.
 THRESHOLD = 0.5
 HIDDEN, GATE = 32, 16
-EPOCHS, BATCH, RATE, DECAY = 25, 64, 3e-3, 1e-4
+STEPS, BATCH, RATE, DECAY = 1500, 64, 3e-3, 1e-4
 KINDS = 8
 
 _PAIR = (split_mix(np.arange(1 << 16), 11) % np.uint64(BUCKETS)).astype(np.int64)
@@ -108,7 +108,7 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 7)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     model = Model(x.mean(0), p)
     start, step = np.cumsum(counts) - counts, 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(counts))
         for s in range(0, len(order), BATCH):
             bags = order[s : s + BATCH]
