@@ -189,7 +189,9 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     """(vec_id, rank, neighbor_id, distance) of the k nearest others of every vector."""
     spark = vectors.sparkSession
     out = "vec_id long, rank int, neighbor_id long, distance double"
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
+    # Single precision is shuffled as such; distances are always computed in double.
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
     raw = raw.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     sizes = raw.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
@@ -204,7 +206,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
             if b.num_rows:
                 yield b.append_column("shard", pa.array(splitter.shard(matrix(b.column("x"), dim)).astype(np.int32)))
 
-    placed = materialise(clean.mapInArrow(place, "vec_id long, x array<double>, shard int"), "vectors")
+    placed = materialise(clean.mapInArrow(place, f"vec_id long, x {kind}, shard int"), "vectors")
 
     def home(part: pa.Table) -> pa.Table:
         ids, points = part.column("vec_id").to_numpy(), matrix(part.column("x"), dim)
@@ -241,7 +243,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
                             took = part.select(["vec_id", "x", "kth"]).take(pa.array(rows))
                             yield took.append_column("shard", pa.array(np.full(len(rows), shard, np.int32)))
 
-        visits = materialise(asked.mapInArrow(spread, "vec_id long, x array<double>, kth double, shard int"), "visits")
+        visits = materialise(asked.mapInArrow(spread, f"vec_id long, x {kind}, kth double, shard int"), "visits")
         counts = [(r["shard"], math.ceil(r["count"] / query_rows)) for r in visits.groupBy("shard").count().collect()]  # at most MOST_SHARDS rows
         parts = lambda: F.broadcast(spark.createDataFrame(counts, "shard int, parts int"))
         queries = visits.join(parts(), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
