@@ -33,7 +33,8 @@ DIGITS = re.compile(r"(?:\+\s?)?\(?\d[\d ().\-]{5,}\d")
 CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")
 IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
 SSN = re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])")
-PHONE_PLUS = re.compile(r"\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){0,4}(?!\d)|\+\d{8,15}(?!\d)")
+#: North American numbers have a fixed length; others end where their groups do.
+PHONE_PLUS = re.compile(r"\+\s?1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){0,4}(?!\d)|\+\d{8,15}(?!\d)")
 PHONE_LOCAL = re.compile(r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 
