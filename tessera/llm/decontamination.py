@@ -1,17 +1,18 @@
-"""Operator 3, benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 3, benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 Both sides are words, lower case, without punctuation.  One pass over the documents finds every
-place where GRAM words in a row also stand in an item, and cuts out the passage around it:
-as far to each side as the item may reach.  Document counts of those n-grams, taken over the
-whole corpus, say which are rare: of every WINDOW n-grams in a row of an item the rarest is a
-seed.  Passages with a seed of the item are aligned with it, word against word, by
-Smith-Waterman (MATCH, MISMATCH, GAP).  The score is the best local alignment as a share of
-the item aligned with itself; MIN_SCORE or more is a leak.
-
-Seeds are chosen relative to their neighbours, so no n-gram is too frequent to serve and
-thousands of copies of an item are all found.  The items are gathered on the driver in parts of
-at most ITEM_BYTES of text, one pass over the documents for each part.
-
+place where GRAM words in a row also stand in an item, and cuts out the passage around it: as
+far to each side as an alignment that scores enough can reach.  A passage is dropped only where
+its words, or the item's, can't reach the score in any order; all others are aligned with the
+item, word against word, by Smith-Waterman (MATCH, MISMATCH, GAP).  The score is the best local
+alignment as a share of the item aligned with itself; MIN_SCORE or more is a leak.
+
+Every shared n-gram is a seed, so none is too frequent to serve, thousands of copies of an item
+are all found, and a single edited copy needs GRAM intact words in a row, no more.  The items are
+gathered on the driver in parts of at most ITEM_BYTES of text, one pass over the documents for
+each part.
+
+* An alignment without GRAM intact words in a row isn't found, whatever its score.
 * Null and empty texts leak nothing.  Items of fewer than GRAM words, null ones too, match nothing:
   so few words are no evidence.
 * Repeated documents, or several with the same id, give one row for each id and item: the best score.
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_text, materialise, row_key, without
 
 GRAM = 3
-WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Text of benchmark items that one pass looks for.
 ITEM_BYTES = 32 << 20
+#: Cells of one row of the matrices that are filled at a time.
+CELLS = 1 << 18
 WORD = re.compile(r"\w+")
 OUT = "doc_id long, item_id long, score double, start_word int, end_word int"
 
@@ -59,10 +61,11 @@ class Items:
         self.number = {w: k for k, w in enumerate(names)}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws in listed]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
         grams = [self.codes(w) for w in self.words]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.codes_sorted, inverse = np.unique(flat, return_inverse=True)
-        self.grams = np.split(inverse, np.cumsum([len(g) for g in grams])[:-1]) if grams else []
         # occurrences of each n-gram: (item, place), those of n-gram g at first[g] to first[g + 1]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -79,18 +82,28 @@ class Items:
                 code = code * base + words[k : len(words) - GRAM + 1 + k].astype(np.uint64)
         return code
 
-    def seeds(self, df: np.ndarray) -> list[np.ndarray]:
-        """For each item, the rarest n-gram of every WINDOW in a row; the first of equals."""
-        out = []
-        for g in self.grams:
-            w = min(WINDOW, len(g))
-            windows = np.lib.stride_tricks.sliding_window_view(df[g], w)
-            out.append(np.unique(g[np.arange(len(windows)) + windows.argmin(1)]))
-        return out
 
+def _highest(hit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The best that any run of words in each list can score, if each hit were a match and nothing else; no count is 0."""
+    ends = np.cumsum(counts + 1)
+    first = ends - counts - 1
+    gain = np.zeros(ends[-1], np.int64)
+    rest = np.ones(ends[-1], bool)
+    rest[first] = False  # each list begins with a 0
+    gain[rest] = np.where(hit, MATCH, max(MISMATCH, GAP))
+    total = np.cumsum(gain)
+    # each list lies far below the one before, so that the running minimum begins anew
+    total -= np.repeat(np.arange(len(counts)) * (2 * MATCH * len(gain) + 1), counts + 1)
+    return np.maximum.reduceat(total - np.minimum.accumulate(total), first)
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... up to counts[0] of them, then those of first[1]."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
 
-def passages(piece: pa.RecordBatch, items: Items) -> pa.RecordBatch | None:
-    """(doc_id, item, start, words, grams) around each place that shares an n-gram with an item."""
+
+def passages(piece: pa.RecordBatch, items: Items, min_score: float = MIN_SCORE) -> pa.RecordBatch | None:
+    """(doc_id, key, item, start, words) around each place that shares an n-gram with an item and may score enough."""
     texts = piece.column("text").to_pylist()
     words = [words_of(t) if t else [] for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -121,29 +134,40 @@ def passages(piece: pa.RecordBatch, items: Items) -> pa.RecordBatch | None:
     times = items.first[gram + 1] - items.first[gram]
     which = np.repeat(np.arange(len(at)), times)
     occ = np.repeat(items.first[gram], times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    at, doc, gram, item = at[which], doc[which], gram[which], items.item[occ]
+    at, doc, item = at[which], doc[which], items.item[occ]
     lead = at - items.place[occ]  # where the item would begin
     order = np.lexsort((lead, item, doc))
-    at, doc, gram, item, lead = at[order], doc[order], gram[order], item[order], lead[order]
+    doc, item, lead = doc[order], item[order], lead[order]
     # hits whose beginnings lie within half an item of the one before share a passage
-    fresh = np.ones(len(at), bool)
+    fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lead[1:] - lead[:-1] > items.lengths[item[1:]] // 2 + 1)
     begin = np.flatnonzero(fresh)
-    stop = np.append(begin[1:], len(at))
-    rows, its, starts, found, grams = [], [], [], [], []
-    for b, e in zip(begin.tolist(), stop.tolist()):
-        d, it = int(doc[b]), int(item[b])
-        lo, hi = int(ends[d] - counts[d]), int(ends[d])
-        slack = int(items.lengths[it]) // 2 + 1
-        s, t = max(lo, int(lead[b]) - slack), min(hi, int(lead[e - 1]) + int(items.lengths[it]) + slack)
-        rows.append(d)
-        its.append(it)
-        starts.append(s - lo)
-        found.append(flat[s:t].astype(np.int32))
-        grams.append(np.unique(gram[b:e]).astype(np.int32))
+    last = lead[np.append(begin[1:], len(lead)) - 1]
+    doc, item, lead = doc[begin], item[begin], lead[begin]
+    size = items.lengths[item]
+    # words that the text has besides the item's cost a GAP each, and so many can be paid for
+    slack = np.floor(size * MATCH * (1 - min_score) / -GAP).astype(np.int64) + 1
+    s, t = np.maximum(ends[doc] - counts[doc], lead - slack), np.minimum(ends[doc], last + size + slack)
+    # words of a passage that stand in the item, and of the item that stand in the passage
+    width = np.int64(len(items.number) + 1)
+    here = flat[_ranges(s, t - s)]
+    has = np.repeat(np.arange(len(s)), t - s) * width + here
+    has = np.unique(has[here >= 0])
+    theirs = items.flat[_ranges(items.offsets[item], size)]
+    need = np.repeat(np.arange(len(s)), size) * width + theirs
+    there = has[np.minimum(np.searchsorted(has, need), len(has) - 1)] == need
+    wanted = np.unique(need)
+    mine = np.repeat(np.arange(len(s)), t - s) * width + here
+    inside = (here >= 0) & (wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine)
+    most = np.minimum(_highest(inside, t - s), _highest(there, size))
+    keep = np.flatnonzero(most >= min_score * MATCH * size - 1e-9)
+    if not len(keep):
+        return None
+    doc, item, s, t = doc[keep], item[keep], s[keep], t[keep]
+    found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t - s)]), pa.int32()), pa.array(flat[_ranges(s, t - s)], pa.int32()))
     return pa.record_batch(
-        [piece.column("id").take(pa.array(rows)), piece.column("key").take(pa.array(rows)), pa.array(its, pa.int32()), pa.array(starts, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int32()))],
-        names=["doc_id", "key", "item", "start", "words", "grams"],
+        [piece.column("id").take(pa.array(doc)), piece.column("key").take(pa.array(doc)), pa.array(item, pa.int32()), pa.array(s - ends[doc] + counts[doc], pa.int32()), found],
+        names=["doc_id", "key", "item", "start", "words"],
     )
 
 
@@ -180,22 +204,20 @@ def smith_waterman(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.
     return best, best_from, best_end
 
 
-def _align(found: DataFrame, items: Items, seeds: list[np.ndarray], min_score: float) -> DataFrame:
-    seed_sets = [frozenset(s.tolist()) for s in seeds]
-
+def _align(found: DataFrame, items: Items, min_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item = batch.column("item").to_numpy()
-            words, grams = batch.column("words"), batch.column("grams")
+            words = batch.column("words")
             start = batch.column("start").to_numpy()
             rows, score, lo, hi = [], [], [], []
             for it in np.unique(item).tolist():
-                mine = [k for k in np.flatnonzero(item == it).tolist() if not seed_sets[it].isdisjoint(grams[k].as_py())]
-                mine.sort(key=lambda k: len(words[k]))
-                for s in range(0, len(mine), 256):
-                    part = mine[s : s + 256]
+                mine = sorted(np.flatnonzero(item == it).tolist(), key=lambda k: -len(words[k]))
+                while mine:
+                    n = max(1, CELLS // len(words[mine[0]]))
+                    part, mine = mine[:n], mine[n:]
                     lists = [words[k].values.to_numpy() for k in part]
-                    texts = np.full((len(part), max(map(len, lists))), -2, np.int64)
+                    texts = np.full((len(part), len(lists[0])), -2, np.int64)
                     for r, w in enumerate(lists):
                         texts[r, : len(w)] = w
                     best, begin, end = smith_waterman(items.words[it], texts)
@@ -234,14 +256,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
             continue
         given = spark.sparkContext.broadcast(items)  # bounded by item_bytes
         found = materialise(
-            map_text(source, passages, "doc_id long, key long, item int, start int, words array<int>, grams array<int>", setup=lambda g=given: g.value),
+            map_text(source, lambda piece, items: passages(piece, items, min_score), "doc_id long, key long, item int, start int, words array<int>", setup=lambda g=given: g.value),
             "passages",
         )
-        counts = found.select("key", F.explode("grams").alias("gram")).groupBy("gram").agg(F.countDistinct("key").alias("df")).collect()  # at most one row for each n-gram of the items
-        df = np.zeros(len(items.codes_sorted), np.int64)
-        for r in counts:
-            df[r["gram"]] = r["df"]
-        out = out.unionByName(_align(found, items, items.seeds(df), min_score))
+        out = out.unionByName(_align(found, items, min_score))
     return out
 
 

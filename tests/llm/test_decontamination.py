@@ -86,3 +86,19 @@ def test_awkward(spark, awkward, none):
     empty = bench.where("false")
     assert dc.leaks(awkward, empty).count() == 0 and dc.decontaminate(awkward, empty).count() == len(AWKWARD)
     assert dc.leaks(awkward, bench.where("item_id = 4")).count() == 0
+
+
+def test_single_edited_copies(spark):
+    """One edited copy of each item, alone and beside verbatim ones; four words in a row are intact at most."""
+    replaced = [" ".join("other" if k % 5 == 4 else w for k, w in enumerate(i.split())) for i in ITEMS]
+    inserted = [" ".join(f"{w} other other" if k % 4 == 3 else w for k, w in enumerate(i.split())) for i in ITEMS]
+    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    for copies in (replaced, inserted):
+        docs = [f"{noise(30)} {c} {noise(30)}" for c in copies]
+        for verbatim in (0, 3):
+            rows = [document(d, t) for d, t in enumerate(docs)] + [document(100 + k, i) for i in ITEMS for k in range(verbatim)]
+            df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+            got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.leaks(df, bench).collect()}
+            for d, text in enumerate(docs):
+                item = dc.words_of(ITEMS[d])
+                assert got.get((d, d)) == round(align(item, dc.words_of(text)) / (dc.MATCH * len(item)), 6)
