@@ -70,6 +70,23 @@ def test_cells_against_all_pairs():
     assert got == set(zip(a.tolist(), b.tolist())) and len(got) == len(i)
 
 
+def test_isolated_pairs_share_cells_whatever_the_number_of_pivots(spark):
+    """Pairs at the radius, with the pivots of 10,000, 1 million and 10 million vertices."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 64, (400, 2), dtype=np.uint64)
+    mask = np.zeros((400, 128), np.uint8)
+    for row in mask:
+        row[rng.choice(128, simhash.RADIUS, replace=False)] = 1
+    fp = np.concatenate([a, a ^ np.packbits(mask, axis=1).view("<u8")]).view(np.int64).tolist()
+    vertices = spark.createDataFrame([((n, 0), hi, lo) for n, (hi, lo) in enumerate(fp)], "v struct<id:long,key:long>, hi long, lo long")
+    for n in (10_000, 1_000_000, 10_000_000):
+        pivots = rng.integers(0, 1 << 64, (int(8 * n**0.5), 2), dtype=np.uint64)
+        cells = {}
+        for r in simhash._cells(vertices, pivots).select("pivot", "v.id").collect():
+            cells.setdefault(r["id"], set()).add(r["pivot"])
+        assert np.mean([not cells[k].isdisjoint(cells[k + 400]) for k in range(400)]) >= 0.96, n
+
+
 def test_components(spark):
     v = "struct<id:long,key:long>"
     rng = random.Random(9)
