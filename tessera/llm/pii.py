@@ -31,10 +31,17 @@ EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+
 #: Any run of digits with the separators that numbers are written with.
 DIGITS = re.compile(r"(?:\+\s?)?\(?\d[\d ().\-]{5,}\d")
 CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")
+#: A digit run by its groups; one card may stand between other numbers.
+GROUPED = re.compile(r"(?<!\d)\d+(?:[ -]\d+)*")
+GROUP = re.compile(r"\d+")
+#: Groups of fewer digits aren't tried as part of a run, so that tables of small numbers aren't cards.
+CARD_GROUP = 3
 IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
 SSN = re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])")
 #: North American numbers have a fixed length; others end where their groups do.
 PHONE_PLUS = re.compile(r"\+\s?1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){0,4}(?!\d)|\+\d{8,15}(?!\d)")
+#: Numbers of other countries with groups of up to 8 digits; the last ones may belong to another number.
+PHONE_GROUPS = re.compile(r"(?!\+\s?1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d))\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{2,8}){0,4}(?!\d)")
 PHONE_LOCAL = re.compile(r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 
@@ -48,10 +55,15 @@ NEAR = {
 }
 WORDS = {k: tuple(re.compile(r"\b(?:" + "|".join(map(re.escape, w)) + r")\b", re.I) if w else None for w in pair) for k, pair in NEAR.items()}
 IBAN_LENGTH = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
-    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27,
-    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24,
-    "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
 }
 
 
@@ -88,6 +100,22 @@ def context(text: str, kind: str, start: int, end: int) -> float:
     return (0.2 if good.search(around) else 0.0) - (0.3 if bad and bad.search(around) else 0.0)
 
 
+def cards(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of 13 to 19 digits from group to group that pass Luhn, wherever in a run they stand."""
+    for run in GROUPED.finditer(text, start, stop):
+        groups = [m.span() for m in GROUP.finditer(text, *run.span())]
+        for k, (a, _) in enumerate(groups):
+            if a and text[a - 1] == "+":
+                continue
+            digits = ""
+            for c, d in groups[k:]:
+                digits += text[c:d]
+                if d - c < CARD_GROUP or len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn(digits) and len(set(digits)) > 1:
+                    yield a, d
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
     """(kind, start, end, score before context) of what the expressions find and the checksums confirm."""
     at = text.find("@")
@@ -106,6 +134,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
             digits = re.sub(r"\D", "", m[0])
             if luhn(digits) and len(set(digits)) > 1:
                 yield "card", m.start(), m.end(), 0.8 if issuer(digits) else 0.45
+        for a, b in cards(text, run.start(), hi):
+            yield "card", a, b, 0.8 if issuer(re.sub(r"\D", "", text[a:b])) else 0.45
         for m in IPV4.finditer(text, run.start(), hi):
             if all(int(x) < 256 for x in m[0].split(".")):
                 yield "ipv4", m.start(), m.end(), 0.7
@@ -116,6 +146,12 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
         for m in PHONE_PLUS.finditer(text, run.start(), hi):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end(), 0.75
+        for m in PHONE_GROUPS.finditer(text, run.start(), hi):
+            end = m.end()
+            while sum(c.isdigit() for c in text[m.start() : end]) > 15:  # without the last groups
+                end = max(text.rfind(c, m.start(), end) for c in " .-")
+            if sum(c.isdigit() for c in text[m.start() : end]) >= 8:
+                yield "phone", m.start(), end, 0.75
         for m in PHONE_LOCAL.finditer(text, lo, hi):
             yield "phone", m.start(), m.end(), 0.65
     for m in IBAN.finditer(text):

@@ -19,6 +19,28 @@ def test_spans():
     assert kinds("release version 1.2.3.4 of it") == []  # context takes it below the threshold
 
 
+def test_cards_beside_other_numbers():
+    card = "4111 1111 1111 1111"
+    for text in (f"{card} 12/27", f"{card} 123", f"{card} 1234", f"no. 8812 {card} 123", f"2024-01-15 {card}", "4111111111111111 123"):
+        assert [s for k, s in kinds(text) if k == "card"] == [card if " 1111" in text else "4111111111111111"], text
+    assert kinds("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 3 9 7 5") == []
+
+
+def test_phones_with_long_groups():
+    for number in ("+44 7911 123456", "+49 30 12345678", "+49 170 1234567", "+49 30 1234 567890", "+33 1 23 45 67 89"):
+        assert kinds(f"so {number} then") == [("phone", number)], number
+    assert kinds("so +44 20 7946 0958 1234567 then") == [("phone", "+44 20 7946 0958")]
+    assert kinds("so +1 415 555 0199 1234 then") == [("phone", "+1 415 555 0199")]
+
+
+def test_ibans_of_the_registry():
+    ibans = "UA213223130000026007233566001 RS35260005601001611379 BA391290079401028494 GE29NB0000000101904917 BR1800360305000010009795493C1 QA58DOHB00001234567890ABCDEFG KW81CBKU0000000000001234560101 PK36SCBL0000001123456702"
+    for iban in ibans.split():
+        spaced = " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))
+        assert kinds(f"to {iban}.") == [("iban", iban)] and kinds(f"to {spaced}.") == [("iban", spaced)], iban
+        assert kinds(f"to {iban[:-1]}{(int(iban[-1], 36) + 1) % 10}.") == [] or not iban[-1].isdigit(), iban
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
