@@ -1,32 +1,40 @@
 """Operator 8, LM scoring with a hashed maximum-entropy model.
 
-The probability of a word is P(class | context) * P(word | class, context), both log-linear in
-hashed features of the context: the word before, the two before, and the second before with the
-nearest skipped, besides a bias.  Words are the VOCABULARY most frequent
-of the whole corpus; all others share hashed buckets, which are the last words.  Classes are
-consecutive ranks, CLASSES of equal size.
-
-Training goes through the whole corpus once, in ROUNDS disjoint parts by document hash.  In a
-round every task starts from the same weights, makes gradient steps over all its documents
-(AdaGrad, a step size for each feature), and returns what it changed; the changes are summed
-by feature across tasks, shared out over blocks of features, and divided by the number of
-tasks that saw the feature.  Scoring is a second pass in sparse numpy batches: rows of the
-weight matrices are gathered by feature, never a dense feature vector.  Words are coded once and
-the codes kept in the scratch folder for all passes.
-
-Results: (doc_id, n_words, logprob, perplexity), natural logarithm, per whole text.
+The probability of a word is a product down a tree of classes of `width` branches a node: class,
+member and type, each a softmax that is log-linear in hashed features of the context: the word
+before, the two before, and the second before with the nearest skipped.  A node's bias is the
+log of its share in the corpus.  The types are the most frequent words, one each, and width ** 2
+buckets of all other words by hash; a softmax of the same form parts a bucket into `width`
+leaves, and the distinct words that the corpus has in a leaf share its probability equally.  So
+every word of the corpus has a probability, and they sum to 1.
+
+The model grows with the corpus of n words: there are about 8 * n^0.45 types, and the hashed rows
+are as many as the words.  So the weights are never in one place.  They are parted by context:
+every position goes, with the two words before it, to the block of its context, BLOCK positions
+or so, and there all features of that context live.  A block is trained by gradient steps over its
+positions (AdaGrad, a step size for each row, in batches, in an order drawn by hash) and then
+scores the same positions in sparse numpy batches: rows are gathered by feature, never a dense
+feature vector.  Blocks train side by side, and what comes back is one sum for each task and
+document.  A frequent word has as many blocks as its count calls for, parted by the word before
+it, and where that is frequent too, by the document's content; so no block grows with the
+corpus, and equal documents meet in the same blocks.
+
+Which positions a block holds, their order and the model are functions of the corpus alone, so
+scores don't depend on the partitioning.  Sent to every task: the types, about 30 bytes each, and
+the words that occur more than BLOCK times, of which there are n / BLOCK at most.
+
+Results: (doc_id, n_words, logprob, perplexity), natural logarithm, per whole text, rounded to
+6 places.
 
 * Null and empty texts, and texts without a word: 0 words, null logprob and perplexity.
 * Repeated rows are trained on as often as they occur and get the same score.
-* With no word in the whole corpus there is no model and every score is null.
+* With no word in the whole corpus every score is null.
 * An empty table gives an empty result; other columns don't matter, whatever their names.
-
-What a task changes depends on which documents it holds, so scores vary slightly with the
-partitioning; for a given layout they are the same each time.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,15 +49,16 @@ from tessera.llm.common import map_text, materialise, slices, split_mix, utf8_bu
 
 #: Taken off both ends of a word; what is nothing else stays as it is.
 MARKS = ".,;:!?*&%$#|()[]{}<>\"'`~^_=+/\\-"
-CLASSES, MEMBERS = 32, 32
-#: Hashed buckets of the words beyond the vocabulary.
-RARE = 64
-VOCABULARY = CLASSES * MEMBERS - RARE
-#: Rows of each weight matrix.
-ROWS = 1 << 14
-ROUNDS, BATCH, RATE = 2, 4096, 0.1
-FEATURES = 4
-BLOCK = 256
+#: Types are about TYPES[0] * n ** TYPES[1].
+TYPES = (8, 0.45)
+#: Positions of a block, on average.
+BLOCK = 1 << 17
+EPOCHS, BATCH, RATE = 1, 4096, 0.2
+#: Levels of the tree down to a type; the one below parts the words of a bucket.
+FEATURES, LEVELS = 3, 3
+#: Score of what can't occur; scores are held below HIGHEST, so that exp stays finite.
+NEVER, HIGHEST = np.float32(-40), np.float32(60)
+_U = np.uint64
 
 
 def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,52 +72,36 @@ def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum())), counts
 
 
-def contexts(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(FEATURES, n) hashes of each word's context; words before the start of a text are 0.  The first is the bias."""
-    n = len(codes)
-    start = np.repeat(np.cumsum(counts) - counts, counts)
-    place = np.arange(n) - start
-    back = []
+def before(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code + 1 of the word before each, and of the one before that; 0 before the start of a text."""
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = []
     for k in (1, 2):
-        w = np.zeros(n, np.uint64)
-        if n > k:
-            w[k:] = codes[:-k] + 1
+        w = np.zeros(len(codes), np.int64)
+        w[k:] = codes[:-k] + 1
         w[place < k] = 0
-        back.append(w)
-    a, b = back
-    with np.errstate(over="ignore"):
-        return np.stack([np.full(n, 77, np.uint64), split_mix(a, 1), split_mix(split_mix(b, 2) + a, 2), split_mix(b, 3)])
-
+        out.append(w)
+    return out[0], out[1]
 
-@dataclass
-class Lexicon:
-    """Vocabulary codes, sorted, with their ranks."""
 
-    codes: np.ndarray
-    rank: np.ndarray
-
-    def numbers(self, codes: np.ndarray) -> np.ndarray:
-        """Word number, 0 to CLASSES * MEMBERS - 1, of each code."""
-        rare = VOCABULARY + (split_mix(codes, 9) % np.uint64(RARE)).astype(np.int64)
-        if not len(self.codes):
-            return rare
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.rank[at], rare)
+def contents(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number for the words of each text, whatever their order."""
+    ends = np.concatenate([np.zeros(1, _U), np.cumsum(split_mix(codes, 4))])
+    stop = np.cumsum(counts)
+    return split_mix(ends[stop] - ends[stop - counts], 6)
 
 
-def coded(docs: DataFrame, rounds: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, part, codes): each text's word codes as the bytes of uint32, null for a null text, and its round."""
+def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, codes): a number for each row, and its word codes as the bytes of uint32, null for a null text."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        column = piece.column("text")
-        codes, counts = tokenize(column.to_pylist())
+        codes, counts = tokenize(piece.column("text").to_pylist())
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
         data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(codes.astype("<u4").tobytes())])
-        return pa.record_batch([piece.column("id"), piece.column("part"), data], names=["doc_id", "part", "codes"])
+        return pa.record_batch([piece.column("row"), piece.column("id"), data], names=["row", "doc_id", "codes"])
 
-    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)).cast("int")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text"))
-    return materialise(map_text(source, run, "doc_id long, part int, codes binary"), "codes")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return materialise(map_text(source, run, "row long, doc_id long, codes binary"), "codes")
 
 
 def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +110,8 @@ def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), np.diff(offsets) >> 2
 
 
-def lexicon(codes: DataFrame) -> tuple[Lexicon, int]:
-    """The most frequent words of all documents, and the number of words."""
+def counted(codes: DataFrame) -> DataFrame:
+    """(code, n) of every word; code -1 is the start of a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
@@ -129,203 +122,315 @@ def lexicon(codes: DataFrame) -> tuple[Lexicon, int]:
             return pa.record_batch([pa.array(code), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            parts.append(unpack(batch.column("codes"))[0])
-            held += len(parts[-1])
+            words, counts = unpack(batch.column("codes"))
+            parts += [words, np.full(np.count_nonzero(counts), -1)]
+            held += len(words)
             if held > 8_000_000:
                 yield flush()
                 parts, held = [], 0
         if held:
             yield flush()
 
-    counted = materialise(codes.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "code").limit(VOCABULARY).collect()
-    listed = np.array([r["code"] for r in top], np.int64)
-    order = np.argsort(listed)
-    return Lexicon(listed[order], order.astype(np.int64)), total
+    return materialise(codes.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
+
+
+def branches(total: int) -> int:
+    """Branches of each node of the tree, for a corpus of so many words."""
+    return max(4, round((TYPES[0] * total ** TYPES[1]) ** (1 / LEVELS)))
 
 
 @dataclass
-class Weights:
-    """One row a hashed feature: scores of the classes, and of the members of the class it is paired with."""
-
-    by_class: np.ndarray
-    by_word: np.ndarray
-
-    @staticmethod
-    def zeros() -> "Weights":
-        return Weights(np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, MEMBERS), np.float32))
-
-
-def rows_of(ctx: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(FEATURES, n) row numbers in either matrix of each word's features."""
-    mask = np.uint64(ROWS - 1)
-    return (ctx & mask).astype(np.int64), (split_mix(ctx ^ (cls.astype(np.uint64) << np.uint64(40)), 5) & mask).astype(np.int64)
-
-
-#: Scores are held below this, so that exp stays finite.
-HIGHEST = np.float32(60)
-_ONES = np.ones((CLASSES, 1), np.float32)
-
-
-class Room:
-    """Buffers of one batch; new arrays of this size would cost more than the work on them."""
-
-    def __init__(self):
-        self.z, self.part, self.total = (np.empty((BATCH, CLASSES), np.float32) for _ in range(3))
-
-
-def scores(rows: np.ndarray, weights: np.ndarray, room: Room) -> np.ndarray:
-    """The sum of the gathered rows: a sparse product."""
-    n = rows.shape[1]
-    z, part = room.z[:n], room.part[:n]
-    np.take(weights, rows[0], axis=0, out=z, mode="clip")
-    for r in rows[1:]:
-        np.take(weights, r, axis=0, out=part, mode="clip")
-        z += part
-    return np.clip(z, -HIGHEST, HIGHEST, out=z)
-
-
-def logprobs(codes: np.ndarray, counts: np.ndarray, words: Lexicon, w: Weights) -> np.ndarray:
-    """Natural log probability of each word."""
-    out = np.zeros(len(codes))
-    ctx, number, room = contexts(codes, counts), words.numbers(codes), Room()
-    for s in range(0, len(codes), BATCH):
-        y = number[s : s + BATCH]
-        cls, member = y // MEMBERS, y % MEMBERS
-        every = np.arange(len(y))
-        for rows, target, weights in zip(rows_of(ctx[:, s : s + BATCH], cls), (cls, member), (w.by_class, w.by_word)):
-            z = scores(rows, weights, room)
-            chosen = z[every, target].astype(np.float64)
-            np.exp(z, out=z)
-            out[s : s + BATCH] += chosen - np.log((z @ _ONES)[:, 0].astype(np.float64))
-    return out
-
-
-def _sums(g: np.ndarray, row: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sum of g over the places of each."""
-    flat = row.astype(np.uint16)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    times = np.diff(np.append(start, len(flat)))
-    total = np.take(g, order[start], axis=0, out=room.total[: len(start)], mode="clip")
-    for k in range(1, 4):  # most rows occur a few times only
-        more = np.flatnonzero(times > k)
-        if not len(more):
-            break
-        total[more] += np.take(g, order[start[more] + k], axis=0, out=room.part[: len(more)], mode="clip")
-    more = np.flatnonzero(times > 4)
-    if len(more):
-        left = np.concatenate([order[a + 4 : a + t] for a, t in zip(start[more].tolist(), times[more].tolist())])
-        begin = np.cumsum(times[more] - 4) - (times[more] - 4)
-        total[more] += np.add.reduceat(np.take(g, left, axis=0, out=room.part[: len(left)], mode="clip"), begin, axis=0)
-    return ordered[start].astype(np.int64), total
-
-
-def _descend(rows: np.ndarray, target: np.ndarray, weights: np.ndarray, squares: np.ndarray, room: Room) -> None:
-    """One AdaGrad step of the logistic loss: gradients summed by row, a step size a row."""
-    g = scores(rows, weights, room)
-    np.exp(g, out=g)
-    g *= 1 / (g @ _ONES)
-    g[np.arange(len(target)), target] -= 1
-    whole = weights.view(f"V{4 * weights.shape[1]}")[:, 0]  # a row as one element
-    for r in rows:
-        at, total = _sums(g, r, room)
-        step = squares[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
-        squares[at] = step
-        total *= (RATE / np.sqrt(step + np.float32(1e-4)))[:, None]
-        new = np.take(weights, at, axis=0, out=room.part[: len(at)], mode="clip")
-        new -= total
-        whole[at] = new.view(whole.dtype)[:, 0]
-
-
-class Trainer:
-    def __init__(self, words: Lexicon, start: Weights):
-        self.words = words
-        self.w = Weights(start.by_class.copy(), start.by_word.copy())
-        self.room = Room()
-        self.squares = [np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)]
-
-    def see(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        ctx, number = contexts(codes, counts), self.words.numbers(codes)
-        for s in range(0, len(codes), BATCH):
-            y = number[s : s + BATCH]
-            cls, member = y // MEMBERS, y % MEMBERS
-            a, b = rows_of(ctx[:, s : s + BATCH], cls)
-            _descend(a, cls, self.w.by_class, self.squares[0], self.room)
-            _descend(b, member, self.w.by_word, self.squares[1], self.room)
-
-
-def train(codes: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Weights:
-    """codes: what `coded` returned; `part` says in which round a document is used."""
-    spark = codes.sparkSession
-    w = Weights.zeros()
-    n = ROWS // BLOCK
-    for r in range(rounds):
-        given = spark.sparkContext.broadcast((words, w))  # fixed size: two matrices of ROWS rows
-
-        def step(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            lex, start = given.value
-            t = Trainer(lex, start)
-            some = False
-            for batch in batches:
-                for piece in slices(batch, "codes"):
-                    numbers, counts = unpack(piece.column("codes"))
-                    if len(numbers):
-                        t.see(numbers, counts)
-                        some = True
-            if not some:
-                return
-            block, data, seen = [], [], []
-            for m, (new, old) in enumerate(((t.w.by_class, start.by_class), (t.w.by_word, start.by_word))):
-                delta, used = new - old, (t.squares[m] > 0).astype(np.uint8)
-                for k in range(n):
-                    block.append(m * n + k)
-                    data.append(delta[k * BLOCK : (k + 1) * BLOCK].tobytes())
-                    seen.append(used[k * BLOCK : (k + 1) * BLOCK].tobytes())
-            yield pa.record_batch([pa.array(block, pa.int32()), pa.array(data, pa.binary()), pa.array(seen, pa.binary())], names=["block", "data", "seen"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                for b, d, s in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), batch.column("seen").to_pylist()):
-                    have = sums.setdefault(b, [np.zeros(BLOCK * CLASSES), np.zeros(BLOCK)])
-                    have[0] += np.frombuffer(d, np.float32)
-                    have[1] += np.frombuffer(s, np.uint8)
-            for b, (d, s) in sums.items():
-                mean = d.reshape(BLOCK, -1) / np.maximum(s, 1)[:, None]
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["block", "data"])
-
-        changes = codes.where(F.col("part") == r).select("codes").mapInArrow(step, "block int, data binary, seen binary")
-        summed = changes.repartition(16, "block").mapInArrow(add, "block int, data binary").collect()
-        w = Weights(w.by_class.copy(), w.by_word.copy())
-        for row in summed:
-            target = w.by_class if row["block"] < n else w.by_word
-            k = row["block"] % n
-            target[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(row["data"], np.float32).reshape(BLOCK, -1)
-    return w
-
-
-def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Lexicon:
+    """The types of a corpus, and the parting of its contexts."""
+
+    width: int  # branches of a node
+    codes: np.ndarray  # words that are a type, sorted
+    number: np.ndarray  # their types
+    prior: list[np.ndarray]  # a level's log shares, (nodes, width); the last one's nodes are the buckets
+    inner: np.ndarray  # log P(word | leaf) of each leaf of the last level
+    blocks: int
+    hot: np.ndarray  # frequent words, +1, sorted
+    parts: np.ndarray  # blocks of each
+
+    @property
+    def vocabulary(self) -> int:
+        return vocabulary(self.width)
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Of words that are a type: its number.  Of others: that of their leaf, beyond those of the vocabulary."""
+        rare = self.vocabulary + leaf(codes, self.width)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.number[at], rare)
+
+    def _parts(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.ones(len(word), _U)
+        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+        return np.where(self.hot[at] == word, self.parts[at], 1).astype(_U)
+
+    def block(self, b: np.ndarray, a: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """Where the positions with these words before them (b, and a before b) are trained."""
+        if self.blocks == 1:
+            return np.zeros(len(b), np.int64)
+        own, other = self._parts(b), self._parts(a)
+        spread = content % np.minimum(own, other)
+        with np.errstate(over="ignore"):
+            part = split_mix(a.astype(_U) + (spread << _U(40)), 21) % own
+            return (split_mix(b.astype(_U) + (part << _U(40)), 22) % _U(self.blocks)).astype(np.int64)
+
+
+def vocabulary(width: int) -> int:
+    """Types that are a word; the last width ** 2 are buckets."""
+    return width**LEVELS - width**2
+
+
+def leaf(codes: np.ndarray, width: int) -> np.ndarray:
+    """Of a rare word: bucket * width + branch of the bucket."""
+    return (split_mix(codes, 9) % _U(width**3)).astype(np.int64)
+
+
+def lexicon(words: DataFrame, block: int = BLOCK) -> Lexicon | None:
+    """From the counts of all words; None without any."""
+    total = words.where("code >= 0").agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    width = branches(total)
+    v, size = vocabulary(width), width**LEVELS
+    top = words.where("code >= 0").orderBy(F.desc("n"), "code").limit(v)
+    top = [tuple(r) for r in top.collect()]
+    listed, n = (np.array(x, np.int64) for x in zip(*top))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, width**3), np.int64)
+        for batch in batches:
+            at = leaf(batch.column("code").to_numpy(), width)
+            sums[0] += np.bincount(at, minlength=width**3)
+            sums[1] += np.bincount(at, batch.column("n").to_numpy(), minlength=width**3).astype(np.int64)
+        some = np.flatnonzero(sums[0])
+        yield pa.record_batch([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["leaf", "words", "n"])
+
+    # what is no type: below the last one in the order of `top`
+    last = top[-1]
+    rest = words.where((F.col("code") >= 0) & ((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("code") > last[0]))))
+    leaves = rest.mapInArrow(tally, "leaf long, words long, n long").groupBy("leaf").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()  # a row a leaf
+    distinct, rare = np.zeros(width**3, np.int64), np.zeros(width**3, np.int64)
+    for r in leaves:
+        distinct[r["leaf"]], rare[r["leaf"]] = r["words"], r["n"]
+    frequent = words.where(F.col("n") > block).collect()  # total / block rows at most
+    frequent = sorted((r["code"] + 1, -(-r["n"] // block)) for r in frequent)
+    hot, parts = (np.array([x[k] for x in frequent], np.int64) for k in (0, 1))
+    return Lexicon(width, *tree(width, listed, n, distinct, rare), -(-total // block), hot, parts)
+
+
+def tree(width: int, words: np.ndarray, n: np.ndarray, distinct: np.ndarray, rare: np.ndarray) -> tuple:
+    """codes, number, prior and inner of a Lexicon.
+
+    words: the most frequent ones in order, n: their counts, distinct and rare: words in each leaf, and how often they occur together.
+    """
+    count = np.zeros(width**LEVELS, np.int64)
+    count[: len(n)] = n
+    count[vocabulary(width) :] = rare.reshape(-1, width).sum(1)
+    prior = []
+    for level in range(1, LEVELS + 2):
+        nodes = (count.reshape(-1, width ** (LEVELS - level)).sum(1) if level <= LEVELS else rare).reshape(-1, width)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.log(nodes / nodes.sum(1, keepdims=True))
+        prior.append(np.where(nodes > 0, share, NEVER).astype(np.float32))
+    order = np.argsort(words)
+    return words[order], order.astype(np.int64), prior, -np.log(np.maximum(distinct, 1))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Small numbers that lie together take few bytes."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=4 * n, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+ROUTED = "block long, base long, n int, rows binary, b binary, a binary, word binary"
+
+
+def routed(codes: DataFrame, lex) -> DataFrame:
+    """The positions of each slice of documents, by block.  lex: a broadcast Lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = lex.value
+        for batch in batches:
+            # numbers of rows are kept from a base, and those of different tasks are far apart
+            task = batch.column("row").to_numpy() >> 31
+            cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for piece in chain.from_iterable(slices(batch.slice(s, e - s), "codes", 8 << 20) for s, e in zip(cuts, cuts[1:])):
+                words, counts = unpack(piece.column("codes"))
+                if not len(words):
+                    continue
+                b, a = before(words, counts)
+                row = np.repeat(piece.column("row").to_numpy(), counts)
+                block = lexicon.block(b, a, np.repeat(contents(words, counts), counts))
+                base = int(row.min())
+                order = np.argsort(block, kind="stable")
+                block, row, b, a, number = block[order], row[order] - base, b[order], a[order], lexicon.numbers(words)[order]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                yield pa.record_batch(
+                    [
+                        pa.array(block[cuts[:-1]]), pa.array(np.full(len(parts), base)), pa.array(np.diff(cuts).astype(np.int32)),
+                        *(pa.array([pack(x[s:e]) for s, e in parts], pa.binary()) for x in (row, b, a, number)),
+                    ],
+                    names=[c.split()[0] for c in ROUTED.split(", ")],
+                )
+
+    return codes.select("row", "codes").where("codes IS NOT NULL").mapInArrow(run, ROUTED)
+
+
+class Block:
+    """The weights of some contexts, trained on their positions."""
+
+    def __init__(self, lex: Lexicon, b: np.ndarray, a: np.ndarray, number: np.ndarray, rows: int | None = None):
+        self.lex, self.n = lex, len(b)
+        width, v = lex.width, lex.vocabulary
+        self.rows = rows or max(1 << 10, 1 << (max(1, self.n) - 1).bit_length())
+        self.weights = [np.zeros((self.rows, width), np.float32) for _ in range(LEVELS + 1)]
+        self.squares = [np.zeros(self.rows, np.float32) for _ in range(LEVELS + 1)]
+        rare = number >= v
+        leaf = np.where(rare, number - v, 0)
+        kind = np.where(rare, v + leaf // width, number)
+        self.target = [*(kind // width ** (LEVELS - 1 - k) % width for k in range(LEVELS)), leaf % width]
+        self.node = [np.zeros(self.n, np.int64), self.target[0], kind // width, leaf // width]
+        self.rare = rare
+        self.inner = np.where(rare, lex.inner[leaf], 0.0)
+        x, y = b.astype(_U), a.astype(_U)
+        with np.errstate(over="ignore"):
+            context = [split_mix(x, 1), split_mix(split_mix(x, 2) + y, 2), split_mix(y, 3)]
+            mask = _U(self.rows - 1)
+            #: (LEVELS + 1, FEATURES, n) rows of each position's features.
+            self.at = np.stack([np.stack([(split_mix(c + (node.astype(_U) << _U(36)), 5 + k) & mask).astype(np.uint32) for c in context]) for k, node in enumerate(self.node)])
+            # repeats of a position are put apart, so that each has its own step
+            same = split_mix(split_mix(split_mix(x, 11) + y, 12) + number.astype(_U), 13)
+            order = np.argsort(same, kind="stable")
+            ordered = same[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if self.n else np.zeros(0, np.int64)
+            nth = np.arange(self.n) - np.repeat(first, np.diff(np.append(first, self.n)))
+            self.order = order[np.argsort(split_mix(ordered + (nth.astype(_U) << _U(20)), 14), kind="stable")]
+        self.room = [np.empty((BATCH * FEATURES, width), np.float32) for _ in range(3)]
+        self.ones = np.ones((width, 1), np.float32)
+
+    def _levels(self, batch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each level, and the positions of the batch that go down to it."""
+        for level in range(LEVELS):
+            yield level, batch
+        rare = batch[self.rare[batch]]
+        if len(rare):
+            yield LEVELS, rare
+
+    def scores(self, level: int, batch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bias and the rows of all features: a sparse product."""
+        z, part = self.room[0][: len(batch)], self.room[1][: len(batch)]
+        np.take(self.lex.prior[level], self.node[level][batch], axis=0, out=z, mode="clip")
+        for rows in at:
+            np.take(self.weights[level], rows, axis=0, out=part, mode="clip")
+            z += part
+        return np.clip(z, -HIGHEST, HIGHEST, out=z)
+
+    def _sums(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows, and the sum of the gradients of each."""
+        n = len(g)
+        key = np.sort((at.astype(_U) << _U(16) | np.arange(n, dtype=_U)).ravel())
+        row, place = (key >> _U(16)).astype(np.int64), (key & _U(0xFFFF)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        times = np.diff(np.append(start, len(row)))
+        total, part = self.room[1][: len(start)], self.room[2]
+        np.take(g, place[start], axis=0, out=total, mode="clip")
+        for k in range(1, 4):  # most rows occur a few times only
+            more = np.flatnonzero(times > k)
+            if not len(more):
+                break
+            total[more] += np.take(g, place[start[more] + k], axis=0, out=part[: len(more)], mode="clip")
+        more = np.flatnonzero(times > 4)
+        if len(more):
+            size = times[more] - 4
+            begin = np.cumsum(size) - size
+            left = place[np.repeat(start[more] + 4 - begin, size) + np.arange(int(size.sum()))]
+            total[more] += np.add.reduceat(np.take(g, left, axis=0, out=part[: len(left)], mode="clip"), begin, axis=0)
+        return row[start], total
+
+    def train(self, epochs: int = EPOCHS, rate: float = RATE) -> None:
+        for _ in range(epochs):
+            for s in range(0, self.n, BATCH):
+                for level, batch in self._levels(self.order[s : s + BATCH]):
+                    at = self.at[level][:, batch]
+                    g = self.scores(level, batch, at)
+                    np.exp(g, out=g)
+                    g *= 1 / (g @ self.ones)
+                    g[np.arange(len(batch)), self.target[level][batch]] -= 1
+                    rows, total = self._sums(g, at)
+                    step = self.squares[level][rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+                    self.squares[level][rows] = step
+                    total *= (rate / np.sqrt(step + np.float32(1e-4)))[:, None]
+                    weights = self.weights[level]
+                    new = np.take(weights, rows, axis=0, out=self.room[2][: len(rows)], mode="clip")
+                    new -= total
+                    row = f"V{4 * weights.shape[1]}"  # a row as one element
+                    weights.view(row)[:, 0][rows] = new.view(row)[:, 0]
+
+    def logprobs(self) -> np.ndarray:
+        """Natural log probability of each position's word."""
+        out = self.inner.copy()
+        for s in range(0, self.n, BATCH):
+            for level, batch in self._levels(np.arange(s, min(self.n, s + BATCH))):
+                z = self.scores(level, batch, self.at[level][:, batch])
+                chosen = z[np.arange(len(batch)), self.target[level][batch]].astype(np.float64)
+                np.exp(z, out=z)
+                out[batch] += chosen - np.log((z @ self.ones)[:, 0].astype(np.float64))
+        return out
+
+
+#: Sums that a task of the training holds before it hands them on.
+SUMS = 1 << 21
+
+
+def block_scores(routes: DataFrame, lex) -> DataFrame:
+    """(row, logprob): sums over the positions of a document that a task has seen."""
+
+    def solve(held: list[dict], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+        row, b, a, number = (np.concatenate([unpacked(h[c], h["n"]) + (h["base"] if c == "rows" else 0) for h in held]) for c in ("rows", "b", "a", "word"))
+        block = Block(lexicon, b, a, number)
+        block.train()
+        return row, block.logprobs()
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        row, logprob = (np.concatenate(x) for x in zip(*parts))
+        rows, back = np.unique(row, return_inverse=True)
+        return pa.record_batch([pa.array(rows), pa.array(np.bincount(back, logprob))], names=["row", "logprob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        pieces = chain.from_iterable(batch.to_pylist() for batch in batches)
+        for piece in chain(pieces, [None]):
+            if held and (piece is None or held[0]["block"] != piece["block"]):
+                parts.append(solve(held, lex.value))
+                held = []
+                if piece is None or sum(len(p[0]) for p in parts) > SUMS:
+                    yield summed(parts)
+                    parts = []
+            held.append(piece)
+
+    n = int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return routes.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "row long, logprob double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, logprob, perplexity): the model is trained on docs, then scores them."""
     spark = docs.sparkSession
-    out = "doc_id long, n_words long, logprob double, perplexity double"
-    table = coded(docs, rounds, id_col, text_col)
-    words, total = lexicon(table)
-    w = train(table, words, rounds) if total else None
-    given = spark.sparkContext.broadcast((words, w))
-
-    def run(piece: pa.RecordBatch, model) -> pa.RecordBatch:
-        lex, weights = model
-        codes, counts = unpack(piece.column("codes"))
-        sums = np.zeros(len(counts))
-        if weights is not None and len(codes):
-            ends = np.concatenate([[0.0], np.cumsum(logprobs(codes, counts, lex, weights))])
-            stop = np.cumsum(counts)
-            sums = ends[stop] - ends[stop - counts]
-        none = (counts == 0) | (weights is None)
-        mean = sums / np.maximum(counts, 1)
-        return pa.record_batch([piece.column("doc_id"), pa.array(counts), pa.array(sums, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_words", "logprob", "perplexity"])
-
-    return map_text(table, run, out, text_col="codes", setup=lambda: given.value)
+    table = coded(docs, id_col, text_col)
+    lex = lexicon(counted(table), block)
+    rows = table.select("row", "doc_id", F.coalesce(F.octet_length("codes") / 4, F.lit(0)).cast("long").alias("n_words"))
+    if lex is None:
+        return rows.select("doc_id", "n_words", F.lit(None).cast("double").alias("logprob"), F.lit(None).cast("double").alias("perplexity"))
+    given = spark.sparkContext.broadcast(lex)
+    sums = block_scores(routed(table, given), given).groupBy("row").agg(F.sum("logprob").alias("logprob"))
+    mean = F.col("logprob") / F.col("n_words")
+    return rows.join(sums, "row", "left").select("doc_id", "n_words", F.round("logprob", 6).alias("logprob"), F.round(F.exp(-mean), 6).alias("perplexity"))

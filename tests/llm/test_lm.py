@@ -1,94 +1,165 @@
 import numpy as np
+import pytest
 
 from tessera.llm import lm
 
 from .conftest import AWKWARD
 
 
-def brute(codes, counts, words, w):
-    """Word by word, with dense softmaxes."""
-    out = []
-    start = 0
+def lexicon(texts, block=lm.BLOCK):
+    """What `lm.lexicon` makes, by plain counting."""
+    codes, counts = lm.tokenize(texts)
+    found, n = np.unique(codes, return_counts=True)
+    width = lm.branches(len(codes))
+    order = np.lexsort((found, -n))
+    top, rest = order[: lm.vocabulary(width)], order[lm.vocabulary(width) :]
+    leaf = lm.leaf(found[rest], width)
+    distinct, rare = np.bincount(leaf, minlength=width**3), np.bincount(leaf, n[rest], minlength=width**3).astype(np.int64)
+    words, times = np.append(found + 1, 0), np.append(n, np.count_nonzero(counts))
+    hot = np.flatnonzero(times > block)
+    hot = hot[np.argsort(words[hot])]
+    return lm.Lexicon(width, *lm.tree(width, found[top], n[top], distinct, rare), -(-len(codes) // block), words[hot], -(-times[hot] // block))
+
+
+def block_of(texts, lex):
+    codes, counts = lm.tokenize(texts)
+    return lm.Block(lex, *lm.before(codes, counts), lex.numbers(codes)), codes, counts
+
+
+def brute(block, codes, counts):
+    """Word by word, with dense softmaxes down the tree."""
+    lex, out, start = block.lex, [], 0
+    w = lex.width
     for n in counts:
         doc = codes[start : start + n]
         start += n
         for t in range(n):
-            y = int(words.numbers(doc[t : t + 1])[0])
-            cls, member = divmod(y, lm.MEMBERS)
-            ctx = lm.contexts(doc, np.array([n]))[:, t : t + 1]
-            a, b = lm.rows_of(ctx, np.array([cls]))
-            z, q = sum(w.by_class[r[0]] for r in a).astype(float), sum(w.by_word[r[0]] for r in b).astype(float)
-            out.append(z[cls] - np.log(np.exp(z).sum()) + q[member] - np.log(np.exp(q).sum()))
+            b, a = (np.uint64(doc[t - k] + 1 if t >= k else 0) for k in (1, 2))
+            number = int(lex.numbers(doc[t : t + 1])[0])
+            leaf = number - lex.vocabulary if number >= lex.vocabulary else None
+            kind = number if leaf is None else lex.vocabulary + leaf // w
+            path = [(0, kind // w**2), (kind // w**2, kind // w % w), (kind // w, kind % w)] + ([] if leaf is None else [(leaf // w, leaf % w)])
+            total = 0.0 if leaf is None else lex.inner[leaf]
+            for level, (node, branch) in enumerate(path):
+                z = lex.prior[level][node].astype(float)
+                with np.errstate(over="ignore"):
+                    for c in (lm.split_mix(b, 1), lm.split_mix(lm.split_mix(b, 2) + a, 2), lm.split_mix(a, 3)):
+                        z = z + block.weights[level][int(lm.split_mix(c + np.uint64(node << 36), 5 + level) & np.uint64(block.rows - 1))]
+                total += z[branch] - np.log(np.exp(z).sum())
+            out.append(total)
     return np.array(out)
 
 
-def model(texts, passes=3):
-    codes, counts = lm.tokenize(texts)
-    found, n = np.unique(codes, return_counts=True)
-    top = found[np.lexsort((found, -n))][: lm.VOCABULARY]
-    order = np.argsort(top)
-    t = lm.Trainer(lm.Lexicon(top[order], order), lm.Weights.zeros())
-    for _ in range(passes):
-        t.see(codes, counts)
-    return t
-
-
-def corpus(n, seed):
+def corpus(n, seed, words=60):
     rng = np.random.default_rng(seed)
     nxt = np.random.default_rng(0).integers(0, 50, (50, 3))
     out = []
     for _ in range(n):
-        w, words = 0, []
-        for _ in range(60):
-            words.append(f"w{w}")
+        w, text = 0, []
+        for _ in range(words):
+            text.append(f"w{w}" if rng.random() < 0.9 else f"rare{rng.integers(0, 3000)}")
             w = int(nxt[w, rng.integers(0, 3)])
-        out.append(" ".join(words))
+        out.append(" ".join(text))
     return out
 
 
 def test_scores_against_brute_force():
-    t = model(corpus(30, 1))
-    texts = corpus(4, 2) + ["", None, "one", "never seen words at all", "W1, w2. W3!"]
+    texts = corpus(40, 1) + ["", None, "one", "never seen words at all", "W1, w2. W3!"]
+    block, codes, counts = block_of(texts, lexicon(texts))
+    block.train(2)
+    got = block.logprobs()
+    assert block.rare.any() and not block.rare.all()
+    assert np.allclose(got, brute(block, codes, counts), atol=1e-4)
+
+
+def test_the_whole_query_against_brute_force(spark, make):
+    """Blocks, training and sums, in one process, document by document."""
+    texts = corpus(70, 3) + corpus(3, 3) + ["", None]
+    size = 60
+    lex = lexicon(texts, size)
+    assert lex.blocks > 4 and len(lex.hot)
     codes, counts = lm.tokenize(texts)
-    assert np.allclose(lm.logprobs(codes, counts, t.words, t.w), brute(codes, counts, t.words, t.w), atol=1e-4)
+    b, a = lm.before(codes, counts)
+    place = lex.block(b, a, np.repeat(lm.contents(codes, counts), counts))
+    doc = np.repeat(np.arange(len(texts)), counts)
+    want = np.zeros(len(texts))
+    for k in np.unique(place):
+        mine = np.flatnonzero(place == k)
+        block = lm.Block(lex, b[mine], a[mine], lex.numbers(codes[mine]))
+        block.train()
+        want += np.bincount(doc[mine], block.logprobs(), minlength=len(texts))
+    for parts in (1, 5):  # whatever the partitioning
+        got = {r["doc_id"]: r for r in lm.score(make(texts).repartition(parts), block=size).collect()}
+        assert all(abs(got[i]["logprob"] - want[i]) < 1e-3 for i in range(73))
+        assert all(abs(got[i]["perplexity"] - np.exp(-want[i] / counts[i])) < 1e-3 * np.exp(-want[i] / counts[i]) for i in range(73))
+        assert got[73]["logprob"] is None and got[74]["logprob"] is None
+
+
+def test_partitioning_does_not_matter(make):
+    docs = make(corpus(60, 5) + corpus(8, 6) * 2)
+    one, many = ({tuple(r) for r in lm.score(docs.repartition(n), block=500).collect()} for n in (1, 7))
+    assert one == many
 
 
 def test_probabilities_sum_to_one():
-    t = model(corpus(20, 1))
-    lex = lm.Lexicon(np.arange(lm.VOCABULARY), np.arange(lm.VOCABULARY))
-    t.w, total = t.w, 0.0
-    numbers = np.arange(lm.CLASSES * lm.MEMBERS)
-    ctx = np.repeat(lm.contexts(np.array([5, 6, 7]), np.array([3]))[:, 2:3], len(numbers), axis=1)
-    room = lm.Room()
-    cls, member = numbers // lm.MEMBERS, numbers % lm.MEMBERS
-    for s in range(0, len(numbers), lm.BATCH):
-        a, b = lm.rows_of(ctx[:, s : s + lm.BATCH], cls[s : s + lm.BATCH])
-        z = lm.scores(a, t.w.by_class, room).astype(float).copy()
-        p = np.exp(z[np.arange(len(z)), cls[s : s + lm.BATCH]]) / np.exp(z).sum(1)
-        q = lm.scores(b, t.w.by_word, room).astype(float).copy()
-        total += float((p * np.exp(q[np.arange(len(q)), member[s : s + lm.BATCH]]) / np.exp(q).sum(1)).sum())
-    assert abs(total - 1) < 1e-5 and len(lex.codes) == lm.VOCABULARY
-
-
-def test_learning_helps_on_held_out_text():
-    t = model(corpus(300, 1))
-    codes, counts = lm.tokenize(corpus(40, 9))
-    got = -lm.logprobs(codes, counts, t.words, t.w).mean()
-    number = t.words.numbers(lm.tokenize(corpus(300, 1))[0])
-    share = (np.bincount(number, minlength=1024) + 1) / (len(number) + 1024)
-    unigram = -np.log(share[t.words.numbers(codes)]).mean()
-    assert got < unigram - 1.0  # three successors each: log 3 at best, log 50 by frequency alone
+    texts = corpus(60, 1)
+    lex = lexicon(texts)
+    block, _, _ = block_of(texts, lex)
+    block.train(2)
+    codes = np.unique(lm.tokenize(texts)[0])
+    words = lm.Block(lex, np.full(len(codes), 6), np.full(len(codes), 7), lex.numbers(codes), block.rows)
+    words.weights = block.weights
+    total = np.exp(words.logprobs()).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_learning_helps():
+    texts = corpus(300, 1)
+    block, codes, _ = block_of(texts, lexicon(texts))
+    before = -block.logprobs().mean()  # frequency alone
+    block.train()
+    assert -block.logprobs().mean() < before - 1.0
+
+
+def test_documents_that_occur_twice_score_apart(make):
+    rng = np.random.default_rng(2)
+    single = [" ".join(f"t{x}" for x in rng.zipf(1.3, 150) % 5000) for _ in range(300)]
+    twice = [" ".join(f"t{x}" for x in rng.zipf(1.3, 150) % 5000) for _ in range(40)]
+    got = {r["doc_id"]: r["perplexity"] for r in lm.score(make(single + twice + twice), block=4000).collect()}
+    low = np.quantile([got[i] for i in range(300)], 0.1)
+    assert np.mean([got[i] < low for i in range(300, 380)]) > 0.9
+    assert all(got[i] == got[i + 40] for i in range(300, 340))
 
 
 def test_gradient_sums():
     rng = np.random.default_rng(0)
-    g = rng.normal(size=(4096, lm.CLASSES)).astype(np.float32)
-    for high in (5, 300, lm.ROWS):
-        row = rng.integers(0, high, 4096)
-        at, total = lm._sums(g, row, lm.Room())
-        want = np.zeros((lm.ROWS, lm.CLASSES))
-        np.add.at(want, row, g.astype(float))
-        assert np.array_equal(at, np.unique(row)) and np.allclose(total, want[at], atol=1e-3)
+    texts = corpus(5, 1)
+    block, _, _ = block_of(texts, lexicon(texts))
+    width = block.lex.width
+    g = rng.normal(size=(2000, width)).astype(np.float32)
+    for high in (5, 300, block.rows):
+        at = rng.integers(0, high, (lm.FEATURES, 2000)).astype(np.uint32)
+        rows, total = block._sums(g, at)
+        want = np.zeros((block.rows, width))
+        for f in range(lm.FEATURES):
+            np.add.at(want, at[f], g.astype(float))
+        assert np.array_equal(rows, np.unique(at)) and np.allclose(total, want[rows], atol=1e-3)
+
+
+def test_the_model_grows_with_the_corpus():
+    assert [lm.branches(n) for n in (1, 10**6, 10**8, 10**10)] == sorted({lm.branches(n) for n in (1, 10**6, 10**8, 10**10)})
+    assert lm.vocabulary(lm.branches(80_000_000)) > 20_000
+
+
+def test_frequent_words_have_blocks_of_bounded_size():
+    """Half of all words are the same, half of all texts too."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join("the" if rng.random() < 0.5 else f"x{rng.integers(0, 400)}" for _ in range(100)) for _ in range(400)]
+    codes, counts = lm.tokenize(texts)
+    b, a = lm.before(codes, counts)
+    lex = lexicon(texts, 2000)
+    sizes = np.bincount(lex.block(b, a, np.repeat(lm.contents(codes, counts), counts)), minlength=lex.blocks)
+    assert lex.blocks == 20 and sizes.max() < 4 * 2000
 
 
 def test_tables(spark, awkward, none, make):
@@ -102,6 +173,7 @@ def test_tables(spark, awkward, none, make):
     assert len({r["logprob"] for r in twins}) == 1 and len(twins) == 3
     assert lm.score(none).count() == 0
     assert [tuple(r)[1:] for r in lm.score(make([None, "", " "])).collect()] == [(0, None, None)] * 3
+    assert lm.score(make(["one"])).first()["perplexity"] == pytest.approx(1)
     texts = corpus(60, 3) + ["zz yy xx ww vv uu tt ss rr qq"]
     scored = {r["doc_id"]: r["perplexity"] for r in lm.score(make(texts)).collect()}
     assert scored[60] > np.median(list(scored.values()))
