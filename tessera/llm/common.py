@@ -48,6 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def position(df: DataFrame, name: str | None) -> int | None:
+    """Where the column is, None if there is none.  As in Spark, case doesn't matter unless the session says so."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [k for k, c in enumerate(df.columns) if name is not None and (c == name or not exact and c.lower() == name.lower())]
+    if len(found) > 1:
+        raise ValueError(f"column {name} is ambiguous")
+    return found[0] if found else None
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """64-bit key of a row's id and text; rows with both equal share it (nulls included)."""
     return F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))

@@ -6,20 +6,23 @@ characters of the whole text, end exclusive.  `redact` replaces the same spans i
 * Null and empty texts have no span; `redact` returns them as they are.
 * Every row is looked at by itself: repeated rows give repeated results, a null doc_id is kept.
 * Where spans overlap, the one with the higher score stays, then the longer, then the earlier.
+* The work on a text is n log n in its spans, and what is looked at around each is bounded.
 * An empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, slices
+from tessera.llm.common import map_text, position, slices
 
 #: Spans with a lower score are dropped.
 THRESHOLD = 0.6
@@ -28,26 +31,27 @@ CONTEXT = 48
 
 EMAIL_LOCAL = re.compile(r"[\w.%+'-]{1,64}\Z")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-#: Any run of digits with the separators that numbers are written with.
-DIGITS = re.compile(r"(?:\+\s?)?\(?\d[\d ().\-]{5,}\d")
-CARD = re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")
-#: A digit run by its groups; one card may stand between other numbers.
-GROUPED = re.compile(r"(?<!\d)\d+(?:[ -]\d+)*")
-GROUP = re.compile(r"\d+")
-#: Groups of fewer digits aren't tried as part of a run, so that tables of small numbers aren't cards.
+#: Digits in groups, as cards are written; one card may stand between other numbers.
+GROUPED = re.compile(r"(?<![0-9])[0-9]+(?:[ -][0-9]+)*")
+GROUP = re.compile(r"[0-9]+")
+#: Shorter groups are tried only as a whole run, so that tables of small numbers aren't cards.
 CARD_GROUP = 3
-IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
-SSN = re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])")
-#: North American numbers have a fixed length; others end where their groups do.
-PHONE_PLUS = re.compile(r"\+\s?1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){0,4}(?!\d)|\+\d{8,15}(?!\d)")
-#: Numbers of other countries with groups of up to 8 digits; the last ones may belong to another number.
-PHONE_GROUPS = re.compile(r"(?!\+\s?1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d))\+\s?\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{2,8}){0,4}(?!\d)")
-PHONE_LOCAL = re.compile(r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
-IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IPV4 = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*:(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])")
+SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+#: North American numbers have a fixed length; others end where one of their groups does.
+PHONE_AMERICAN = re.compile(r"\+ ?1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+PHONE_CODE = re.compile(r"\+ ?[0-9]{1,15}(?![0-9])")
+PHONE_AREA = re.compile(r"[ .-]?\([0-9]{1,4}\)")
+PHONE_GROUP = re.compile(r"[ .-]?[0-9]{1,8}(?![0-9])")
+PHONE_LOCAL = re.compile(r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 NEAR = {
     "email": (("email", "e-mail", "mail", "contact", "write"), ()),
     "card": (("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "carte", "karte", "tarjeta"), ("order", "isbn", "serial", "tracking", "invoice")),
+    "ipv6": (("ip", "host", "server", "address", "login", "from"), ("version", "release", "section", "chapter")),
     "ipv4": (("ip", "host", "server", "address", "login", "from"), ("version", "release", "section", "chapter")),
     "ssn": (("ssn", "social security", "taxpayer"), ("part", "serial", "order")),
     "phone": (("phone", "call", "tel", "mobile", "fax", "contact"), ("isbn", "serial", "order", "version")),
@@ -100,20 +104,76 @@ def context(text: str, kind: str, start: int, end: int) -> float:
     return (0.2 if good.search(around) else 0.0) - (0.3 if bad and bad.search(around) else 0.0)
 
 
-def cards(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of 13 to 19 digits from group to group that pass Luhn, wherever in a run they stand."""
-    for run in GROUPED.finditer(text, start, stop):
+def cards(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, digits) of 13 to 19 digits from group to group that pass Luhn, wherever in a run they stand."""
+    for run in GROUPED.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
         groups = [m.span() for m in GROUP.finditer(text, *run.span())]
+        whole = "".join(text[a:b] for a, b in groups) if len(groups) < 20 else ""
+        if text[run.start() - 1 : run.start()] != "+" and 13 <= len(whole) <= 19 and luhn(whole) and len(set(whole)) > 1:
+            yield run.start(), run.end(), whole
         for k, (a, _) in enumerate(groups):
-            if a and text[a - 1] == "+":
+            if text[a - 1 : a] == "+":
                 continue
             digits = ""
             for c, d in groups[k:]:
-                digits += text[c:d]
-                if d - c < CARD_GROUP or len(digits) > 19:
+                if d - c < CARD_GROUP or len(digits) + d - c > 19:
                     break
+                digits += text[c:d]
                 if len(digits) >= 13 and luhn(digits) and len(set(digits)) > 1:
-                    yield a, d
+                    yield a, d, digits
+
+
+def phones(text: str) -> Iterator[tuple[int, int]]:
+    """International numbers of 8 to 15 digits: the most groups that stay within them."""
+    at = text.find("+")
+    while at >= 0:
+        if american := PHONE_AMERICAN.match(text, at):
+            yield at, american.end()
+        elif m := PHONE_CODE.match(text, at):
+            ends = [m.end()]
+            if area := PHONE_AREA.match(text, m.end()):
+                ends.append(area.end())
+            least = 1  # digits of the next group
+            while (g := PHONE_GROUP.match(text, ends[-1])) and len(ends) < 8:
+                if g.end() - g.start() - (text[g.start()] in " .-") < least:
+                    break
+                ends.append(g.end())
+                least = 2
+            for end in reversed(ends):
+                if 8 <= sum(c in "0123456789" for c in text[at:end]) <= 15:
+                    yield at, end
+                    break
+        at = text.find("+", at + 1)
+
+
+def ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, upper case) of as many letters and digits as the country has, a space before any four of them."""
+    for m in IBAN.finditer(text):
+        left = IBAN_LENGTH.get(m[0][:2].upper(), 0)
+        n, end = left, m.start()
+        while left and end < len(text):
+            if text[end] == " " and n - left and not (n - left) % 4 and text[end + 1 : end + 2] != " ":
+                end += 1
+            elif text[end] in ALNUM:
+                end += 1
+                left -= 1
+            else:
+                break
+        found = text[m.start() : end]
+        if n and not left and text[end : end + 1] not in ALNUM and (found.isupper() or found.islower()) and mod97(found):
+            yield m.start(), end, found.isupper()
+
+
+def ipv6(text: str) -> bool:
+    """An address with three groups or more, one of them with a digit."""
+    if len(text) > 45 or sum(map(bool, text.split(":"))) < 3 or not any(c.isdigit() for c in text):
+        return False
+    try:
+        return bool(IPv6Address(text))
+    except ValueError:
+        return False
 
 
 def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
@@ -128,41 +188,24 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
             if start < at:
                 yield "email", start, domain.end(), 0.9
         at = text.find("@", at + 1)
-    for run in DIGITS.finditer(text):
-        lo, hi = max(0, run.start() - 1), run.end()
-        for m in CARD.finditer(text, run.start(), hi):
-            digits = re.sub(r"\D", "", m[0])
-            if luhn(digits) and len(set(digits)) > 1:
-                yield "card", m.start(), m.end(), 0.8 if issuer(digits) else 0.45
-        for a, b in cards(text, run.start(), hi):
-            yield "card", a, b, 0.8 if issuer(re.sub(r"\D", "", text[a:b])) else 0.45
-        for m in IPV4.finditer(text, run.start(), hi):
-            if all(int(x) < 256 for x in m[0].split(".")):
-                yield "ipv4", m.start(), m.end(), 0.7
-        for m in SSN.finditer(text, run.start(), hi):
-            area = int(m[1])
-            if area not in (0, 666) and area < 900 and int(m[2]) and int(m[3]):
-                yield "ssn", m.start(), m.end(), 0.65
-        for m in PHONE_PLUS.finditer(text, run.start(), hi):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
-                yield "phone", m.start(), m.end(), 0.75
-        for m in PHONE_GROUPS.finditer(text, run.start(), hi):
-            end = m.end()
-            while sum(c.isdigit() for c in text[m.start() : end]) > 15:  # without the last groups
-                end = max(text.rfind(c, m.start(), end) for c in " .-")
-            if sum(c.isdigit() for c in text[m.start() : end]) >= 8:
-                yield "phone", m.start(), end, 0.75
-        for m in PHONE_LOCAL.finditer(text, lo, hi):
-            yield "phone", m.start(), m.end(), 0.65
-    for m in IBAN.finditer(text):
-        s = m[0].replace(" ", "")
-        n = IBAN_LENGTH.get(s[:2], 0)
-        if 0 < n <= len(s) and mod97(s[:n]):
-            end, left = m.start(), n
-            while left:
-                left -= text[end] != " "
-                end += 1
-            yield "iban", m.start(), end, 0.9
+    for a, b, digits in cards(text):
+        yield "card", a, b, 0.8 if issuer(digits) else 0.45
+    for m in IPV4.finditer(text):
+        if all(int(x) < 256 for x in m[0].split(".")):
+            yield "ipv4", m.start(), m.end(), 0.7
+    for m in IPV6.finditer(text):
+        if ipv6(m[0]):
+            yield "ipv6", m.start(), m.end(), 0.7
+    for m in SSN.finditer(text):
+        area = int(m[1])
+        if area not in (0, 666) and area < 900 and int(m[2]) and int(m[3]):
+            yield "ssn", m.start(), m.end(), 0.65
+    for a, b in phones(text):
+        yield "phone", a, b, 0.75
+    for m in PHONE_LOCAL.finditer(text):
+        yield "phone", m.start(), m.end(), 0.65
+    for a, b, upper in ibans(text):
+        yield "iban", a, b, 0.9 if upper else 0.65
 
 
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
@@ -170,11 +213,12 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int
     if not text:
         return []
     found = [(min(1.0, round(s + context(text, k, a, b), 2)), a, b, k) for k, a, b, s in proposals(text)]
-    taken: list[tuple[str, int, int, float]] = []
+    taken: list[tuple[int, int, str, float]] = []  # in order of their places
     for score, a, b, k in sorted({x for x in found if x[0] >= threshold}, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-        if all(b <= c or d <= a for _, c, d, _ in taken):
-            taken.append((k, a, b, score))
-    return sorted(taken, key=lambda x: x[1])
+        at = bisect_left(taken, (a,))
+        if (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a):
+            taken.insert(at, (a, b, k, score))
+    return [(k, a, b, score) for a, b, k, score in taken]
 
 
 def redacted(text: str, threshold: float = THRESHOLD) -> str:
@@ -186,7 +230,7 @@ def redacted(text: str, threshold: float = THRESHOLD) -> str:
 
 
 #: A text with none of these has no span, so the arrays can be sieved before any string is made.
-SIEVE = r"@|[0-9][0-9 ().\-]{5,}[0-9]|[A-Z]{2}[0-9]{2}"
+SIEVE = r"@|[0-9][0-9 ().\-]{5,}[0-9]|[A-Za-z]{2}[0-9]{2}|:[0-9A-Fa-f]*:"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,8 +256,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """docs with each span replaced by its kind in brackets, and the length column, if there is one, set anew."""
-    where = docs.columns.index(text_col)
-    length = docs.columns.index(length_col) if length_col in docs.columns else None
+    where, length = position(docs, text_col), position(docs, length_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

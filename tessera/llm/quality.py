@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, slices, split_mix, utf8_buffer
+from tessera.llm.common import map_text, position, slices, split_mix, utf8_buffer
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 4000
@@ -197,7 +197,7 @@ def filter_documents(docs: DataFrame, model: Model | None, threshold: float = TH
     """The rows of docs that the classifier keeps, with all their columns."""
     if model is None:
         return docs
-    where = docs.columns.index(text_col)
+    where = position(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
