@@ -57,6 +57,19 @@ def position(df: DataFrame, name: str | None) -> int | None:
     return found[0] if found else None
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column by its name, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """64-bit key of a row's id and text; rows with both equal share it (nulls included)."""
     return F.xxhash64(F.col(id_col), F.lit("|"), F.col(text_col))

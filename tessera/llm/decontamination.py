@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, materialise, row_key, without
+from tessera.llm.common import fresh, map_text, materialise, quoted, row_key, without
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -271,5 +271,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, *
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a leak."""
-    gone = materialise(matches(docs, benchmark, min_score, id_col, text_col).select(F.col("key").alias("__key")).distinct(), "leaks")
-    return without(docs.withColumn("__key", row_key(id_col, text_col)), gone, "__key").drop("__key")
+    key = fresh(docs, "key")
+    gone = materialise(matches(docs, benchmark, min_score, id_col, text_col).select(F.col("key").alias(key)).distinct(), "leaks")
+    return without(docs.withColumn(key, row_key(id_col, text_col)), gone, key).select(*map(quoted, docs.columns))
