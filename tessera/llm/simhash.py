@@ -1,23 +1,28 @@
 """Operator 9, SimHash near-duplicates through pivot distance tables.
 
-Fingerprints have 128 bits: the sign of the weighted sum over a text's distinct words and word
-pairs, longer words weighing more.  Equal fingerprints are one vertex, however many documents
+Fingerprints have 256 bits: the sign of the weighted sum over a text's distinct words and word
+pairs, longer words weighing more.  Two unrelated texts are within RADIUS with a chance of less
+than 2^-70 as far as their bits are random, so billions of them aren't joined by accident.  Equal fingerprints are one vertex, however many documents
 share it.  Reference fingerprints (pivots), about 8 * sqrt(vertices) of them, are drawn by hash
 from the vertices; the table of Hamming distances from each vertex to every pivot is computed
 once.  By the triangle inequality near vertices have near rows in the table, so each vertex goes
 to the cells of its nearest pivots, and only pairs that share a cell are looked at.  The more
 pivots there are the more cells it takes to hold the recall: `nearest` says how many.  In a cell,
-pairs whose rows differ by more than the radius in any kept coordinate are discarded, and the
-survivors are verified by their Hamming distance.  Cells hold about nearest / 8 * sqrt(vertices),
+tiles of pairs whose rows differ by more than the radius in any kept coordinate are discarded, and
+the survivors are verified by their Hamming distance.  Cells hold about nearest / 8 * sqrt(vertices),
 so the work grows as a power of about 1.8; there is no cap on a cell or on a fingerprint's partners.
+A cell of many copies of one text costs no more than a pass for each of its leaders: fingerprints
+within the radius of a leader are one group already, and aren't compared among themselves.
 
-Groups are the connected components of the verified pairs.  The keeper of a group is its row
-of least doc_id (null last), then least text hash.
+Groups are the connected components of the verified pairs.  So a document may be further than
+the radius from the keeper of its group, if others lie between; `distance` says how far it is.  The
+keeper of a group is its row of least doc_id (null last), then least text hash.
 
 * A null text has no fingerprint and is in no group.
 * A text without a word is one feature: only equal texts share its fingerprint.  So all empty
   texts form one group.
-* Repeated rows form a group like other copies: all but one of them go.
+* Repeated rows form a group like other copies: all but one of them go.  Where rows agree in id
+  and text but not in other columns, the one stays whose columns as JSON come first.
 * An empty table gives an empty result; other columns don't matter, whatever their names.
 
 The search is exact but for pairs that share none of their nearest cells; its recall against
@@ -37,25 +42,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, materialise, row_key, split_mix, without
+from tessera.llm.common import fresh, map_text, materialise, quoted, row_key, split_mix, without
 
-#: Most bits, of 128, in which near copies differ.
-RADIUS = 24
+#: 64-bit words of a fingerprint, as columns.
+WORDS = ("f0", "f1", "f2", "f3")
+BITS = 64 * len(WORDS)
+#: Most bits in which near copies differ.
+RADIUS = 56
 #: Cells that a fingerprint is put in, at least; and how their number grows with that of the pivots.
-NEAREST = 16
-GROWTH = (2.5, 0.27)
-#: Coordinates compared within a cell, besides the distance to its own pivot.
-COORDINATES = 3
+NEAREST = 22
+GROWTH = (3.5, 0.27)
+#: Coordinates of the pivot table that are kept in a cell.
+COORDINATES = 16
+#: Rows and columns of a piece of a cell whose pairs are looked at together.
+TILE = (64, 1024)
+#: Fingerprints of a cell from which leaders are looked for, and how many in a row may have few followers.
+DENSE, MISSES = 1024, 8
+LONGS = ", ".join(f"{w} long" for w in WORDS)
 WORD = re.compile(r"\w+")
 BIT_BLOCK = 1 << 14
 
 
 def _weighted_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The 16 bytes of the fingerprint of one text's features; integer weights keep sums exact."""
-    total = np.zeros(128)
+    """The bytes of the fingerprint of one text's features; integer weights keep sums exact."""
+    total = np.zeros(BITS)
     for s in range(0, len(hashes), BIT_BLOCK):
         h = hashes[s : s + BIT_BLOCK]
-        words = np.stack([split_mix(h, 1), split_mix(h, 2)], 1).astype("<u8")
+        words = np.stack([split_mix(h, k + 1) for k in range(len(WORDS))], 1).astype("<u8")
         bits = np.unpackbits(words.view(np.uint8), axis=1)
         w = weights[s : s + BIT_BLOCK].astype(np.float32)
         total += 2.0 * (w @ bits.astype(np.float32)) - w.sum(dtype=np.float64)
@@ -63,8 +76,8 @@ def _weighted_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_texts(texts: list[str]) -> np.ndarray:
-    """(n, 2) uint64 fingerprints."""
-    out = np.zeros((len(texts), 16), np.uint8)
+    """(n, len(WORDS)) uint64 fingerprints."""
+    out = np.zeros((len(texts), BITS // 8), np.uint8)
     words = [WORD.findall(t.lower()) for t in texts]
     code = {w: zlib.crc32(w.encode()) for w in set(chain.from_iterable(words))}
     size = {w: min(len(w), 10) for w in code}
@@ -89,19 +102,26 @@ def fingerprint_texts(texts: list[str]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, hi, lo) of each row whose text isn't null; key is the row's hash."""
+    """(doc_id, key, fingerprint) of each row whose text isn't null; key is the row's hash."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         fp = fingerprint_texts(piece.column("text").to_pylist()).view("<i8")
-        return pa.record_batch([piece.column("id"), piece.column("key"), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], names=["doc_id", "key", "hi", "lo"])
+        return pa.record_batch([piece.column("id"), piece.column("key"), *(pa.array(f) for f in fp.T.copy())], names=["doc_id", "key", *WORDS])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).where("text IS NOT NULL")
-    return map_text(source, run, "doc_id long, key long, hi long, lo long")
+    return map_text(source, run, f"doc_id long, key long, {LONGS}")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all pairs of two arrays of (hi, lo)."""
-    return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+    """Distances of all pairs of two arrays of fingerprints."""
+    out = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16)
+    for k in range(1, a.shape[1]):
+        out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return out
+
+
+def _fingerprints(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy() for k in WORDS], 1).view(np.uint64)
 
 
 def nearest(pivots: int) -> int:
@@ -114,49 +134,69 @@ def nearest(pivots: int) -> int:
 
 
 def _cells(vertices: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(pivot, dist, v, hi, lo): each vertex in the cells of its nearest pivots."""
+    """(pivot, dist, v, fingerprint): each vertex in the cells of its nearest pivots."""
     near = nearest(len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.stack([batch.column(k).to_numpy() for k in ("hi", "lo")], 1).view(np.uint64)
-            step = max(1, (1 << 22) // len(pivots))
+            fp = _fingerprints(batch)
+            step = max(1, (1 << 19) // len(pivots))
             for s in range(0, len(fp), step):
                 table = hamming(fp[s : s + step], pivots)
                 cell = np.argpartition(table, near - 1, axis=1)[:, :near]
                 dist = np.take_along_axis(table, cell, 1)
                 row = np.repeat(np.arange(s, s + len(cell)), near)
-                part = batch.select(["v", "hi", "lo"]).take(pa.array(row))
-                yield pa.record_batch([pa.array(cell.ravel().astype(np.int32)), pa.array(dist.ravel().astype(np.int16)), *part.columns], names=["pivot", "dist", "v", "hi", "lo"])
-
-    return vertices.select("v", "hi", "lo").mapInArrow(run, "pivot int, dist short, v struct<id:long,key:long>, hi long, lo long")
-
-
-def near_in_cell(fp: np.ndarray, dist: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i, j of a cell, sorted by `dist`, within the radius; table has further coordinates."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    stop = np.searchsorted(dist, dist + radius, "right")
-    s = 0
-    while s < len(fp):
-        e = min(len(fp), s + 512)
-        last = int(stop[e - 1])
-        for a in range(s, last, 4096):
-            b = min(last, a + 4096)
-            ok = np.abs(dist[s:e, None] - dist[None, a:b]) <= radius
-            for k in range(table.shape[1]):
-                ok &= np.abs(table[s:e, None, k] - table[None, a:b, k]) <= radius
-            if a < e:
-                ok &= np.arange(a, b) > np.arange(s, e)[:, None]
-            alive = int(np.count_nonzero(ok))
-            if alive * 8 < ok.size:
-                i, j = np.nonzero(ok)
-                d = np.bitwise_count(fp[s + i] ^ fp[a + j]).sum(1)
-                i, j = i[d <= radius], j[d <= radius]
-            else:
-                i, j = np.nonzero(ok & (hamming(fp[s:e], fp[a:b]) <= radius))
-            left.append(i + s)
-            right.append(j + a)
-        s = e
+                part = batch.select(["v", *WORDS]).take(pa.array(row))
+                yield pa.record_batch([pa.array(cell.ravel().astype(np.int32)), pa.array(dist.ravel().astype(np.int16)), *part.columns], names=["pivot", "dist", "v", *WORDS])
+
+    return vertices.select("v", *WORDS).mapInArrow(run, f"pivot int, dist short, v struct<id:long,key:long>, {LONGS}")
+
+
+def followers(fp: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint a number; those with the same one are within the radius of one leader.
+
+    Leaders are drawn in order; a few with hardly any followers in a row end it, since the cell isn't dense then.
+    """
+    ball = np.arange(len(fp))
+    rest, missed = ball, 0
+    while len(rest) > DENSE and missed < MISSES:
+        near = hamming(fp[rest[:1]], fp[rest])[0] <= radius
+        ball[rest[near]] = rest[0]
+        missed = missed + 1 if np.count_nonzero(near) * 64 < len(fp) else 0
+        rest = rest[~near]
+    return ball
+
+
+def near_in_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i, j that join all fingerprints of a cell which pairs within the radius join.  table: distances to some pivots.
+
+    A tile of pairs is discarded if the intervals of a coordinate are further apart than the radius.
+    """
+    ball = followers(fp, radius)
+    order = np.lexsort((table[:, 0], ball))
+    fp, table, ball = fp[order], table[order], ball[order]
+    words = [np.ascontiguousarray(w) for w in fp.T]
+    left, right = [order[np.searchsorted(ball, ball)]], [order]  # a leader and its followers
+    for s in range(0, len(fp), TILE[0]):
+        e = min(len(fp), s + TILE[0])
+        low, high = table[s:e].min(0), table[s:e].max(0)
+        for a in range(s, len(fp), TILE[1]):
+            b = min(len(fp), a + TILE[1])
+            if ball[s] == ball[b - 1]:  # one ball
+                continue
+            if max((table[a:b].min(0) - high).max(), (low - table[a:b].max(0)).max()) > radius:
+                continue
+            apart = np.bitwise_count(words[0][s:e, None] ^ words[0][None, a:b])
+            apart += np.bitwise_count(words[1][s:e, None] ^ words[1][None, a:b])
+            at = np.flatnonzero(apart <= radius)
+            i, j, d = at // (b - a) + s, at % (b - a) + a, apart.ravel()[at].astype(np.int16)
+            for w in words[2:]:
+                d = d + np.bitwise_count(w[i] ^ w[j])
+                near = d <= radius
+                i, j, d = i[near], j[near], d[near]
+            later = i < j
+            left.append(order[i[later]])
+            right.append(order[j[later]])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -182,15 +222,13 @@ def _edges(cells: DataFrame, pivots: np.ndarray, radius: int) -> DataFrame:
     refs = pivots[:COORDINATES]
 
     def solve(cell: pa.Table) -> pa.RecordBatch | None:
-        fp = np.stack([cell.column(k).to_numpy() for k in ("hi", "lo")], 1).view(np.uint64)
-        dist = cell.column("dist").to_numpy()
-        order = np.argsort(dist, kind="stable")
-        table = hamming(fp, refs).astype(np.int16)
-        i, j = near_in_cell(fp[order], dist[order].astype(np.int16), table[order], radius)
-        if not len(i):
-            return None
-        label = forest(len(fp), order[i], order[j])
+        fp = _fingerprints(cell)
+        table = np.concatenate([cell.column("dist").to_numpy()[:, None], hamming(fp, refs)], 1)
+        i, j = near_in_cell(fp, table, radius)
+        label = forest(len(fp), i, j)
         child = np.flatnonzero(label != np.arange(len(fp)))
+        if not len(child):
+            return None
         v = cell.column("v").combine_chunks()
         return pa.record_batch([v.take(pa.array(child)), v.take(pa.array(label[child]))], names=["a", "b"])
 
@@ -257,23 +295,23 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     A row that is equal to its keeper is listed with the number of its further copies.
     """
     spark = docs.sparkSession
-    rows = materialise(fingerprints(docs, id_col, text_col).groupBy("doc_id", "key", "hi", "lo").agg(F.count("*").alias("n")), "fingerprints")
-    vertices = materialise(rows.groupBy("hi", "lo").agg(F.min(F.struct(_order_id("doc_id").alias("id"), "key")).alias("v")), "vertices")
+    rows = materialise(fingerprints(docs, id_col, text_col).groupBy("doc_id", "key", *WORDS).agg(F.count("*").alias("n")), "fingerprints")
+    vertices = materialise(rows.groupBy(*WORDS).agg(F.min(F.struct(_order_id("doc_id").alias("id"), "key")).alias("v")), "vertices")
     count = vertices.count()
     if not count:
         return spark.createDataFrame([], "doc_id long, keeper_id long, distance int, n_rows long, key long, is_keeper boolean")
-    drawn = vertices.orderBy(F.xxhash64("hi", "lo"), "hi", "lo").limit(math.ceil(8 * math.sqrt(count))).select("hi", "lo").collect()
-    pivots = np.array([(r["hi"], r["lo"]) for r in drawn], np.int64).view(np.uint64)
+    drawn = vertices.orderBy(F.xxhash64(*WORDS), *WORDS).limit(math.ceil(8 * math.sqrt(count))).select(*WORDS).collect()
+    pivots = np.array([tuple(r) for r in drawn], np.int64).view(np.uint64)
     roots = components(_edges(_cells(vertices, pivots), pivots, radius))
     # The keeper's own fingerprint comes along for the distance.
-    top = vertices.select(F.col("v").alias("root"), F.col("hi").alias("root_hi"), F.col("lo").alias("root_lo"))
-    named = vertices.join(roots, "v", "left").select("hi", "lo", F.coalesce("root", "v").alias("root"))
+    top = vertices.select(F.col("v").alias("root"), *(F.col(w).alias(f"root_{w}") for w in WORDS))
+    named = vertices.join(roots, "v", "left").select(*WORDS, F.coalesce("root", "v").alias("root"))
     named = named.join(top, "root")
-    found = rows.join(named, ["hi", "lo"])
+    found = rows.join(named, list(WORDS))
     is_keeper = (_order_id("doc_id") == F.col("root.id")) & (F.col("key") == F.col("root.key"))
     gone = found.withColumn("n_rows", F.when(is_keeper, F.col("n") - 1).otherwise(F.col("n"))).where("n_rows > 0")
     keeper = F.when(F.col("root.id") < (1 << 63) - 1, F.col("root.id"))
-    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("root_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("root_lo")))
+    distance = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"root_{w}"))) for w in WORDS)
     return gone.select("doc_id", keeper.alias("keeper_id"), distance.cast("int").alias("distance"), "n_rows", "key", is_keeper.alias("is_keeper"))
 
 
@@ -285,11 +323,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group."""
     found = materialise(duplicates(docs, radius, id_col, text_col), "duplicates")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    gone = found.where("NOT is_keeper").select(F.col("key").alias("__key")).distinct()
-    kept = without(keyed, gone, "__key")
-    again = found.where("is_keeper").select(F.col("key").alias("__key")).distinct()
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    gone = found.where("NOT is_keeper").select(F.col("key").alias(key)).distinct()
+    kept = without(keyed, gone, key)
+    again = found.where("is_keeper").select(F.col("key").alias(key)).distinct()
     if not again.isEmpty():  # rows that are equal to their keeper: one of each stays
-        single = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-        kept = without(kept, again, "__key").unionByName(single)
-    return kept.drop("__key")
+        nth = fresh(keyed, "nth")
+        order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*map(quoted, docs.columns))))
+        single = keyed.join(again, key, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+        kept = without(kept, again, key).unionByName(single)
+    return kept.select(*map(quoted, docs.columns))

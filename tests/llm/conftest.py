@@ -31,8 +31,8 @@ AWKWARD = [
 @pytest.fixture(scope="session")
 def awkward(spark):
     """With columns whose names operators use themselves."""
-    rows = [(*r, "x", 0.5, "k") for r in AWKWARD]
-    return spark.createDataFrame(rows, DOCS + ", id string, score double, key string").repartition(3)
+    rows = [(*r, "x", 0.5, "k", 1, "b", None, 2, "r", "f", 3) for r in AWKWARD]
+    return spark.createDataFrame(rows, DOCS + ", id string, score double, key string, `__key` long, a string, b string, part int, row string, f0 string, v int").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -54,37 +54,70 @@ def test_planted_copies_are_found(make):
     assert len(gone & set(range(30, 65))) >= 33 and not gone & set(range(30))
 
 
-def test_cells_against_all_pairs():
+def random_prints(rng, n):
+    return rng.integers(0, 1 << 64, (n, len(simhash.WORDS)), dtype=np.uint64)
+
+
+def flipped(rng, fp, bits):
+    mask = np.zeros((len(fp), simhash.BITS), np.uint8)
+    for row, n in zip(mask, np.broadcast_to(bits, len(fp))):
+        row[rng.choice(simhash.BITS, n, replace=False)] = 1
+    return fp ^ np.packbits(mask, axis=1).view("<u8")
+
+
+@pytest.mark.parametrize("dense", (10, 10_000))
+def test_cells_against_all_pairs(monkeypatch, dense):
+    """Groups of a cell: pairs at all distances, a ball of many copies, and chains that leave it."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "TILE", (16, 48))
     rng = np.random.default_rng(1)
-    fp = rng.integers(0, 1 << 63, (700, 2)).astype(np.uint64)
-    fp[350:] = fp[:350]
-    for k in range(350, 700):
-        for b in rng.integers(0, 128, rng.integers(0, 40)):
-            fp[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    pivots = fp[:3]
-    dist = simhash.hamming(fp, pivots).astype(np.int16)
-    order = np.argsort(dist[:, 0], kind="stable")
-    i, j = simhash.near_in_cell(fp[order], dist[order, 0], dist[order, 1:], simhash.RADIUS)
-    got = {tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(i, j)}
+    fp = random_prints(rng, 350)
+    fp = np.concatenate([fp, flipped(rng, fp, rng.integers(0, 90, 350)), flipped(rng, np.repeat(fp[:1], 400, 0), rng.integers(0, 35, 400)), flipped(rng, np.repeat(fp[:1], 60, 0), rng.integers(50, 75, 60))])
+    fp = fp[rng.permutation(len(fp))]
+    table = simhash.hamming(fp, fp[:3]).astype(np.int16)
+    i, j = simhash.near_in_cell(fp, table, simhash.RADIUS)
     a, b = np.nonzero(np.triu(simhash.hamming(fp, fp) <= simhash.RADIUS, 1))
-    assert got == set(zip(a.tolist(), b.tolist())) and len(got) == len(i)
+    assert np.array_equal(simhash.forest(len(fp), i, j), simhash.forest(len(fp), a, b))
+    assert (simhash.hamming(fp, fp)[i, j] <= simhash.RADIUS).all()
+    if dense == 10:
+        assert len(i) < len(a)  # copies of a leader aren't compared among themselves
 
 
 def test_isolated_pairs_share_cells_whatever_the_number_of_pivots(spark):
     """Pairs at the radius, with the pivots of 10,000, 1 million and 10 million vertices."""
     rng = np.random.default_rng(6)
-    a = rng.integers(0, 1 << 64, (400, 2), dtype=np.uint64)
-    mask = np.zeros((400, 128), np.uint8)
-    for row in mask:
-        row[rng.choice(128, simhash.RADIUS, replace=False)] = 1
-    fp = np.concatenate([a, a ^ np.packbits(mask, axis=1).view("<u8")]).view(np.int64).tolist()
-    vertices = spark.createDataFrame([((n, 0), hi, lo) for n, (hi, lo) in enumerate(fp)], "v struct<id:long,key:long>, hi long, lo long")
+    a = random_prints(rng, 400)
+    fp = np.concatenate([a, flipped(rng, a, simhash.RADIUS)]).view(np.int64).tolist()
+    vertices = spark.createDataFrame([((n, 0), *row) for n, row in enumerate(fp)], f"v struct<id:long,key:long>, {simhash.LONGS}")
     for n in (10_000, 1_000_000, 10_000_000):
-        pivots = rng.integers(0, 1 << 64, (int(8 * n**0.5), 2), dtype=np.uint64)
+        pivots = random_prints(rng, int(8 * n**0.5))
         cells = {}
         for r in simhash._cells(vertices, pivots).select("pivot", "v.id").collect():
             cells.setdefault(r["id"], set()).add(r["pivot"])
-        assert np.mean([not cells[k].isdisjoint(cells[k + 400]) for k in range(400)]) >= 0.96, n
+        assert np.mean([not cells[k].isdisjoint(cells[k + 400]) for k in range(400)]) >= 0.97, n
+
+
+def test_a_chain_reaches_beyond_the_radius(make):
+    """Each version differs a little from the one before; the last is far from the first and goes all the same."""
+    chain = [text(300)]
+    for _ in range(12):
+        words = chain[-1].split()
+        for k in RNG.sample(range(300), 12):
+            words[k] = RNG.choice(VOCAB)
+        chain.append(" ".join(words))
+    rows = {r["doc_id"]: r for r in simhash.near_duplicates(make(chain)).collect()}
+    assert set(rows) == set(range(1, 13)) and {r["keeper_id"] for r in rows.values()} == {0}
+    assert rows[12]["distance"] > simhash.RADIUS >= rows[1]["distance"]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    """Rows that agree in id and text: the one whose columns as JSON come first, wherever it lies."""
+    rows = [(1, "some words here", n, "k", 0, 0) for n in (5, 3, 9)] + [(2, "other text of words", 7, "k", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__key` long, key string, nth int, `a.b` int")
+    for parts in (1, 3):
+        kept = simhash.deduplicate(df.repartition(parts))
+        assert kept.columns == df.columns
+        assert sorted(r[2] for r in kept.collect()) == [3, 7]
 
 
 def test_components(spark):
