@@ -4,7 +4,10 @@
 OR over three-byte strings.  Each slice of documents becomes an index segment: for every
 trigram that some query names, the sorted list of the slice's documents that hold it.  Postings
 are intersected and united as the query says, and only the candidates are searched with the
-regex.  A rule whose query is empty (no mandatory trigram) searches every document.
+regex.  A rule whose query is empty (no mandatory trigram) searches every document: with Arrow's
+regex engine first, where that has the same language, so that only texts with a match become
+Python strings.  A match counts if it has the entropy that its rule asks for, and one of the rule's
+context words before it, so that a commit's digest is no key.
 
 Index and queries use bytes with A-Z folded to a-z, so a rule's case doesn't matter to them;
 the regex itself decides.  Segments are local to a task: no shuffle, one scan, any size.
@@ -19,32 +22,81 @@ Results: (doc_id, rule, start, end), offsets in characters of the whole text.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import cache
 from itertools import product
 from re import _constants as C
 from re import _parser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_text, utf8_buffer
 
-RULES: dict[str, str] = {
-    "assigned_secret": r"(?i)\b(?:token|secret|api[_-]?key|passwd|password|access[_-]?key)\s*[:=]\s*[\"'][0-9a-z_\-+/=.]{16,}[\"']",
-    "aws_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
-    "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{16,}",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
-    "url_password": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/]+",
-    "bearer": r"(?i)\bauthorization:\s*bearer\s+[0-9a-z_\-.=]{16,}",
+
+
+class Rule(NamedTuple):
+    pattern: str
+    #: What must stand within REACH characters before the match.
+    near: str | None = None
+    #: Bits for each character of the match, at least.
+    entropy: float = 0.0
+
+
+REACH = 40
+KEY_WORDS = r"(?i)(?:key|secret|token|passw|credential|auth|private)"
+RULES: dict[str, Rule] = {
+    name: Rule(pattern)
+    for name, pattern in {
+        "assigned_secret": r"(?i)\b(?:token|secret|api[_-]?key|passwd|password|access[_-]?key)\s*[:=]\s*[\"'][0-9a-z_\-+/=.]{16,}[\"']",
+        "age_key": r"\bAGE-SECRET-KEY-1[0-9A-Z]{58}\b",
+        "aws_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+        "azure_account_key": r"\bAccountKey=[0-9A-Za-z+/]{86}==",
+        "basic_auth": r"(?i)\bauthorization:\s*basic\s+[0-9a-z+/]{8,}={0,2}",
+        "bearer": r"(?i)\bauthorization:\s*bearer\s+[0-9a-z_\-.=]{16,}",
+        "braintree_token": r"\baccess_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}\b",
+        "cloud_account_key": r"\"private_key_id\"\s*:\s*\"[0-9a-f]{40}\"",
+        "container_registry_token": r"\bdckr_pat_[0-9A-Za-z_-]{27}",
+        "databricks_token": r"\bdapi[0-9a-f]{32}\b",
+        "digitalocean_token": r"\bdo[opr]_v1_[0-9a-f]{64}\b",
+        "github_fine_token": r"\bgithub_pat_[0-9A-Za-z_]{36,}",
+        "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
+        "gitlab_token": r"\bglpat-[0-9A-Za-z_-]{20}",
+        "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
+        "google_oauth": r"\bya29\.[0-9A-Za-z_-]{20,}",
+        "grafana_token": r"\bglsa_[0-9A-Za-z]{32}_[0-9a-f]{8}\b",
+        "hub_token": r"\bhf_[A-Za-z]{34}\b",
+        "jwt": r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
+        "linear_key": r"\blin_api_[0-9A-Za-z]{40}\b",
+        "mailchimp_key": r"\b[0-9a-f]{32}-us[0-9]{1,2}\b",
+        "mailgun_key": r"\bkey-[0-9a-f]{32}\b",
+        "netrc_password": r"\bmachine\s+\S+\s+login\s+\S+\s+password\s+\S+",
+        "newrelic_key": r"\bNRAK-[0-9A-Z]{27}\b",
+        "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
+        "postman_key": r"\bPMAK-[0-9a-f]{24}-[0-9a-f]{34}\b",
+        "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----",
+        "pypi_token": r"\bpypi-AgE[0-9A-Za-z_-]{50,}",
+        "sendgrid_key": r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}",
+        "shopify_token": r"\bshp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}\b",
+        "slack_token": r"\bxox[abeprs]-[0-9A-Za-z-]{10,}",
+        "slack_webhook": r"\bhooks\.slack\.com/services/T[0-9A-Z]{8,}/B[0-9A-Z]{8,}/[0-9A-Za-z]{24}",
+        "square_token": r"\bsq0(?:atp|csp|idp)-[0-9A-Za-z_-]{22,43}",
+        "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{16,}",
+        "stripe_webhook": r"\bwhsec_[0-9A-Za-z]{32,}",
+        "telegram_token": r"\b[0-9]{8,10}:AA[0-9A-Za-z_-]{33}",
+        "twilio_key": r"\b(?:SK|AC)[0-9a-f]{32}\b",
+        "url_password": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@[^\s/]+",
+    }.items()
+} | {
     # no mandatory trigram: searched in full
-    "hex_digest_key": r"\b[0-9a-f]{40}\b",
+    "hex_key": Rule(r"\b[0-9a-f]{32}(?:[0-9a-f]{8})?(?:[0-9a-f]{24})?\b", KEY_WORDS, 3.0),
+    "base64_key": Rule(r"\b[0-9A-Za-z+/]{40,88}={0,2}", KEY_WORDS, 4.5),
 }
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Most strings that a part of a regex is enumerated to, and most characters of a class.
@@ -179,18 +231,54 @@ def trigrams_of(query: object) -> set[bytes]:
     return {query} if isinstance(query, bytes) else set().union(*map(trigrams_of, query[1]))
 
 
-@cache
-def _compiled(rules: tuple[tuple[str, str], ...]):
-    compiled = {name: re.compile(p, re.ASCII) for name, p in rules}
-    for name, r in compiled.items():
-        if r.search(""):
+def entropy(text: str) -> float:
+    """Bits for each character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+#: Where Arrow's engine and Python's differ, or the former has nothing.
+DIFFERENT = re.compile(r"\\[sSZAB1-9]|\$|\^|\(\?[=!<P>(]|[*+?}]\+")
+
+
+def arrow_pattern(pattern: str) -> str | None:
+    """The pattern, if every text that Python finds it in is one that Arrow finds it in."""
+    if DIFFERENT.search(pattern):
+        return None
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return None
+    return pattern
+
+
+class Verifier:
+    """A rule's regex, and what else its matches must have."""
+
+    def __init__(self, name: str, rule: Rule):
+        self.regex = re.compile(rule.pattern, re.ASCII)
+        self.near = re.compile(rule.near) if rule.near else None
+        self.entropy = rule.entropy
+        if self.regex.search(""):
             raise ValueError(f"rule {name} matches the empty string")
-    asked = {name: trigram_query(p) for name, p in rules}
+
+    def matches(self, text: str) -> list[tuple[int, int]]:
+        return [
+            m.span()
+            for m in self.regex.finditer(text)
+            if (self.near is None or self.near.search(text[max(0, m.start() - REACH) : m.start()])) and (not self.entropy or entropy(m[0]) >= self.entropy)
+        ]
+
+
+@cache
+def _compiled(rules: tuple[tuple[str, Rule], ...]):
+    verifiers = {name: Verifier(name, rule) for name, rule in rules}
+    asked = {name: trigram_query(rule.pattern) for name, rule in rules}
     names = sorted(set().union(*map(trigrams_of, asked.values())))
     table = np.zeros(1 << 24, np.uint16)
     for k, t in enumerate(names):
         table[t[0] << 16 | t[1] << 8 | t[2]] = k + 1
-    return compiled, asked, {t: k + 1 for k, t in enumerate(names)}, table
+    sieve = {name: arrow_pattern(rule.pattern) for name, rule in rules if asked[name] is True}
+    return verifiers, asked, {t: k + 1 for k, t in enumerate(names)}, table, sieve
 
 
 def postings(column: pa.Array, table: np.ndarray) -> dict[int, np.ndarray]:
@@ -227,26 +315,29 @@ def candidates(query: object, index: dict[int, np.ndarray], number: dict[bytes,
     return out
 
 
-def scan(docs: DataFrame, rules: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: dict[str, str | Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each match of any rule in any document."""
-    chosen = tuple((rules or RULES).items())
+    chosen = tuple((name, r if isinstance(r, Rule) else Rule(r)) for name, r in (rules or RULES).items())
     _compiled(chosen)  # a faulty rule fails here, not in a task
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        compiled, asked, number, table = _compiled(chosen)
+        verifiers, asked, number, table, sieve = _compiled(chosen)
         column = piece.column("text")
         index = postings(column, table)
-        full = [name for name in compiled if asked[name] is True]
-        every = column.to_pylist() if full else None
+        texts: dict[int, str] = {}
         rows, rule, start, end = [], [], [], []
-        for name, r in compiled.items():
-            for d in candidates(asked[name], index, number, len(column)).tolist():
-                text = every[d] if every else column[d].as_py()
-                for m in r.finditer(text or ""):
+        for name, verifier in verifiers.items():
+            found = candidates(asked[name], index, number, len(column))
+            if sieve.get(name):
+                found = np.flatnonzero(pc.match_substring_regex(column, sieve[name]).fill_null(False).to_numpy(zero_copy_only=False))
+            for d in found.tolist():
+                if d not in texts:
+                    texts[d] = column[d].as_py() or ""
+                for s, e in verifier.matches(texts[d]):
                     rows.append(d)
                     rule.append(name)
-                    start.append(m.start())
-                    end.append(m.end())
+                    start.append(s)
+                    end.append(e)
         return pa.record_batch(
             [piece.column("id").take(pa.array(rows, pa.int64())), pa.array(rule, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
             names=["doc_id", "rule", "start", "end"],
