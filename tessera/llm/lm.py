@@ -52,7 +52,7 @@ MARKS = ".,;:!?*&%$#|()[]{}<>\"'`~^_=+/\\-"
 #: Types are about TYPES[0] * n ** TYPES[1].
 TYPES = (8, 0.45)
 #: Positions of a block, on average.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 EPOCHS, BATCH, RATE = 1, 4096, 0.2
 #: Levels of the tree down to a type; the one below parts the words of a bucket.
 FEATURES, LEVELS = 3, 3
@@ -285,52 +285,37 @@ def routed(codes: DataFrame, lex) -> DataFrame:
     return codes.select("row", "codes").where("codes IS NOT NULL").mapInArrow(run, ROUTED)
 
 
-class Block:
-    """The weights of some contexts, trained on their positions."""
+def repeats_apart(same: np.ndarray) -> np.ndarray:
+    """An order drawn by hash in which equal positions lie far from each other, so that each has its own step."""
+    order = np.argsort(same, kind="stable")
+    ordered = same[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(same) else np.zeros(0, np.int64)
+    nth = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
+    with np.errstate(over="ignore"):
+        return order[np.argsort(split_mix(ordered + (nth.astype(_U) << _U(20)), 14), kind="stable")]
 
-    def __init__(self, lex: Lexicon, b: np.ndarray, a: np.ndarray, number: np.ndarray, rows: int | None = None):
-        self.lex, self.n = lex, len(b)
-        width, v = lex.width, lex.vocabulary
-        self.rows = rows or max(1 << 10, 1 << (max(1, self.n) - 1).bit_length())
-        self.weights = [np.zeros((self.rows, width), np.float32) for _ in range(LEVELS + 1)]
-        self.squares = [np.zeros(self.rows, np.float32) for _ in range(LEVELS + 1)]
-        rare = number >= v
-        leaf = np.where(rare, number - v, 0)
-        kind = np.where(rare, v + leaf // width, number)
-        self.target = [*(kind // width ** (LEVELS - 1 - k) % width for k in range(LEVELS)), leaf % width]
-        self.node = [np.zeros(self.n, np.int64), self.target[0], kind // width, leaf // width]
-        self.rare = rare
-        self.inner = np.where(rare, lex.inner[leaf], 0.0)
-        x, y = b.astype(_U), a.astype(_U)
+
+class Level:
+    """The softmax of one level of the tree, for the positions of a block that go down to it."""
+
+    def __init__(self, prior: np.ndarray, context: list[np.ndarray], node: np.ndarray, target: np.ndarray, rows: int, seed: int):
+        self.prior, self.node, self.target, self.n = prior, node, target, len(node)
+        width, mask = prior.shape[1], _U(rows - 1)
+        self.weights, self.squares = np.zeros((rows, width), np.float32), np.zeros(rows, np.float32)
         with np.errstate(over="ignore"):
-            context = [split_mix(x, 1), split_mix(split_mix(x, 2) + y, 2), split_mix(y, 3)]
-            mask = _U(self.rows - 1)
-            #: (LEVELS + 1, FEATURES, n) rows of each position's features.
-            self.at = np.stack([np.stack([(split_mix(c + (node.astype(_U) << _U(36)), 5 + k) & mask).astype(np.uint32) for c in context]) for k, node in enumerate(self.node)])
-            # repeats of a position are put apart, so that each has its own step
-            same = split_mix(split_mix(split_mix(x, 11) + y, 12) + number.astype(_U), 13)
-            order = np.argsort(same, kind="stable")
-            ordered = same[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if self.n else np.zeros(0, np.int64)
-            nth = np.arange(self.n) - np.repeat(first, np.diff(np.append(first, self.n)))
-            self.order = order[np.argsort(split_mix(ordered + (nth.astype(_U) << _U(20)), 14), kind="stable")]
-        self.room = [np.empty((BATCH * FEATURES, width), np.float32) for _ in range(3)]
+            down = node.astype(_U) << _U(36)
+            #: (FEATURES, n) rows of each position's features.
+            self.at = np.stack([(split_mix(c + down, seed) & mask).astype(np.uint32) for c in context])
+        self.room = [np.empty((min(BATCH, self.n) * FEATURES, width), np.float32) for _ in range(3)]
         self.ones = np.ones((width, 1), np.float32)
 
-    def _levels(self, batch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each level, and the positions of the batch that go down to it."""
-        for level in range(LEVELS):
-            yield level, batch
-        rare = batch[self.rare[batch]]
-        if len(rare):
-            yield LEVELS, rare
-
-    def scores(self, level: int, batch: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def scores(self, batch: slice) -> np.ndarray:
         """The bias and the rows of all features: a sparse product."""
-        z, part = self.room[0][: len(batch)], self.room[1][: len(batch)]
-        np.take(self.lex.prior[level], self.node[level][batch], axis=0, out=z, mode="clip")
-        for rows in at:
-            np.take(self.weights[level], rows, axis=0, out=part, mode="clip")
+        node = self.node[batch]
+        z, part = self.room[0][: len(node)], self.room[1][: len(node)]
+        np.take(self.prior, node, axis=0, out=z, mode="clip")
+        for rows in self.at:
+            np.take(self.weights, rows[batch], axis=0, out=part, mode="clip")
             z += part
         return np.clip(z, -HIGHEST, HIGHEST, out=z)
 
@@ -356,34 +341,70 @@ class Block:
             total[more] += np.add.reduceat(np.take(g, left, axis=0, out=part[: len(left)], mode="clip"), begin, axis=0)
         return row[start], total
 
-    def train(self, epochs: int = EPOCHS, rate: float = RATE) -> None:
-        for _ in range(epochs):
-            for s in range(0, self.n, BATCH):
-                for level, batch in self._levels(self.order[s : s + BATCH]):
-                    at = self.at[level][:, batch]
-                    g = self.scores(level, batch, at)
-                    np.exp(g, out=g)
-                    g *= 1 / (g @ self.ones)
-                    g[np.arange(len(batch)), self.target[level][batch]] -= 1
-                    rows, total = self._sums(g, at)
-                    step = self.squares[level][rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
-                    self.squares[level][rows] = step
-                    total *= (rate / np.sqrt(step + np.float32(1e-4)))[:, None]
-                    weights = self.weights[level]
-                    new = np.take(weights, rows, axis=0, out=self.room[2][: len(rows)], mode="clip")
-                    new -= total
-                    row = f"V{4 * weights.shape[1]}"  # a row as one element
-                    weights.view(row)[:, 0][rows] = new.view(row)[:, 0]
+    def train(self, epochs: int = EPOCHS) -> None:
+        whole = self.weights.view(f"V{4 * self.weights.shape[1]}")[:, 0]  # a row as one element
+        for s in [*range(0, self.n, BATCH)] * epochs:
+            batch = slice(s, s + BATCH)
+            g, target = self.scores(batch), self.target[batch]
+            np.exp(g, out=g)
+            g *= 1 / (g @ self.ones)
+            g[np.arange(len(g)), target] -= 1
+            rows, total = self._sums(g, self.at[:, batch])
+            step = self.squares[rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+            self.squares[rows] = step
+            total *= (RATE / np.sqrt(step + np.float32(1e-4)))[:, None]
+            new = np.take(self.weights, rows, axis=0, out=self.room[2][: len(rows)], mode="clip")
+            new -= total
+            whole[rows] = new.view(whole.dtype)[:, 0]
 
     def logprobs(self) -> np.ndarray:
-        """Natural log probability of each position's word."""
-        out = self.inner.copy()
+        """Natural log of each position's share of its node."""
+        out = np.zeros(self.n)
         for s in range(0, self.n, BATCH):
-            for level, batch in self._levels(np.arange(s, min(self.n, s + BATCH))):
-                z = self.scores(level, batch, self.at[level][:, batch])
-                chosen = z[np.arange(len(batch)), self.target[level][batch]].astype(np.float64)
-                np.exp(z, out=z)
-                out[batch] += chosen - np.log((z @ self.ones)[:, 0].astype(np.float64))
+            batch = slice(s, s + BATCH)
+            z, target = self.scores(batch), self.target[batch]
+            chosen = z[np.arange(len(z)), target].astype(np.float64)
+            np.exp(z, out=z)
+            out[batch] = chosen - np.log((z @ self.ones)[:, 0].astype(np.float64))
+        return out
+
+
+class Block:
+    """Some contexts' positions, in the order of their training."""
+
+    def __init__(self, lex: Lexicon, b: np.ndarray, a: np.ndarray, number: np.ndarray):
+        self.lex, self.n = lex, len(b)
+        self.rows = max(1 << 10, 1 << (max(1, self.n) - 1).bit_length())
+        with np.errstate(over="ignore"):
+            x, y = b.astype(_U), a.astype(_U)
+            self.order = repeats_apart(split_mix(split_mix(split_mix(x, 11) + y, 12) + number.astype(_U), 13))
+            x, y = x[self.order], y[self.order]
+            self.context = [split_mix(x, 1), split_mix(split_mix(x, 2) + y, 2), split_mix(y, 3)]
+        self.number = number[self.order]
+
+    def levels(self) -> Iterator[tuple[np.ndarray | slice, Level]]:
+        """Each level, untrained, and its positions.  No level needs another, so one at a time is in memory."""
+        width, v = self.lex.width, self.lex.vocabulary
+        rare = np.flatnonzero(self.number >= v)
+        leaf = self.number[rare] - v
+        kind = self.number.copy()
+        kind[rare] = v + leaf // width
+        for k in range(LEVELS):
+            rest = width ** (LEVELS - 1 - k)
+            yield slice(None), Level(self.lex.prior[k], self.context, kind // (rest * width), kind // rest % width, self.rows, 5 + k)
+        if len(rare):
+            yield rare, Level(self.lex.prior[LEVELS], [c[rare] for c in self.context], leaf // width, leaf % width, self.rows, 5 + LEVELS)
+
+    def logprobs(self, epochs: int = EPOCHS) -> np.ndarray:
+        """Natural log probability of each position's word, after training."""
+        total = np.zeros(self.n)
+        rare = np.flatnonzero(self.number >= self.lex.vocabulary)
+        total[rare] = self.lex.inner[self.number[rare] - self.lex.vocabulary]
+        for where, level in self.levels():
+            level.train(epochs)
+            total[where] += level.logprobs()
+        out = np.empty(self.n)
+        out[self.order] = total
         return out
 
 
@@ -396,9 +417,7 @@ def block_scores(routes: DataFrame, lex) -> DataFrame:
 
     def solve(held: list[dict], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         row, b, a, number = (np.concatenate([unpacked(h[c], h["n"]) + (h["base"] if c == "rows" else 0) for h in held]) for c in ("rows", "b", "a", "word"))
-        block = Block(lexicon, b, a, number)
-        block.train()
-        return row, block.logprobs()
+        return row, Block(lexicon, b, a, number).logprobs()
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         row, logprob = (np.concatenate(x) for x in zip(*parts))

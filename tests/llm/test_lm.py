@@ -26,7 +26,19 @@ def block_of(texts, lex):
     return lm.Block(lex, *lm.before(codes, counts), lex.numbers(codes)), codes, counts
 
 
-def brute(block, codes, counts):
+def trained(block, epochs=2):
+    """Log probability of each position, and the weights of each level."""
+    out, weights = np.zeros(block.n), []
+    rare = block.number >= block.lex.vocabulary
+    out[rare] = block.lex.inner[block.number[rare] - block.lex.vocabulary]
+    for where, level in block.levels():
+        level.train(epochs)
+        out[where] += level.logprobs()
+        weights.append(level.weights)
+    return out[np.argsort(block.order)], weights
+
+
+def brute(block, weights, codes, counts):
     """Word by word, with dense softmaxes down the tree."""
     lex, out, start = block.lex, [], 0
     w = lex.width
@@ -44,7 +56,7 @@ def brute(block, codes, counts):
                 z = lex.prior[level][node].astype(float)
                 with np.errstate(over="ignore"):
                     for c in (lm.split_mix(b, 1), lm.split_mix(lm.split_mix(b, 2) + a, 2), lm.split_mix(a, 3)):
-                        z = z + block.weights[level][int(lm.split_mix(c + np.uint64(node << 36), 5 + level) & np.uint64(block.rows - 1))]
+                        z = z + weights[level][int(lm.split_mix(c + np.uint64(node << 36), 5 + level) & np.uint64(block.rows - 1))]
                 total += z[branch] - np.log(np.exp(z).sum())
             out.append(total)
     return np.array(out)
@@ -66,10 +78,9 @@ def corpus(n, seed, words=60):
 def test_scores_against_brute_force():
     texts = corpus(40, 1) + ["", None, "one", "never seen words at all", "W1, w2. W3!"]
     block, codes, counts = block_of(texts, lexicon(texts))
-    block.train(2)
-    got = block.logprobs()
-    assert block.rare.any() and not block.rare.all()
-    assert np.allclose(got, brute(block, codes, counts), atol=1e-4)
+    got, weights = trained(block)
+    assert len(weights) == 4
+    assert np.allclose(got, brute(block, weights, codes, counts), atol=1e-4) and np.allclose(got, block.logprobs(2))
 
 
 def test_the_whole_query_against_brute_force(spark, make):
@@ -86,7 +97,6 @@ def test_the_whole_query_against_brute_force(spark, make):
     for k in np.unique(place):
         mine = np.flatnonzero(place == k)
         block = lm.Block(lex, b[mine], a[mine], lex.numbers(codes[mine]))
-        block.train()
         want += np.bincount(doc[mine], block.logprobs(), minlength=len(texts))
     for parts in (1, 5):  # whatever the partitioning
         got = {r["doc_id"]: r for r in lm.score(make(texts).repartition(parts), block=size).collect()}
@@ -105,19 +115,25 @@ def test_probabilities_sum_to_one():
     texts = corpus(60, 1)
     lex = lexicon(texts)
     block, _, _ = block_of(texts, lex)
-    block.train(2)
-    codes = np.unique(lm.tokenize(texts)[0])
-    words = lm.Block(lex, np.full(len(codes), 6), np.full(len(codes), 7), lex.numbers(codes), block.rows)
-    words.weights = block.weights
-    total = np.exp(words.logprobs()).sum()
+    _, weights = trained(block)
+    words = np.unique(lm.tokenize(texts)[0])
+    # each word of the corpus after the same two words
+    after = lm.Block(lex, np.full(len(words), 6), np.full(len(words), 7), lex.numbers(words))
+    rare = after.number >= lex.vocabulary
+    logprob = np.zeros(len(words))
+    logprob[rare] = lex.inner[after.number[rare] - lex.vocabulary]
+    after.rows = block.rows
+    for (where, level), w in zip(after.levels(), weights):
+        level.weights = w
+        logprob[where] += level.logprobs()
+    total = np.exp(logprob).sum()
     assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_learning_helps():
     texts = corpus(300, 1)
     block, codes, _ = block_of(texts, lexicon(texts))
-    before = -block.logprobs().mean()  # frequency alone
-    block.train()
+    before = -block.logprobs(0).mean()  # frequency alone
     assert -block.logprobs().mean() < before - 1.0
 
 
@@ -136,10 +152,12 @@ def test_gradient_sums():
     texts = corpus(5, 1)
     block, _, _ = block_of(texts, lexicon(texts))
     width = block.lex.width
+    _, level = next(block.levels())
+    level.room = [np.empty((6000, width), np.float32) for _ in range(3)]
     g = rng.normal(size=(2000, width)).astype(np.float32)
     for high in (5, 300, block.rows):
         at = rng.integers(0, high, (lm.FEATURES, 2000)).astype(np.uint32)
-        rows, total = block._sums(g, at)
+        rows, total = level._sums(g, at)
         want = np.zeros((block.rows, width))
         for f in range(lm.FEATURES):
             np.add.at(want, at[f], g.astype(float))
