@@ -11,7 +11,8 @@ their id; scoring reads every passage of every document.  The label is `quality`
 used, since a toxic document may well be of high quality.
 
 * Null and blank texts have nothing to score: score 0, rejected.
-* Labels that are null, or that contradict each other for one document, aren't learned from.
+* Labels that are null, or that contradict each other for one document, or whose document isn't
+  there, aren't learned from and don't count for the sample.
 * With labels of one class only, or none, there is no model: score null, everything is kept.
 * Rows are scored one by one, so repeated rows and null ids pass through with their own score.
 * An empty table gives an empty result; other columns don't matter, whatever their names.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,13 +140,11 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 7)
 
 def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Encoded passages, passages of each document, and its label, of the sample."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    # Labels are one row a document as a rule; the order is by id within equal hashes, so all rows of an id are together.
-    drawn = ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    wanted: dict[int, set[int]] = {}
-    for r in drawn:
-        wanted.setdefault(r["id"], set()).add(int(r["y"] > 0))
-    y_of = {i: y.pop() for i, y in wanted.items() if len(y) == 1}
+    ids = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    ids = ids.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other")
+    there = docs.select(F.col(id_col).cast("long").alias("id"))  # ids alone
+    drawn = ids.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    y_of = {r["id"]: r["y"] for r in drawn}
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in y_of], "id long"))  # at most `sample` rows
 
@@ -188,8 +188,8 @@ def classify(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
 def judged(column: pa.Array, model: Model) -> np.ndarray:
     """Scores, blank texts included."""
     s = model.score(column)
-    blank = np.array([t is None or not t.strip() for t in column.to_pylist()], bool) if len(column) else np.zeros(0, bool)
-    s[blank] = 0.0
+    blank = pc.or_kleene(pc.utf8_is_space(column), pc.equal(pc.binary_length(column), 0)).fill_null(True)
+    s[blank.to_numpy(zero_copy_only=False).astype(bool)] = 0.0
     return s
 
 
