@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.controls import ALIVE
+
 
 def dedup_positions(rows: list[tuple[str, int, int, str, float]], text_limit: float = 0.85, line_limit: float = 0.25) -> list[int]:
     """Indices kept of (filepath, start, end, text, score) in rank order.
@@ -43,28 +46,35 @@ def dedup_positions(rows: list[tuple[str, int, int, str, float]], text_limit: fl
     return kept
 
 
-def deduplicate(df: DataFrame, text_limit: float = 0.85, line_limit: float = 0.25) -> DataFrame:
-    """Rows (query_id, pos, filepath, start_line, end_line, chunk_text, score, ...) that survive.  One group is one query's candidates."""
+def mark_duplicates(df: DataFrame, text_limit: float = 0.85, line_limit: float = 0.25) -> DataFrame:
+    """ALIVE narrowed to the rows that survive.  One group is one query's candidates; whole rows pass through as Arrow."""
+    alive = df.columns.index(ALIVE)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        rows = list(zip(pdf.filepath, pdf.start_line, pdf.end_line, pdf.chunk_text, pdf.score))
-        return pdf.iloc[dedup_positions(rows, text_limit, line_limit)][["query_id", "pos"]]
+    def fold(group: pa.Table) -> pa.Table:
+        taken = np.flatnonzero(group.column(ALIVE).to_numpy())
+        taken = taken[np.argsort(group.column("pos").to_numpy()[taken], kind="stable")]
+        rows = list(zip(*(group.column(c).take(pa.array(taken)).to_pylist() for c in ("filepath", "start_line", "end_line", "chunk_text", "score"))))
+        kept = np.zeros(group.num_rows, bool)
+        kept[taken[dedup_positions(rows, text_limit, line_limit)]] = True
+        return group.set_column(alive, ALIVE, pa.array(kept))
 
-    narrow = df.select("query_id", "pos", "filepath", "start_line", "end_line", "chunk_text", "score")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name in ("query_id", "pos"))
-    return df.join(narrow.groupBy("query_id").applyInPandas(fold, schema), ["query_id", "pos"])
+    return df.groupBy("query_id").applyInArrow(fold, df.schema)
 
 
-def token_budget(df: DataFrame, max_tokens: int = 8000, max_results: int = 8, file_ratio: float = 0.45, overhead: int = 50, per_file: bool = True) -> DataFrame:
+def deduplicate(df: DataFrame, text_limit: float = 0.85, line_limit: float = 0.25) -> DataFrame:
+    """Rows (query_id, pos, filepath, start_line, end_line, chunk_text, score, ...) that survive."""
+    return mark_duplicates(df.withColumn(ALIVE, F.lit(True)), text_limit, line_limit).where(ALIVE).drop(ALIVE)
+
+
+def mark_token_budget(df: DataFrame, max_tokens: int = 8000, max_results: int = 8, file_ratio: float = 0.45, overhead: int = 50, per_file: bool = True) -> DataFrame:
     """Greedy assembly in rank order, with budget_used, budget_stopped, budget_skipped of its query.
 
     The total budget and the number of results stop it; a file's share only skips a row.  With
-    one file there is no share.  A native fold over an array of each query's rows.
+    one file there is no share.  A native fold over an array of each query's rows, made by a window.
     """
     file_budget = int(max_tokens * file_ratio)
-    share = "cardinality(array_distinct(transform(items, i -> i.filepath))) > 1" if per_file else "false"
-    items = df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "filepath", F.col("token_count").cast("long").alias("tokens")))).alias("items"))
+    share = "cardinality(array_distinct(transform(__items, i -> i.filepath))) > 1" if per_file else "false"
+    item = F.when(F.col(ALIVE), F.struct("pos", "filepath", F.col("token_count").cast("long").alias("tokens")))
     cost = f"(x.tokens + {overhead})"
 
     def state(total: str, stop: str, skipped: str, files: str, taken: str) -> str:
@@ -73,11 +83,20 @@ def token_budget(df: DataFrame, max_tokens: int = 8000, max_results: int = 8, fi
     position = df.schema["pos"].dataType.simpleString()
     keep = ("s.total", "s.stop", "s.skipped", "s.files", "s.taken")
     files = f"map_concat(map_filter(s.files, (k, v) -> k <> x.filepath), map(x.filepath, coalesce(s.files[x.filepath], 0L) + {cost}))"
-    fold = f"""aggregate(items, {state("0L", "false", "0L", "cast(map() as map<string,bigint>)", f"cast(array() as array<{position}>)")}, (s, x) ->
+    fold = f"""aggregate(__items, {state("0L", "false", "0L", "cast(map() as map<string,bigint>)", f"cast(array() as array<{position}>)")}, (s, x) ->
       CASE WHEN s.stop OR cardinality(s.taken) >= {max_results} THEN s
            WHEN s.total + {cost} > {max_tokens} THEN {state("s.total", "true", *keep[2:])}
            WHEN {share} AND coalesce(s.files[x.filepath], 0L) + {cost} > {file_budget} THEN {state("s.total", "s.stop", "s.skipped + 1L", *keep[3:])}
            ELSE {state(f"s.total + {cost}", "s.stop", "s.skipped", files, "array_append(s.taken, x.pos)")} END)"""
-    folded = items.select("query_id", F.expr(fold).alias("s"))
-    taken = folded.select("query_id", F.explode("s.taken").alias("pos"), F.col("s.total").alias("budget_used"), F.col("s.stop").alias("budget_stopped"), F.col("s.skipped").alias("budget_skipped"))
-    return df.join(taken, ["query_id", "pos"])
+    whole = Window.partitionBy("query_id")
+    # the fold runs once a query, on its first row; the others take it from there
+    first = Window.partitionBy("query_id").orderBy("pos")
+    marked = df.withColumn("__items", F.when(F.row_number().over(first) == 1, F.array_sort(F.collect_list(item).over(whole))))
+    marked = marked.withColumn("__s", F.max(F.when(F.col("__items").isNotNull(), F.expr(fold).dropFields("files"))).over(whole)).drop("__items")
+    marked = marked.withColumn(ALIVE, F.col(ALIVE) & F.array_contains("__s.taken", F.col("pos")))
+    return marked.withColumns({"budget_used": F.col("__s.total"), "budget_stopped": F.col("__s.stop"), "budget_skipped": F.col("__s.skipped")}).drop("__s")
+
+
+def token_budget(df: DataFrame, max_tokens: int = 8000, max_results: int = 8, file_ratio: float = 0.45, overhead: int = 50, per_file: bool = True) -> DataFrame:
+    """The rows that the budget takes."""
+    return mark_token_budget(df.withColumn(ALIVE, F.lit(True)), max_tokens, max_results, file_ratio, overhead, per_file).where(ALIVE).drop(ALIVE)

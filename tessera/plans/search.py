@@ -16,7 +16,7 @@ from tessera.functions.columns import format_result, mentions_tests, resolve_int
 from tessera.functions.embedding import Embedder, HashEmbedder, lexical_score
 from tessera.operators import controls, folds, references, stats
 from tessera.operators.filters import filter_chunks, languages_of, project_root, resolve_directory, with_files
-from tessera.operators.search import search_book_chunks, vector_top_k_batch
+from tessera.operators.search import is_small, search_book_chunks, vector_top_k_batch
 from tessera.sources.snapshots import Store
 
 Reranker = Callable[[DataFrame], DataFrame]
@@ -29,10 +29,9 @@ def lexical_reranker(df: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, files: DataFrame, queries: DataFrame, settings: Settings = Settings(), **filters) -> DataFrame:
-    """The retrieval_k most similar chunks of each query, then those above the similarity threshold."""
+    """The retrieval_k most similar chunks of each query, whatever their similarity."""
     pool = filter_chunks(with_files(chunks, files), **filters)
-    top = vector_top_k_batch(pool, queries.select("query_id", "query_vector"), settings.retrieval_k)
-    return top.where(F.col("similarity") >= settings.similarity_threshold)
+    return vector_top_k_batch(pool, queries.select("query_id", "query_vector"), settings.retrieval_k)
 
 
 def resolve_budget(max_tokens: int | None, settings: Settings = Settings()) -> int:
@@ -41,37 +40,45 @@ def resolve_budget(max_tokens: int | None, settings: Settings = Settings()) -> i
     return top if max_tokens is None else max(1 if top < 256 else 256, min(max_tokens, top))
 
 
-def stages(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, max_tokens: int | None = None) -> dict[str, DataFrame]:
-    """Every step from candidates to assembled rows, by name, as lazy DataFrames."""
-    out = {"above": cands}
-    scored = reranker(cands.drop("rank").join(queries.select("query_id", "query"), "query_id"))
-    out["scored"] = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "chunk_id")))
-    out["passed"] = controls.relative_threshold(out["scored"], settings.rerank_relative_factor, settings.rerank_score_floor)
-    out["distinct"] = folds.deduplicate(out["passed"])
-    out["capped"] = controls.test_filter(out["distinct"], include_tests, max_file_chunks)
+#: What each step lets through, as boolean columns of `stages`, in order.
+STEPS = ("above", "passed", "distinct", "capped", "controlled", "taken")
+
+
+def stages(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, max_tokens: int | None = None) -> DataFrame:
+    """All candidates, with a column for each of STEPS that says whether they are still there after it.
+
+    Every step works on the same rows of a query, so candidates are computed once and shuffled once.
+    """
+    alive = F.col(controls.ALIVE)
+    df = cands.drop("rank").join(F.broadcast(queries.select("query_id", "query")) if is_small(queries) else queries.select("query_id", "query"), "query_id")
+    df = reranker(df).withColumn(controls.ALIVE, F.col("similarity") >= settings.similarity_threshold).withColumn("above", alive)
+    df = df.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("above"), F.desc("score"), F.desc("similarity"), "chunk_id")))
     hierarchical = settings.hierarchical_assembly_enabled
-    out["controlled"] = controls.per_file_controls(out["capped"], settings.max_symbols_per_file) if hierarchical else out["capped"]
-    out["taken"] = folds.token_budget(out["controlled"], resolve_budget(max_tokens, settings), settings.rerank_top_k_output, settings.per_file_budget_ratio, per_file=hierarchical)
-    return out
+    df = controls.mark_relative_threshold(df, settings.rerank_relative_factor, settings.rerank_score_floor).withColumn("passed", alive)
+    df = folds.mark_duplicates(df).withColumn("distinct", alive)
+    df = controls.mark_test_filter(df, include_tests, max_file_chunks).withColumn("capped", alive)
+    df = (controls.mark_per_file_controls(df, settings.max_symbols_per_file) if hierarchical else df).withColumn("controlled", alive)
+    df = folds.mark_token_budget(df, resolve_budget(max_tokens, settings), settings.rerank_top_k_output, settings.per_file_budget_ratio, per_file=hierarchical)
+    return df.withColumnRenamed(controls.ALIVE, "taken")
 
 
 def rank(cands: DataFrame, queries: DataFrame, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), **options) -> DataFrame:
     """Reranked, filtered, assembled rows."""
-    return stages(cands, queries, reranker, settings, **options)["taken"]
+    return stages(cands, queries, reranker, settings, **options).where("taken").drop(*STEPS)
 
 
-def counters(queries: DataFrame, found: DataFrame, steps: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
+def counters(queries: DataFrame, steps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, ...) what each step of `stages` let through and dropped, with outcome and reason, for the search log."""
-    n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    df = queries.select("query_id").join(n(found, "candidates"), "query_id", "left")
-    for step, name in (("above", "above_similarity"), ("passed", "passed_threshold"), ("distinct", "deduplicated_count"), ("capped", "after_tests_and_cap"), ("controlled", "after_per_file")):
-        df = df.join(n(steps[step], name), "query_id", "left")
-    top = steps["scored"].groupBy("query_id").agg(F.max("score").alias("top_score"))
-    kind = lambda df, name: df.where("chunk_type = 'file'").groupBy("query_id").agg(F.count("*").alias(name))
-    relaxed = steps["capped"].groupBy("query_id").agg(F.max("test_filter_relaxed").alias("test_filter_relaxed"))
-    budget = steps["taken"].groupBy("query_id").agg(F.count("*").alias("returned_results"), F.max("budget_used").alias("used_tokens"), F.max("budget_stopped").alias("token_budget_exhausted"), F.max("budget_skipped").alias("per_file_budget_skipped"))
-    for part in (top, kind(steps["distinct"], "files_before"), kind(steps["capped"], "file_chunks_selected"), kind(steps["controlled"], "files_after"), relaxed, budget):
-        df = df.join(part, "query_id", "left")
+    n = lambda step, name: F.count_if(step).alias(name)
+    files = lambda step, name: F.count_if(F.col(step) & (F.col("chunk_type") == "file")).alias(name)
+    # the budget's columns are the same in all rows of a query
+    counted = steps.groupBy("query_id").agg(
+        F.count("*").alias("candidates"), n("above", "above_similarity"), n("passed", "passed_threshold"), n("distinct", "deduplicated_count"), n("capped", "after_tests_and_cap"), n("controlled", "after_per_file"), n("taken", "returned_results"),
+        files("distinct", "files_before"), files("capped", "file_chunks_selected"), files("controlled", "files_after"),
+        F.max(F.when(F.col("above"), F.col("score"))).alias("top_score"), F.max(F.col("test_filter_relaxed") & F.col("capped")).alias("test_filter_relaxed"),
+        *(F.max(F.when(F.col("taken"), F.col(c))).alias(name) for c, name in (("budget_used", "used_tokens"), ("budget_stopped", "token_budget_exhausted"), ("budget_skipped", "per_file_budget_skipped"))),
+    )
+    df = queries.select("query_id").join(counted, "query_id", "left")
     zero = [c for c in df.columns if c not in ("query_id", "top_score", "test_filter_relaxed", "token_budget_exhausted")]
     df = df.fillna(0, zero).fillna(0.0, ["top_score"]).fillna(False, ["test_filter_relaxed", "token_budget_exhausted"])
     threshold = F.greatest(F.lit(settings.rerank_score_floor), F.col("top_score") * settings.rerank_relative_factor)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as fn
@@ -94,36 +94,41 @@ def query_vectors(spark: SparkSession, d: str, n: int) -> DataFrame:
 
 # == Vector search ==
 
-SIM = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
+SIM = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+def shown() -> Column:
+    """As it is compared; order and limits use the value itself."""
+    return F.round("similarity", 6).alias("similarity")
 
 
 @query(f"""
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 t AS (SELECT vec_id, label, {SIM.format(a='embedding', b='q.e')} AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 50)
-SELECT * FROM t WHERE similarity >= 0.3""")
+SELECT vec_id, label, round(similarity, 6) AS similarity FROM t WHERE similarity >= 0.3""")
 def vector_topk(spark, d):
     df = table(spark, d, "embeddings")
-    return search.vector_top_k(df, vector(spark, d, 0), 50, "vec_id", min_similarity=0.3).select("vec_id", "label", "similarity")
+    return search.vector_top_k(df, vector(spark, d, 0), 50, "vec_id", min_similarity=0.3).select("vec_id", "label", shown())
 
 
 @query(f"""
 WITH {WITH}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1)
-SELECT chunk_id, filepath, language, chunk_type, {SIM.format(a='c.embedding', b='q.e')} AS similarity
+SELECT chunk_id, filepath, language, chunk_type, round({SIM.format(a='c.embedding', b='q.e')}, 6) AS similarity
 FROM v_chunks c JOIN v_files f USING (filepath), q
 WHERE c.embedding IS NOT NULL AND language IN ('python', 'typescript') AND filepath LIKE '/repo/src1%' AND chunk_type = 'function'
-ORDER BY similarity DESC, chunk_id LIMIT 20""")
+ORDER BY {SIM.format(a='c.embedding', b='q.e')} DESC, chunk_id LIMIT 20""")
 def vector_topk_filtered(spark, d):
     found = search.search_chunks(v_chunks(spark, d), v_files(spark, d), vector(spark, d, 1), 20, languages=["python", "typescript"], directory="/repo/src1", chunk_type="function")
-    return found.select("chunk_id", "filepath", "language", "chunk_type", "similarity")
+    return found.select("chunk_id", "filepath", "language", "chunk_type", shown())
 
 
 @query(f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {SIM.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+SELECT query_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def vector_topk_batch(spark, d):
     df = search.vector_top_k_batch(table(spark, d, "embeddings"), query_vectors(spark, d, 20), 10, "vec_id")
-    return df.select("query_id", "vec_id", "similarity", "rank")
+    return df.select("query_id", "vec_id", shown(), "rank")
 
 
 # == Ranking controls ==
@@ -135,13 +140,13 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 c AS (SELECT * FROM r WHERE pos <= 30),
 t AS (SELECT *, score >= greatest(0.4, max(score) OVER (PARTITION BY query_id) * 0.75) AS ok FROM c),
 u AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY query_id) AS n FROM t)
-SELECT query_id, pos, vec_id, score FROM u WHERE ok OR (n = 0 AND pos <= 3)""")
+SELECT query_id, pos, vec_id, round(score, 6) AS score FROM u WHERE ok OR (n = 0 AND pos <= 3)""")
 def relative_threshold(spark, d):
     q = query_vectors(spark, d, 10)
     df = search.vector_top_k_batch(table(spark, d, "embeddings"), q, 31, "vec_id").where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     df = df.withColumn("pos", F.row_number().over(w)).where("pos <= 30").withColumnRenamed("similarity", "score")
-    return controls.relative_threshold(df).select("query_id", "pos", "vec_id", "score")
+    return controls.relative_threshold(df).select("query_id", "pos", "vec_id", F.round("score", 6).alias("score"))
 
 
 PATTERN = "'(?i)(?:^|/)(?:tests?|__tests__)/|\\.(?:spec|test)\\.[^/]+$'"
@@ -539,11 +544,11 @@ def book_list(spark, d):
 @query(f"""
 WITH p AS (SELECT e.vec_id AS passage_id, e.label AS book_id, e.embedding FROM embeddings e), b AS (SELECT DISTINCT label AS book_id, CASE WHEN label % 2 = 0 THEN 'software' ELSE 'other' END AS category FROM embeddings),
 q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3)
-SELECT passage_id, book_id, category, {SIM.format(a='p.embedding', b='q.e')} AS similarity FROM p JOIN b USING (book_id), q WHERE category = 'software' ORDER BY similarity DESC, passage_id LIMIT 25""")
+SELECT passage_id, book_id, category, round({SIM.format(a='p.embedding', b='q.e')}, 6) AS similarity FROM p JOIN b USING (book_id), q WHERE category = 'software' ORDER BY {SIM.format(a='p.embedding', b='q.e')} DESC, passage_id LIMIT 25""")
 def book_search(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("label").alias("book_id"), "embedding")
     shelf = e.select("book_id").distinct().withColumn("category", F.when(F.col("book_id") % 2 == 0, "software").otherwise("other"))
-    return search.search_book_chunks(e, shelf, vector(spark, d, 3), 25, category="software").select("passage_id", "book_id", "category", "similarity")
+    return search.search_book_chunks(e, shelf, vector(spark, d, 3), 25, category="software").select("passage_id", "book_id", "category", shown())
 
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -748,12 +753,12 @@ def search_log_counters(spark, d):
     q = query_vectors(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), "query_id")
     q = q.select("query_id", "query", "query_vector")
     found = plan.candidates(v_chunks(spark, d), v_files(spark, d), q)
-    return plan.counters(q, found, plan.stages(found, q))
+    return plan.counters(q, plan.stages(found, q))
 
 
 @query()
 def lsh_topk(spark, d):
-    return search.lsh_top_k(table(spark, d, "embeddings"), vector(spark, d, 0), 10, "vec_id").select("vec_id", "similarity")
+    return search.lsh_top_k(table(spark, d, "embeddings"), vector(spark, d, 0), 10, "vec_id").select("vec_id", shown())
 
 
 @query()

@@ -127,7 +127,7 @@ def test_counters(spark):
     cands = spark.createDataFrame(rows, schema)
     queries = spark.createDataFrame([(0, "alpha beta"), (1, "alpha"), (2, "none")], "query_id int, query string")
     steps = plan.stages(cands, queries)
-    got = {r["query_id"]: r.asDict() for r in plan.counters(queries, cands, steps).collect()}
+    got = {r["query_id"]: r.asDict() for r in plan.counters(queries, steps).collect()}
     assert (got[0]["outcome"], got[0]["returned_results"], got[0]["cut_count"], got[0]["per_file_file_replaced"], got[0]["per_file_symbol_capped"], got[0]["used_tokens"]) == ("ok", 2, 1, 1, 0, 300)
     assert got[0]["tests_and_files_dropped"] == 1 and got[0]["top_score"] == 1.0 and not got[0]["fallback_used"]
     assert (got[1]["outcome"], got[1]["reason"]) == ("empty_after_budget", "first_chunk_exceeded_budget")
