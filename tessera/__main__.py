@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import HashEmbedder
-from tessera.operators import analytics, merge, stats
+from tessera.operators import analytics, stats
 from tessera.plans import index, search
 from tessera.session import local_session, ship
 from tessera.sources import logs
@@ -50,6 +50,7 @@ def main(argv: list[str] | None = None) -> None:
     verb("check", project)
     verb("delete", project)
     verb("prune")
+    verb("vacuum", ("--keep", {"type": int, "default": 10}))
     verb("reset")
     verb("watch", ("projects", {"nargs": "*"}), ("--checkpoint", {"required": True}), ("--every", {"default": "30 seconds"}))
     verb("index-books", path, ("--category", {"default": "software"}), force)
@@ -83,7 +84,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.verb == "delete":
         print(json.dumps(index.delete_project(store, a.project)))
     elif a.verb == "prune":
-        store.commit(chunks=merge.prune_orphans(chunks, files))
+        index.prune(store)
+    elif a.verb == "vacuum":
+        print(json.dumps({"deleted": store.vacuum(a.keep)}))
     elif a.verb == "reset":
         store.reset()
     elif a.verb == "watch":

@@ -197,7 +197,8 @@ class Service:
 
     def search_codebase(self, query: str | list[str], **options) -> DataFrame:
         at = self.store.current()
-        chunks = self.store.read("chunks", at).drop("project_id")
+        project = options.get("project")
+        chunks = self.store.read("chunks", at, None if project is None else [project]).drop("project_id")  # of one project, its files alone
         return search(chunks, self.store.read("files", at), self._queries([query] if isinstance(query, str) else query), reranker=self.reranker, settings=self.settings, **options)
 
     def search_by_file(self, filepath: str, query: str, **options) -> DataFrame:

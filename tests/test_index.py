@@ -15,7 +15,7 @@ from tessera.plans import search as plan
 from tessera.plans.index import check_status, delete_project, index_books, index_project, sync_all
 from tessera.sources import logs
 from tessera.sources.files import collect_files, list_files, read_files
-from tessera.sources.snapshots import Store
+from tessera.sources.snapshots import FILES, Conflict, Store
 from tessera.streaming.watch import watch
 
 CODE = "def {name}(value: Widget) -> Result:\n" + "".join(f"    step_{i} = compute(value, {i})\n" for i in range(12)) + "    return step_0\n"
@@ -75,11 +75,45 @@ def test_index_and_sync(spark, tree, tmp_path):
     store.reset()
 
 
-def test_one_writer(spark, tmp_path):
+def test_two_writers(spark, tmp_path):
+    """Both read the same version; the second to commit is refused, and loses nothing when it begins anew."""
     store = Store(spark, str(tmp_path / "s"))
-    with store.writer():
-        with pytest.raises(FileExistsError):
-            store.commit()
+    row = lambda p, f: spark.createDataFrame([(f, "h", "python", None, 1, "/r", p)], FILES)
+    one, other = store.current(), store.current()
+    store.commit(one, ["p"], files=row("p", "a"))
+    with pytest.raises(Conflict):
+        store.commit(other, ["q"], files=row("q", "b"))
+    assert [r["filepath"] for r in store.read("files").collect()] == ["a"] and len(os.listdir(tmp_path / "s" / "data")) == 1
+    calls = []
+
+    def change(at):
+        calls.append(at.version)
+        if len(calls) == 1:  # somebody commits in between
+            store.commit(at, ["r"], files=row("r", "c"))
+        store.commit(at, ["q"], files=row("q", "b"))
+
+    store.update(change)
+    assert calls == [1, 2] and sorted(r["filepath"] for r in store.read("files").collect()) == ["a", "b", "c"]
+
+
+def test_untouched_projects_keep_their_files(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    write(f"{tmp_path}/two/x.py", CODE.format(name="delta"))
+    index_project(store, tree, "p")
+    index_project(store, f"{tmp_path}/two", "q=1/2")
+    first = store.current()
+    assert set(first.tables["chunks"]) == {"p", "q=1/2"}
+    assert index_project(store, tree, "p")["unchanged"] == 3 and store.current() == first  # nothing to commit
+    write(f"{tree}/src/a.py", CODE.format(name="gamma"))
+    index_project(store, tree, "p")
+    now = store.current()
+    for name in ("files", "chunks"):
+        assert now.tables[name]["q=1/2"] == first.tables[name]["q=1/2"] and now.tables[name]["p"] != first.tables[name]["p"]
+    assert {r["symbol_name"] for r in store.read("chunks", parts=["q=1/2"]).collect()} == {"delta"}
+    before = sorted(map(str, store.read("chunks").drop("embedding").collect()))
+    assert store.vacuum(keep=1) == 2 and store.versions() == [now.version]
+    assert sorted(map(str, store.read("chunks").drop("embedding").collect())) == before
+    assert delete_project(store, "q=1/2")["files"] == 1 and set(store.current().tables["files"]) == {"p"}
 
 
 def test_service(spark, tree, tmp_path):
