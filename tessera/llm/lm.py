@@ -8,7 +8,7 @@ buckets of all other words by hash; a softmax of the same form parts a bucket in
 leaves, and the distinct words that the corpus has in a leaf share its probability equally.  So
 every word of the corpus has a probability, and they sum to 1.
 
-The model grows with the corpus of n words: there are about 8 * n^0.45 types, and the hashed rows
+The model grows with the corpus of n words: there are about 5 * n^0.45 types, and the hashed rows
 are as many as the words.  So the weights are never in one place.  They are parted by context:
 every position goes, with the two words before it, to the block of its context, BLOCK positions
 or so, and there all features of that context live.  A block is trained by gradient steps over its
@@ -50,7 +50,7 @@ from tessera.llm.common import map_text, materialise, slices, split_mix, utf8_bu
 #: Taken off both ends of a word; what is nothing else stays as it is.
 MARKS = ".,;:!?*&%$#|()[]{}<>\"'`~^_=+/\\-"
 #: Types are about TYPES[0] * n ** TYPES[1].
-TYPES = (8, 0.45)
+TYPES = (5, 0.45)
 #: Positions of a block, on average.
 BLOCK = 1 << 16
 EPOCHS, BATCH, RATE = 1, 4096, 0.2
@@ -270,7 +270,7 @@ def routed(codes: DataFrame, lex) -> DataFrame:
                 row = np.repeat(piece.column("row").to_numpy(), counts)
                 block = lexicon.block(b, a, np.repeat(contents(words, counts), counts))
                 base = int(row.min())
-                order = np.argsort(block, kind="stable")
+                order = np.argsort(block.astype(np.uint16) if lexicon.blocks <= 1 << 16 else block, kind="stable")  # of 16 bits, in one pass
                 block, row, b, a, number = block[order], row[order] - base, b[order], a[order], lexicon.numbers(words)[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
@@ -285,14 +285,19 @@ def routed(codes: DataFrame, lex) -> DataFrame:
     return codes.select("row", "codes").where("codes IS NOT NULL").mapInArrow(run, ROUTED)
 
 
-def repeats_apart(same: np.ndarray) -> np.ndarray:
-    """An order drawn by hash in which equal positions lie far from each other, so that each has its own step."""
+def repeats_apart(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order drawn by hash in which equal positions lie far from each other, so that each has its own step;
+    and for each place of it the first place of an equal position."""
     order = np.argsort(same, kind="stable")
     ordered = same[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(same) else np.zeros(0, np.int64)
-    nth = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
+    times = np.diff(np.append(first, len(same)))
+    nth = np.arange(len(same)) - np.repeat(first, times)
     with np.errstate(over="ignore"):
-        return order[np.argsort(split_mix(ordered + (nth.astype(_U) << _U(20)), 14), kind="stable")]
+        drawn = np.argsort(split_mix(ordered + (nth.astype(_U) << _U(20)), 14), kind="stable")
+    place = np.empty(len(same), np.int64)
+    place[drawn] = np.arange(len(same))
+    return order[drawn], np.repeat(place[first], times)[drawn]
 
 
 class Level:
@@ -309,7 +314,7 @@ class Level:
         self.room = [np.empty((min(BATCH, self.n) * FEATURES, width), np.float32) for _ in range(3)]
         self.ones = np.ones((width, 1), np.float32)
 
-    def scores(self, batch: slice) -> np.ndarray:
+    def scores(self, batch: slice | np.ndarray) -> np.ndarray:
         """The bias and the rows of all features: a sparse product."""
         node = self.node[batch]
         z, part = self.room[0][: len(node)], self.room[1][: len(node)]
@@ -321,9 +326,9 @@ class Level:
 
     def _sums(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct rows, and the sum of the gradients of each."""
-        n = len(g)
-        key = np.sort((at.astype(_U) << _U(16) | np.arange(n, dtype=_U)).ravel())
-        row, place = (key >> _U(16)).astype(np.int64), (key & _U(0xFFFF)).astype(np.int64)
+        kind = np.uint32 if len(self.weights) * BATCH <= 1 << 32 else _U
+        key = np.sort((at.astype(kind) * kind(BATCH) + np.arange(len(g), dtype=kind)).ravel())
+        row, place = (key // kind(BATCH)).astype(np.int64), (key % kind(BATCH)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         times = np.diff(np.append(start, len(row)))
         total, part = self.room[1][: len(start)], self.room[2]
@@ -357,15 +362,15 @@ class Level:
             new -= total
             whole[rows] = new.view(whole.dtype)[:, 0]
 
-    def logprobs(self) -> np.ndarray:
-        """Natural log of each position's share of its node."""
-        out = np.zeros(self.n)
-        for s in range(0, self.n, BATCH):
-            batch = slice(s, s + BATCH)
+    def logprobs(self, which: np.ndarray) -> np.ndarray:
+        """Natural log of the share that some positions have of their nodes."""
+        out = np.zeros(len(which))
+        for s in range(0, len(which), BATCH):
+            batch = which[s : s + BATCH]
             z, target = self.scores(batch), self.target[batch]
             chosen = z[np.arange(len(z)), target].astype(np.float64)
             np.exp(z, out=z)
-            out[batch] = chosen - np.log((z @ self.ones)[:, 0].astype(np.float64))
+            out[s : s + BATCH] = chosen - np.log((z @ self.ones)[:, 0].astype(np.float64))
         return out
 
 
@@ -377,12 +382,12 @@ class Block:
         self.rows = max(1 << 10, 1 << (max(1, self.n) - 1).bit_length())
         with np.errstate(over="ignore"):
             x, y = b.astype(_U), a.astype(_U)
-            self.order = repeats_apart(split_mix(split_mix(split_mix(x, 11) + y, 12) + number.astype(_U), 13))
+            self.order, self.equal = repeats_apart(split_mix(split_mix(split_mix(x, 11) + y, 12) + number.astype(_U), 13))
             x, y = x[self.order], y[self.order]
             self.context = [split_mix(x, 1), split_mix(split_mix(x, 2) + y, 2), split_mix(y, 3)]
         self.number = number[self.order]
 
-    def levels(self) -> Iterator[tuple[np.ndarray | slice, Level]]:
+    def levels(self) -> Iterator[tuple[np.ndarray, Level]]:
         """Each level, untrained, and its positions.  No level needs another, so one at a time is in memory."""
         width, v = self.lex.width, self.lex.vocabulary
         rare = np.flatnonzero(self.number >= v)
@@ -391,7 +396,7 @@ class Block:
         kind[rare] = v + leaf // width
         for k in range(LEVELS):
             rest = width ** (LEVELS - 1 - k)
-            yield slice(None), Level(self.lex.prior[k], self.context, kind // (rest * width), kind // rest % width, self.rows, 5 + k)
+            yield np.arange(self.n), Level(self.lex.prior[k], self.context, kind // (rest * width), kind // rest % width, self.rows, 5 + k)
         if len(rare):
             yield rare, Level(self.lex.prior[LEVELS], [c[rare] for c in self.context], leaf // width, leaf % width, self.rows, 5 + LEVELS)
 
@@ -400,11 +405,13 @@ class Block:
         total = np.zeros(self.n)
         rare = np.flatnonzero(self.number >= self.lex.vocabulary)
         total[rare] = self.lex.inner[self.number[rare] - self.lex.vocabulary]
+        single = self.equal == np.arange(self.n)  # equal positions have the same probability
         for where, level in self.levels():
             level.train(epochs)
-            total[where] += level.logprobs()
+            mine = np.flatnonzero(single[where])
+            total[where[mine]] += level.logprobs(mine)
         out = np.empty(self.n)
-        out[self.order] = total
+        out[self.order] = total[self.equal]
         return out
 
 
