@@ -93,7 +93,7 @@ def token_budget(requested: Column | str, configured: int) -> Column:
 
 def type_refs(signature: Column | str) -> Column:
     """Sorted distinct capitalised names of two characters or more that aren't built in."""
-    found = F.regexp_extract_all(_c(signature), F.lit(r"\b([A-Z]\w+)\b"), F.lit(1))
+    found = F.regexp_extract_all(_c(signature), F.lit(r"(?U)\b([A-Z]\w+)\b"), F.lit(1))
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*[F.lit(n) for n in sorted(BUILTIN_TYPES)])))
 
 

@@ -95,4 +95,4 @@ def exists(df: DataFrame, column: str, value: object) -> bool:
 def sample_chunks(chunks: DataFrame, files: DataFrame, project: str, n: int, seed: int = 0) -> DataFrame:
     """n random chunks of a project, without whole files, Markdown and JSON; the same for a seed."""
     df = with_files(chunks.where(F.col("chunk_type") != "file"), files.where((F.col("project_id") == project) & ~F.col("language").isin("markdown", "json")))
-    return df.orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id").limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string"))), "chunk_id").limit(n)

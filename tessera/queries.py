@@ -52,12 +52,12 @@ SELECT filepath, split_part(filepath, '/', 3) AS project_id, concat('/repo/', sp
        CAST(max(end_line) AS BIGINT) AS loc
 FROM v_chunks GROUP BY filepath
 """
-#: Ranked candidates of ten queries, each over two projects; the shorter text keeps comparisons cheap.
+#: Ranked candidates: every hundred chunks are those of one query.
 CANDS = """
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS pos, chunk_id, filepath, chunk_type, symbol_name,
        start_line, end_line, token_count, score, chunk_text
-FROM (SELECT chunk_id % 10 AS query_id, chunk_id, filepath, chunk_type, symbol_name, start_line, end_line, token_count,
-             CAST((chunk_id * 37) % 101 AS DOUBLE) / 100 AS score, substr(chunk_text, 1, 300) AS chunk_text FROM v_chunks WHERE chunk_id < 1000) x
+FROM (SELECT CAST(floor(chunk_id / 100) AS BIGINT) AS query_id, chunk_id, filepath, chunk_type, symbol_name, start_line, end_line, token_count,
+             CAST((chunk_id * 37) % 101 AS DOUBLE) / 100 AS score, chunk_text FROM v_chunks) x
 """
 WITH = f"v_chunks AS ({CHUNKS}), v_files AS ({FILES})"
 WITH_CANDS = f"{WITH}, v_cand AS (SELECT * FROM ({CANDS}) y WHERE pos <= 50)"
@@ -241,14 +241,14 @@ def dedup_overlap(spark, d):
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {WORDS.format(t='text')} AS w FROM documents WHERE doc_id < 120),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS s FROM w a JOIN w b ON a.doc_id < b.doc_id)
+WITH w AS (SELECT doc_id, CAST(floor(doc_id / 100) AS BIGINT) AS block, {WORDS.format(t='text')} AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS s FROM w a JOIN w b ON a.block = b.block AND a.doc_id < b.doc_id)
 SELECT a, b, round(n / CAST(s - n AS DOUBLE), 6) AS jaccard FROM p WHERE n / CAST(s - n AS DOUBLE) > 0.2""")
 def jaccard_pairs(spark, d):
-    w = table(spark, d, "documents").where("doc_id < 120").select("doc_id", fn.word_set("text").alias("w"))
-    a, b = w.toDF("a", "wa"), w.toDF("b", "wb")
+    w = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", fn.word_set("text").alias("w"))
+    a, b = w.toDF("block", "a", "wa"), w.toDF("block", "b", "wb")
     j = fn.jaccard("wa", "wb")
-    return a.join(b, F.col("a") < F.col("b")).where(j > 0.2).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return a.join(b, "block").where(F.col("a") < F.col("b")).where(j > 0.2).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 # == Lookups and references ==
@@ -264,21 +264,17 @@ def symbol_lookup(spark, d):
 
 
 BUILTIN = ", ".join(f"'{t}'" for t in sorted(fn.BUILTIN_TYPES))
-REFS = f"SELECT doc_id, source, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z]\\w+)\\b', 1)), lambda t: t NOT IN ({BUILTIN}))) AS refs FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')"
-
-
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
+REFS = f"SELECT doc_id, source, list_sort(list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])([A-Z][\\p{{L}}\\p{{M}}\\p{{N}}_]+)', 1)), lambda t: t NOT IN ({BUILTIN}))) AS refs FROM documents"
 
 
 @query(f"SELECT doc_id, array_to_string(refs, ',') AS refs FROM ({REFS})")
 def type_refs(spark, d):
-    return _english(spark, d).select("doc_id", F.array_join(fn.type_refs("text"), ",").alias("refs"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(fn.type_refs("text"), ",").alias("refs"))
 
 
 @query(f"SELECT query_id, ref, count(*) AS n FROM (SELECT source AS query_id, unnest(refs) AS ref FROM ({REFS})) GROUP BY 1, 2")
 def ref_frequency(spark, d):
-    refs = references.chunk_refs(_english(spark, d).withColumnRenamed("source", "query_id"), "text", None)
+    refs = references.chunk_refs(table(spark, d, "documents").withColumnRenamed("source", "query_id"), "text", None)
     return references.ref_frequency(refs)
 
 
@@ -442,10 +438,10 @@ def ignore_filter(spark, d):
 
 @query(f"""
 WITH {WITH} SELECT chunk_id, concat('[context] ', concat_ws(' | ', concat('filepath=', filepath), concat('language=', language), concat('chunk_type=', chunk_type),
-  CASE WHEN symbol_name <> '' THEN concat('symbol=', symbol_name) END, CASE WHEN chunk_id % 3 = 0 THEN 'imports=import a; import b' END), chr(10), substr(chunk_text, 1, 40)) AS embed_text
+  CASE WHEN symbol_name <> '' THEN concat('symbol=', symbol_name) END, CASE WHEN chunk_id % 3 = 0 THEN 'imports=import a; import b' END), chr(10), chunk_text) AS embed_text
 FROM v_chunks JOIN v_files USING (filepath)""")
 def embedding_text(spark, d):
-    df = filters.with_files(v_chunks(spark, d), v_files(spark, d)).withColumn("chunk_text", F.substring("chunk_text", 1, 40))
+    df = filters.with_files(v_chunks(spark, d), v_files(spark, d))
     imports = F.when(F.col("chunk_id") % 3 == 0, F.array(F.lit("import a"), F.lit("import b"))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("context_metadata", F.struct(imports.alias("imports"), F.lit(None).cast("string").alias("parent_class"), F.lit(None).cast("string").alias("signature")))
     return df.select("chunk_id", fn.embedding_text().alias("embed_text"))
@@ -491,7 +487,7 @@ def token_and_line_counts(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id < 200),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 t AS (SELECT doc_id, CAST(n AS INTEGER) AS n, {TOKENS.format(t='line')} AS k FROM l),
 f AS (SELECT doc_id, n, 1 AS g, k AS total FROM t WHERE n = 1
       UNION ALL SELECT t.doc_id, t.n, CASE WHEN f.total + t.k > 100 THEN f.g + 1 ELSE f.g END, CASE WHEN f.total + t.k > 100 THEN t.k ELSE f.total + t.k END FROM f JOIN t ON t.doc_id = f.doc_id AND t.n = f.n + 1)
@@ -508,11 +504,11 @@ def line_chunks(spark, d):
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "part", "start_line", "end_line", "token_count"])
 
-    return table(spark, d, "documents").where("doc_id < 200").select("doc_id", "text").mapInPandas(run, "doc_id long, part int, start_line int, end_line int, token_count long")
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, part int, start_line int, end_line int, token_count long")
 
 
 @query(f"""
-WITH RECURSIVE p AS (SELECT doc_id, trim(text, chr(32) || chr(10)) AS text FROM documents WHERE doc_id < 200),
+WITH RECURSIVE p AS (SELECT doc_id, trim(text, chr(32) || chr(10)) AS text FROM documents),
 s AS (SELECT doc_id, {TOKENS.format(t='text')} AS total, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM p),
 u AS (SELECT doc_id, total, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM s WHERE total > 500),
 t AS (SELECT doc_id, CAST(n AS INTEGER) AS n, {TOKENS.format(t='part')} AS k FROM u),
@@ -521,7 +517,7 @@ f AS (SELECT doc_id, n, 0 AS g, k AS total FROM t WHERE n = 1
 SELECT doc_id AS book_id, g AS chunk_index, CAST(max(total) AS BIGINT) AS token_count FROM f GROUP BY 1, 2
 UNION ALL SELECT doc_id, 0, CAST(total AS BIGINT) FROM s WHERE total <= 500""")
 def sentence_passages(spark, d):
-    chapters = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_order"), F.lit("t").alias("chapter_title"), F.col("text").alias("content"))
+    chapters = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_order"), F.lit("t").alias("chapter_title"), F.col("text").alias("content"))
     return books.chunk_chapters(chapters).select("book_id", "chunk_index", "token_count")
 
 
@@ -631,7 +627,8 @@ NEAR = f"""
 s AS (SELECT q.vec_id AS query_id, q.label AS want, e.label, e.vec_id, {SIM.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 30 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s),
 m AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS category, query_id % 7 = 0 AS free, min(CASE WHEN label = want THEN rank END) AS first, max(CASE WHEN rank = 1 THEN similarity END) AS top_score FROM r WHERE rank <= 8 GROUP BY 1),
-g AS (SELECT *, {", ".join(f"free OR coalesce(first <= {k}, false) AS file_hit_{k}" for k in (1, 3, 5))}, CASE WHEN free THEN 1.0 ELSE coalesce(1.0 / first, 0.0) END AS rr FROM m)"""
+y AS (SELECT query_id, min(CASE WHEN vec_id % 11 = query_id % 11 THEN rank END) AS named FROM r WHERE rank <= 8 GROUP BY 1),
+g AS (SELECT *, {", ".join(f"query_id % 4 = 0 OR coalesce(named <= {k}, false) AS symbol_hit_{k}" for k in (1, 3, 5))}, {", ".join(f"free OR coalesce(first <= {k}, false) AS file_hit_{k}" for k in (1, 3, 5))}, CASE WHEN free THEN 1.0 ELSE coalesce(1.0 / first, 0.0) END AS rr FROM m JOIN y USING (query_id))"""
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -639,25 +636,25 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     near = near.withColumn("rank", F.row_number().over(w)).where("rank <= 8")
     path = F.concat(F.lit("/repo/label"), F.col("label").cast("string"), F.lit(".py"))
-    rows = near.groupBy("query_id", "query_label").agg(F.array_sort(F.collect_list(F.struct("rank", path.alias("f"), "similarity"))).alias("r"))
+    rows = near.groupBy("query_id", "query_label").agg(F.array_sort(F.collect_list(F.struct("rank", path.alias("f"), F.concat(F.lit("get_sym"), (F.col("vec_id") % 11).cast("string"), F.lit("_")).alias("s"), "similarity"))).alias("r"))
     none = F.array().cast("array<string>")
     free = F.col("query_id") % 7 == 0
     df = rows.select(
         "query_id",
         F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("query_id") % 3 + 1).cast("int")).alias("category"),
         F.transform("r", lambda x: x["f"]).alias("files"),
-        none.alias("symbols"),
+        F.transform("r", lambda x: x["s"]).alias("symbols"),
         F.when(free, none).otherwise(F.array(F.concat(F.lit("label"), F.col("query_label").cast("string"), F.lit(".py")))).alias("expect_files"),
-        none.alias("expect_symbols"),
+        F.when(F.col("query_id") % 4 == 0, none).otherwise(F.array(F.concat(F.lit("sym"), (F.col("query_id") % 11).cast("string"), F.lit("_")))).alias("expect_symbols"),
         F.col("r")[0]["similarity"].alias("top_score"),
         F.col("query_id").cast("double").alias("latency_ms"),
     )
     return analytics.query_metrics(df)
 
 
-@query(f"WITH {NEAR} SELECT query_id, file_hit_1, file_hit_3, file_hit_5, round(rr, 6) AS rr FROM g")
+@query(f"WITH {NEAR} SELECT query_id, file_hit_1, file_hit_3, file_hit_5, symbol_hit_1, symbol_hit_3, symbol_hit_5, round(rr, 6) AS rr FROM g")
 def hit_at_k(spark, d):
-    return _metrics(spark, d).select("query_id", "file_hit_1", "file_hit_3", "file_hit_5", F.round("rr", 6).alias("rr"))
+    return _metrics(spark, d).select("query_id", "file_hit_1", "file_hit_3", "file_hit_5", "symbol_hit_1", "symbol_hit_3", "symbol_hit_5", F.round("rr", 6).alias("rr"))
 
 
 METRICS = "count(*) AS queries, " + ", ".join(f"round(avg(CASE WHEN NOT free THEN CAST(file_hit_{k} AS DOUBLE) END), 6) AS hit_{k}" for k in (1, 3, 5)) + ", round(avg(CASE WHEN NOT free THEN rr END), 6) AS mrr, round(avg(top_score), 6) AS avg_score, round(avg(CAST(query_id AS DOUBLE)), 6) AS avg_latency_ms"
@@ -681,7 +678,7 @@ def baseline_delta(spark, d):
 
 @query("""
 WITH i AS (SELECT unnest(['default', 'debug', 'usage', 'security']) AS intent, unnest([0, 1, 2, 3]) AS intent_no),
-s AS (SELECT item_id AS query_id, intent, intent_no, CAST((item_id * 31 + doc_id * 17 + intent_no * 7) % 100 AS DOUBLE) / 100 AS score FROM benchmark, documents, i WHERE doc_id < 50),
+s AS (SELECT item_id AS query_id, intent, intent_no, CAST((item_id * 31 + doc_id * 17 + intent_no * 7) % 100 AS DOUBLE) / 100 AS score FROM benchmark, documents, i),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, intent ORDER BY score DESC) AS rn FROM s),
 m AS (SELECT query_id, intent, intent_no, round(avg(score), 6) AS mean_score FROM r WHERE rn <= 5 GROUP BY 1, 2, 3),
 w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mean_score DESC, intent_no) AS rn FROM m)
@@ -689,9 +686,9 @@ SELECT query_id, max(CASE WHEN rn = 1 THEN intent END) AS winner, max(mean_score
 def intent_contest(spark, d):
     names = F.array(*[F.struct(F.lit(n).alias("intent"), F.lit(i).alias("intent_no")) for i, n in enumerate(("default", "debug", "usage", "security"))])
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(names).alias("i")).select("query_id", "i.*")
-    docs = table(spark, d, "documents").where("doc_id < 50").select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
     score = ((F.col("query_id") * 31 + F.col("doc_id") * 17 + F.col("intent_no") * 7) % 100).cast("double") / 100
-    return analytics.intent_contest(items.crossJoin(F.broadcast(docs)).withColumn("score", score))
+    return analytics.intent_contest(docs.crossJoin(F.broadcast(items)).withColumn("score", score))
 
 
 @query(f"WITH {WITH} SELECT filepath, project_id, language, loc FROM v_files WHERE filepath IN (SELECT min(filepath) FROM v_files WHERE project_id = 'src7')")
@@ -731,7 +728,7 @@ def imported_symbols(spark, d):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id < 300),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 h AS (SELECT doc_id, n, CASE WHEN n % 3 = 2 THEN concat('## ', line) ELSE line END AS line FROM l),
 g AS (SELECT *, sum(CASE WHEN line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM h)
 SELECT doc_id, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, max(CASE WHEN line LIKE '#%' THEN trim(ltrim(line, '#')) END) AS heading, CAST(sum(length(line)) + count(*) - 1 AS INTEGER) AS chars FROM g GROUP BY doc_id, section""")
@@ -744,7 +741,7 @@ def markdown_sections(spark, d):
             yield pd.DataFrame(rows, columns=["doc_id", "start_line", "end_line", "heading", "chars"])
 
     lines = F.transform(F.split("text", "\n"), lambda line, n: F.when(n % 3 == 1, F.concat(F.lit("## "), line)).otherwise(line))
-    docs = table(spark, d, "documents").where("doc_id < 300").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
     return docs.mapInPandas(run, "doc_id long, start_line int, end_line int, heading string, chars int")
 
 
@@ -761,7 +758,9 @@ def lsh_topk(spark, d):
     return search.lsh_top_k(table(spark, d, "embeddings"), vector(spark, d, 0), 10, "vec_id").select("vec_id", shown())
 
 
-@query()
+@query(f"""
+WITH {WITH} SELECT chunk_id, filepath, chunk_type FROM v_chunks JOIN v_files USING (filepath)
+WHERE chunk_type <> 'file' AND project_id = 'src4' AND language NOT IN ('markdown', 'json') ORDER BY md5(concat('3:', CAST(chunk_id AS VARCHAR))), chunk_id LIMIT 10""")
 def sample_scan(spark, d):
     return filters.sample_chunks(v_chunks(spark, d), v_files(spark, d), "src4", 10, seed=3).select("chunk_id", "filepath", "chunk_type")
 
@@ -782,7 +781,11 @@ def code_search_e2e(spark, d):
     return plan.search(v_chunks(spark, d), v_files(spark, d), q.select("query_id", "query", "query_vector")).drop("imports")
 
 
-@query()
+@query(f"""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 2),
+t AS (SELECT e.vec_id AS passage_id, e.label AS book_id, d.text, {SIM.format(a='e.embedding', b='q.e')} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q ORDER BY similarity DESC, passage_id LIMIT 25),
+s AS (SELECT *, round(len(list_intersect({WORDS.format(t='text')}, ['the', 'of', 'and'])) / 3.0, 6) AS score FROM t)
+SELECT passage_id, concat('Book ', CAST(book_id AS VARCHAR)) AS title, CAST(score AS DOUBLE) AS score FROM s ORDER BY score DESC, similarity DESC, passage_id LIMIT 8""")
 def literature_search_e2e(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("label").alias("book_id"), "embedding")
     p = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("chunk_text")), "passage_id")
