@@ -524,7 +524,13 @@ def sentence_passages(spark, d):
 # == Books ==
 
 
-@query()
+#: What the pages hold of HTML: hidden elements, comments, tags, four named characters.
+NODES = "string_split(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1))"
+NAMED = "replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"""
+SELECT page_id, regexp_replace(array_to_string(list_filter(list_transform({NODES}, lambda x: trim({NAMED}, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), chr(10)), chr(10) || chr(10) || chr(10) || '+', chr(10) || chr(10), 'g') AS text FROM pages""")
 def html_to_text(spark, d):
     as_text = F.pandas_udf(lambda s: s.map(html_text), "string")
     return table(spark, d, "pages").select("page_id", as_text("html").alias("text"))
