@@ -751,12 +751,79 @@ def markdown_sections(spark, d):
     return docs.mapInPandas(run, "doc_id long, start_line int, end_line int, heading string, chars int")
 
 
-@query()
+SEARCH = f"""
+WITH RECURSIVE {WITH},
+q AS (SELECT e.vec_id AS query_id, substr(d.text, 1, 60) AS query, e.embedding AS v FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id < QUERIES),
+sim AS (SELECT q.query_id, q.query, c.*, {SIM.format(a="c.embedding", b="q.v")} AS similarity FROM q, v_chunks c JOIN v_files f USING (filepath) WHERE c.embedding IS NOT NULL),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS nearest FROM sim) WHERE nearest <= 50),
+worded AS (SELECT *, {WORDS.format(t="query")} AS asked, {WORDS.format(t="chunk_text")} AS words FROM found WHERE similarity >= 0.3),
+scored AS (SELECT *, CASE WHEN len(asked) > 0 THEN round(len(list_intersect(asked, words)) / CAST(len(asked) AS DOUBLE), 6) ELSE 0.0 END AS score FROM worded),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, chunk_id) AS place FROM scored),
+limits AS (SELECT *, score >= greatest(0.4, max(score) OVER (PARTITION BY query_id) * 0.75) AS fits FROM ranked),
+passed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS pos
+  FROM (SELECT *, count(*) FILTER (WHERE fits) OVER (PARTITION BY query_id) AS fitting FROM limits) WHERE fits OR (fitting = 0 AND place <= 3)
+), conflict AS (
+  SELECT a.query_id, a.pos, b.pos AS other FROM passed a JOIN passed b ON a.query_id = b.query_id AND b.pos < a.pos
+  WHERE (a.filepath = b.filepath AND greatest(0, least(a.end_line, b.end_line) - greatest(a.start_line, b.start_line) + 1)
+           / CAST(least(a.end_line - a.start_line, b.end_line - b.start_line) + 1 AS DOUBLE) >= 0.25)
+     OR len(list_intersect(a.words, b.words)) / CAST(len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)) AS DOUBLE) > 0.85
+), unlike AS (SELECT v.query_id, v.pos, coalesce(list(other) FILTER (WHERE other IS NOT NULL), []) AS bad FROM passed v LEFT JOIN conflict x ON x.query_id = v.query_id AND x.pos = v.pos GROUP BY 1, 2),
+keeping AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept FROM unlike GROUP BY query_id
+  UNION ALL
+  SELECT k.query_id, u.pos, CASE WHEN len(list_intersect(u.bad, k.kept)) = 0 THEN list_append(k.kept, u.pos) ELSE k.kept END
+  FROM keeping k JOIN unlike u ON u.query_id = k.query_id AND u.pos = k.pos + 1
+), singles AS (SELECT query_id, unnest(max_by(kept, pos)) AS pos FROM keeping GROUP BY query_id),
+distinct_rows AS (SELECT p.*, regexp_matches(p.filepath, {PATTERN}) AS test FROM passed p JOIN singles USING (query_id, pos)),
+untested AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE NOT test) OVER (PARTITION BY query_id) = 0 AS relaxed FROM distinct_rows) WHERE NOT test OR relaxed),
+capped AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE chunk_type = 'file') OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS nth_file FROM untested) WHERE chunk_type <> 'file' OR nth_file <= 2),
+several AS (SELECT *, min(filepath) OVER (PARTITION BY query_id) <> max(filepath) OVER (PARTITION BY query_id) AS many, max(CASE WHEN chunk_type <> 'file' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, filepath) AS sym FROM capped),
+controlled AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, filepath ORDER BY pos) AS nth_of_file FROM several WHERE NOT (many AND chunk_type = 'file' AND sym = 1)) WHERE NOT many OR nth_of_file <= 5
+), lined AS (
+  SELECT *, token_count + 50 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS turn, min(filepath) OVER (PARTITION BY query_id) <> max(filepath) OVER (PARTITION BY query_id) AS shared FROM controlled
+), packing AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS total, false AS stop, CAST(0 AS BIGINT) AS skipped, CAST([] AS STRUCT(p BIGINT, f VARCHAR, c BIGINT)[]) AS taken FROM lined GROUP BY query_id
+  UNION ALL
+  SELECT query_id, turn, CASE WHEN NOT closed AND NOT over AND NOT hog THEN total + cost ELSE total END, stop OR (NOT closed AND over), CASE WHEN NOT closed AND NOT over AND hog THEN skipped + 1 ELSE skipped END,
+         CASE WHEN NOT closed AND NOT over AND NOT hog THEN list_append(taken, {{'p': pos, 'f': filepath, 'c': cost}}) ELSE taken END
+  FROM (SELECT k.query_id, l.turn, k.total, k.stop, k.skipped, k.taken, l.pos, l.filepath, l.cost, k.stop OR len(k.taken) >= 8 AS closed, k.total + l.cost > 8000 AS over,
+               l.shared AND coalesce(list_sum(list_transform(list_filter(k.taken, lambda t: t.f = l.filepath), lambda t: t.c)), 0) + l.cost > 3600 AS hog
+        FROM packing k JOIN lined l ON l.query_id = k.query_id AND l.turn = k.turn + 1)
+), packed AS (SELECT query_id, max_by(total, turn) AS total, max_by(stop, turn) AS stop, max_by(skipped, turn) AS skipped, max_by(taken, turn) AS taken FROM packing GROUP BY query_id),
+results AS (SELECT c.*, b.total, b.stop, b.skipped FROM controlled c JOIN (SELECT query_id, total, stop, skipped, unnest(list_transform(taken, lambda t: t.p)) AS pos FROM packed) b USING (query_id, pos))
+"""
+
+
+def _count(name: str, rows: str, where: str = "true") -> str:
+    return f"(SELECT count(*) FROM {rows} r WHERE r.query_id = q.query_id AND {where}) AS {name}"
+
+
+@query(
+    SEARCH.replace("QUERIES", "30")
+    + f""", counted AS (
+  SELECT query_id, {_count("candidates", "found")}, {_count("above", "ranked")}, {_count("passed", "passed")}, {_count("deduplicated", "distinct_rows")}, {_count("capped", "capped")}, {_count("controlled", "controlled")}, {_count("returned", "results")},
+         {_count("files_capped", "capped", "chunk_type = 'file'")}, {_count("files_after", "controlled", "chunk_type = 'file'")},
+         coalesce((SELECT max(score) FROM ranked r WHERE r.query_id = q.query_id), 0.0) AS top_score, coalesce((SELECT bool_or(relaxed) FROM capped r WHERE r.query_id = q.query_id), false) AS relaxed,
+         coalesce((SELECT max(total) FROM results r WHERE r.query_id = q.query_id), 0) AS used, coalesce((SELECT bool_or(stop) FROM results r WHERE r.query_id = q.query_id), false) AS stop, coalesce((SELECT max(skipped) FROM results r WHERE r.query_id = q.query_id), 0) AS skipped
+  FROM q
+), stated AS (SELECT *, CASE WHEN candidates = 0 THEN 'no_candidates' WHEN above = 0 THEN 'below_similarity_threshold' WHEN returned = 0 THEN 'empty_after_budget' ELSE 'ok' END AS outcome, greatest(0.4, top_score * 0.75) AS cut FROM counted)
+SELECT query_id, candidates, above AS above_similarity, passed AS passed_threshold, deduplicated AS deduplicated_count, returned AS returned_results, used AS used_tokens, stop AS token_budget_exhausted, skipped AS per_file_budget_skipped,
+       relaxed AS test_filter_relaxed, files_capped AS file_chunks_selected, round_even(top_score, 4) AS top_score, round_even(cut, 4) AS threshold, above > 0 AND top_score < cut AS fallback_used, above - passed AS cut_count,
+       deduplicated - capped AS tests_and_files_dropped, files_capped - files_after AS per_file_file_replaced, capped - controlled - files_capped + files_after AS per_file_symbol_capped, outcome,
+       CASE WHEN outcome = 'empty_after_budget' THEN CASE WHEN controlled > 0 THEN 'first_chunk_exceeded_budget' WHEN deduplicated > 0 THEN 'no_results_after_controls' ELSE 'no_results_after_dedup' END END AS reason
+FROM stated"""
+)
 def search_log_counters(spark, d):
-    q = query_vectors(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), "query_id")
-    q = q.select("query_id", "query", "query_vector")
-    found = plan.candidates(v_chunks(spark, d), v_files(spark, d), q)
-    return plan.counters(q, plan.stages(found, q))
+    q = _asked(spark, d, 30)
+    return plan.counters(q, plan.stages(plan.candidates(v_chunks(spark, d), v_files(spark, d), q), q))
+
+
+def _asked(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The beginnings of the first documents as queries, with their vectors."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return query_vectors(spark, d, n).join(texts, "query_id").select("query_id", "query", "query_vector")
 
 
 @query()
@@ -781,10 +848,12 @@ def chunk_files(spark, d):
     return chunking.chunk_files(files)
 
 
-@query()
+@query(
+    SEARCH.replace("QUERIES", "5")
+    + """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank, filepath, chunk_text, chunk_type, symbol_name, start_line, end_line, score, token_count, false AS is_cross_file_ref FROM results"""
+)
 def code_search_e2e(spark, d):
-    q = query_vectors(spark, d, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), "query_id")
-    return plan.search(v_chunks(spark, d), v_files(spark, d), q.select("query_id", "query", "query_vector")).drop("imports")
+    return plan.search(v_chunks(spark, d), v_files(spark, d), _asked(spark, d, 5)).drop("imports")
 
 
 @query(f"""
