@@ -4,9 +4,10 @@ Vectors go to shards along a small KD-tree over a sample (median splits), so tha
 region.  In a shard a KD-tree is built with median splits on the widest side, each node with
 its tight bounding box.  Queries, a leaf of them at a time, traverse a tree best-first: the
 node with the least box-to-query distance next, until that is more than the kth distance found.
-A query searches its own shard first; its kth distance is then propagated, and only shards
-whose box lies within it are searched, starting from that bound.  Results are merged by
-(distance, id).  Nothing is approximate: boxes are compared with a slack for rounding, and
+A query searches its own shard first.  Then come rounds: its kth distance so far is propagated to the
+shards whose boxes lie nearest to it, FIRST_VISITS of them and twice as many in each further
+round, as far as their boxes lie within that distance; what they find tightens it for the next
+round, and a query that no box is within is done.  Results are merged by (distance, id).  Nothing is approximate: boxes are compared with a slack for rounding, and
 distances are summed from differences in double precision.
 
 Results: (vec_id, rank, neighbor_id, distance), Euclidean, ranks from 1; ties by lower id.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +35,13 @@ from tessera.llm.common import materialise
 
 LEAF = 256
 #: Vectors of a shard, until there are MOST_SHARDS of them; then shards grow.
-SHARD_ROWS, MOST_SHARDS = 8192, 4096
+SHARD_ROWS, MOST_SHARDS = 8192, 16384
+#: Shards that a query visits in the first round after its own.
+FIRST_VISITS = 2
 #: Queries that one task of the second round holds.
 QUERY_ROWS = 32768
-SAMPLE = 16384
+#: Vectors that the upper tree is made of, and at least so many for each shard.
+SAMPLE, SAMPLE_SHARD = 16384, 8
 SLACK = 1e-9
 
 
@@ -198,8 +202,9 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
         return spark.createDataFrame([], out)
     dim = sizes["n"]
     clean = raw.where(F.size("x") == dim).groupBy("vec_id").agg(F.min("x").alias("x"))
-    sample = matrix(pa.array([r["x"] for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], pa.list_(pa.float64())), dim)
-    splitter = Splitter(sample, min(MOST_SHARDS, math.ceil(sizes["count"] / shard_rows)))
+    wanted = min(MOST_SHARDS, math.ceil(sizes["count"] / shard_rows))
+    drawn = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_SHARD * wanted))
+    splitter = Splitter(matrix(pa.array([r["x"] for r in drawn.collect()], pa.list_(pa.float64())), dim), wanted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,6 +224,9 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
                 tables.append(_found(ids[rows], best))
         return pa.concat_tables(tables)
 
+    def nearest(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "neighbor_id"))).where(F.col("rank") <= k)
+
     hits = "vec_id long, neighbor_id long, d2 double"
     near = materialise(placed.groupBy("shard").applyInArrow(home, hits), "home")
     boxes = placed.select("shard", F.posexplode("x").alias("p", "v")).groupBy("shard", "p").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # at most MOST_SHARDS times dim rows
@@ -228,26 +236,26 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
         low, high = np.zeros((len(shards), dim)), np.zeros((len(shards), dim))
         for b in boxes:
             low[index[b["shard"]], b["p"]], high[index[b["shard"]], b["p"]] = b["lo"], b["hi"]
-        kth = near.groupBy("vec_id").agg(F.max("d2").alias("d2"), F.count("*").alias("n")).select("vec_id", F.when(F.col("n") >= k, F.col("d2")).otherwise(F.lit(float("inf"))).alias("kth"))
-        asked = placed.join(kth, "vec_id", "left").select("vec_id", "x", "shard", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in range(0, b.num_rows, 1024):
-                    part = b.slice(s, 1024)
-                    q, own = matrix(part.column("x"), dim), part.column("shard").to_numpy()
-                    limit = part.column("kth").to_numpy() * (1 + SLACK) + SLACK
-                    for n, shard in enumerate(shards):
-                        rows = np.flatnonzero((own != shard) & (bounds(low[n], high[n], q) <= limit))
-                        if len(rows):
-                            took = part.select(["vec_id", "x", "kth"]).take(pa.array(rows))
-                            yield took.append_column("shard", pa.array(np.full(len(rows), shard, np.int32)))
-
-        visits = materialise(asked.mapInArrow(spread, f"vec_id long, x {kind}, kth double, shard int"), "visits")
-        counts = [(r["shard"], math.ceil(r["count"] / query_rows)) for r in visits.groupBy("shard").count().collect()]  # at most MOST_SHARDS rows
-        parts = lambda: F.broadcast(spark.createDataFrame(counts, "shard int, parts int"))
-        queries = visits.join(parts(), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-        points = placed.join(parts(), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+        def spread(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            """Each query to the first to last nearest of the other shards, as far as its kth distance reaches."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                step = max(1, (1 << 19) // len(shards))
+                for b in batches:
+                    for s in range(0, b.num_rows, step):
+                        part = b.slice(s, step)
+                        q, own = matrix(part.column("x"), dim), part.column("shard").to_numpy()
+                        limit = part.column("kth").to_numpy() * (1 + SLACK) + SLACK
+                        far = np.stack([bounds(low[n], high[n], q) for n in range(len(shards))], 1)
+                        far[np.arange(len(own)), [index[x] for x in own.tolist()]] = np.inf
+                        order = np.argsort(far, axis=1, kind="stable")[:, first:last]
+                        row, rank = np.nonzero(np.take_along_axis(far, order, 1) <= np.where(np.isinf(limit), np.finfo(float).max, limit)[:, None])
+                        if len(row):
+                            took = part.select(["vec_id", "x", "kth"]).take(pa.array(row))
+                            yield took.append_column("shard", pa.array(np.array(shards, np.int32)[order[row, rank]]))
+
+            return run
 
         def visit(asking: pa.Table, held: pa.Table) -> pa.Table:
             ids, pts = held.column("vec_id").to_numpy(), matrix(held.column("x"), dim)
@@ -261,10 +269,21 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
                     tables.append(_found(q_ids[rows], best))
             return pa.concat_tables(tables)
 
-        far = queries.groupBy("shard", "part").cogroup(points.groupBy("shard", "part")).applyInArrow(visit, hits)
-        near = near.unionByName(far)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "neighbor_id"))).where(F.col("rank") <= k)
-    return ranked.select("vec_id", "rank", "neighbor_id", F.round(F.sqrt("d2"), 6).alias("distance"))
+        first, size = 0, FIRST_VISITS
+        while first < len(shards) - 1:
+            kth = near.groupBy("vec_id").agg(F.max("d2").alias("d2"), F.count("*").alias("n")).select("vec_id", F.when(F.col("n") >= k, F.col("d2")).otherwise(F.lit(float("inf"))).alias("kth"))
+            asked = placed.join(kth, "vec_id", "left").select("vec_id", "x", "shard", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+            visits = materialise(asked.mapInArrow(spread(first, first + size), f"vec_id long, x {kind}, kth double, shard int"), "visits")
+            counts = [(r["shard"], math.ceil(r["count"] / query_rows)) for r in visits.groupBy("shard").count().collect()]  # at most MOST_SHARDS rows
+            if not counts:  # boxes come in order of distance, so no further one is within reach
+                break
+            parts = lambda c=counts: F.broadcast(spark.createDataFrame(c, "shard int, parts int"))
+            queries = visits.join(parts(), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+            points = placed.join(parts(), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            far = queries.groupBy("shard", "part").cogroup(points.groupBy("shard", "part")).applyInArrow(visit, hits)
+            near = materialise(nearest(near.unionByName(far)).select("vec_id", "neighbor_id", "d2"), "near")
+            first, size = first + size, 2 * size
+    return nearest(near).select("vec_id", "rank", "neighbor_id", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 SQL = """
