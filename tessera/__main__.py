@@ -13,13 +13,14 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import Settings
 from tessera.functions.embedding import HashEmbedder
 from tessera.operators import analytics, stats
-from tessera.plans import index, search
+from tessera.plans import benchmark, index, search
 from tessera.session import local_session, ship
 from tessera.sources import logs
 from tessera.sources.snapshots import Store
-from tessera.streaming.watch import watch
+from tessera.streaming.watch import watch, watch_each
 
 
 def roots(store: Store) -> dict[str, str]:
@@ -52,7 +53,8 @@ def main(argv: list[str] | None = None) -> None:
     verb("prune")
     verb("vacuum", ("--keep", {"type": int, "default": 10}))
     verb("reset")
-    verb("watch", ("projects", {"nargs": "*"}), ("--checkpoint", {"required": True}), ("--every", {"default": "30 seconds"}))
+    verb("watch", ("projects", {"nargs": "*"}), ("--checkpoint", {"required": True}), ("--every", {"default": "30 seconds"}), ("--registry", {}), ("--stagger", {"type": float}))
+    verb("benchmark", ("questions", {}), ("--project", {}), ("--save", {}), ("--compare", {}))
     verb("index-books", path, ("--category", {"default": "software"}), force)
     verb("books")
     verb("search", ("query", {}), ("--project", {}), ("--file", {}), ("--file-type", {}), ("--directory", {}), ("--max-tokens", {"type": int}), ("--include-tests", {"action": "store_true"}))
@@ -62,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = local_session()
     ship(spark)
     store = Store(spark, a.store)
-    service = search.Service(store, HashEmbedder())
+    service = search.Service(store, HashEmbedder(), settings=Settings.from_env())
     at = store.current()
     files, chunks = store.read("files", at), store.read("chunks", at)
     if a.verb == "list":
@@ -91,7 +93,14 @@ def main(argv: list[str] | None = None) -> None:
         store.reset()
     elif a.verb == "watch":
         known = roots(store)
-        watch(store, {p: known[p] for p in a.projects or known}, a.checkpoint, a.every).awaitTermination()
+        chosen = {p: known[p] for p in a.projects or known}
+        if a.stagger is not None:
+            watch_each(store, chosen, a.checkpoint, a.every, a.stagger)
+            spark.streams.awaitAnyTermination()
+        else:
+            watch(store, None if a.registry else chosen, a.checkpoint, a.every, registry=a.registry).awaitTermination()
+    elif a.verb == "benchmark":
+        print(json.dumps(benchmark.report(benchmark.run(service, a.questions, a.project), a.save, a.compare)))
     elif a.verb == "index-books":
         print(json.dumps(index.index_books(store, a.path, a.category, a.force)))
     elif a.verb == "books":
@@ -105,6 +114,7 @@ def main(argv: list[str] | None = None) -> None:
         show(service.search_literature(a.query, a.top, a.book, a.category))
     elif a.verb == "analyze":
         log = logs.read_log(spark, a.path, a.since, a.last)
+        show(analytics.control_counters(log, ("per_file_budget_skipped", "per_file_file_replaced", "per_file_symbol_capped")))
         for report in (analytics.outcomes, analytics.relevance, analytics.efficiency, analytics.latency, analytics.intents):
             show(report(log))
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import threading
 import time
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -14,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import INTENTS, RANKING_RULES, RULE_DECLARATIONS, RULE_PATHS, RULE_TESTS
+from tessera.config import DEFAULT_INTENT, INTENTS, RANKING_RULES, RULE_DECLARATIONS, RULE_PATHS, RULE_TESTS
 from tessera.functions.columns import TEST_QUERY
 
 _WORD = re.compile(r"\w+")
@@ -80,6 +83,68 @@ def call_with_retry(call: Callable[[], object], attempts: int = 5, base_ms: int
     raise AssertionError("unreachable")
 
 
+class RemoteEmbedder:
+    """A client of a remote model with bounded concurrency, pacing and retries.
+
+    call(texts, kind) returns a vector for each text; kind is "document" or "query".  At most
+    `in_flight` calls of a process run at once and at most `per_minute` begin in any minute; a
+    cluster has as many processes as tasks, so divide a shared quota by their number.
+    """
+
+    def __init__(self, call: Callable[[list[str], str], list[list[float]]], dim: int = 1024, in_flight: int = 8, per_minute: int = 1800, batch_tokens: int = 100_000, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.call, self.dim, self.in_flight, self.per_minute, self.batch_tokens, self.clock, self.sleep = call, dim, in_flight, per_minute, batch_tokens, clock, sleep
+
+    def _paced(self, began: deque, lock: threading.Lock) -> None:
+        """Wait for a place among the calls of the last minute."""
+        while True:
+            with lock:
+                now = self.clock()
+                while began and now - began[0] >= 60:
+                    began.popleft()
+                if len(began) < self.per_minute:
+                    began.append(now)
+                    return
+                wait = 60 - (now - began[0])
+            self.sleep(wait)
+
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        batches = list(token_batches(texts, lambda t: len(_WORD.findall(t)), self.batch_tokens))
+        began, lock = deque(), threading.Lock()
+
+        def one(batch: list[str]) -> list[list[float]]:
+            def attempt() -> list[list[float]]:
+                self._paced(began, lock)
+                return self.call(batch, "document")
+
+            return call_with_retry(attempt, sleep=self.sleep)
+
+        with ThreadPoolExecutor(self.in_flight) as pool:  # results come in the order of the batches
+            rows = [v for part in pool.map(one, batches) for v in part]
+        return np.array(rows, np.float32).reshape(len(texts), self.dim)
+
+    def embed_query(self, text: str) -> list[float]:
+        return list(call_with_retry(lambda: self.call([text], "query"), sleep=self.sleep)[0])
+
+
+def remote_reranker(call: Callable[[str, list[str]], list[float]], intent: str = DEFAULT_INTENT, in_flight: int = 8) -> Callable[[DataFrame], DataFrame]:
+    """A reranker for `plans.search`: call(instruction with the query, texts) returns a score for each text.
+
+    One call for each query of an Arrow batch, with retries, `in_flight` at a time.
+    """
+
+    @F.pandas_udf("double")
+    def scores(query: pd.Series, text: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=text.index)
+        groups = [(q, rows.index) for q, rows in text.groupby(query, sort=False)]
+        with ThreadPoolExecutor(in_flight) as pool:
+            made = pool.map(lambda g: call_with_retry(lambda: call(rerank_prompt(g[0], intent), text[g[1]].fillna("").tolist())), groups)
+            for (_, index), values in zip(groups, made):
+                out[index] = values
+        return out
+
+    return lambda df: df.withColumn("score", scores("query", "chunk_text"))
+
+
 def embed(df: DataFrame, embedder: Embedder, text_col: str, out_col: str = "embedding", batch_tokens: int = 100_000) -> DataFrame:
     """df with a vector of each text, in Arrow batches; null text gives null."""
 

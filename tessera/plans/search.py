@@ -6,6 +6,8 @@ declarative plan over the index; after that each query has `retrieval_k` rows at
 
 from __future__ import annotations
 
+import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,7 @@ from tessera.functions.embedding import Embedder, HashEmbedder, lexical_score
 from tessera.operators import controls, folds, references, stats
 from tessera.operators.filters import filter_chunks, languages_of, project_root, resolve_directory, with_files
 from tessera.operators.search import is_small, search_book_chunks, vector_top_k_batch
+from tessera.sources.logs import append_log
 from tessera.sources.snapshots import Store
 
 Reranker = Callable[[DataFrame], DataFrame]
@@ -99,27 +102,26 @@ def counters(queries: DataFrame, steps: DataFrame, settings: Settings = Settings
     )
 
 
-def search(
-    chunks: DataFrame,
-    files: DataFrame,
-    queries: DataFrame,
-    *,
-    reranker: Reranker = lexical_reranker,
-    settings: Settings = Settings(),
-    include_tests: bool = False,
-    max_file_chunks: int | None = 2,
-    directory: str | None = None,
-    max_tokens: int | None = None,
-    file_type: str | None = None,
-    **filters,
-) -> DataFrame:
+def search(chunks: DataFrame, files: DataFrame, queries: DataFrame, *, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), **options) -> DataFrame:
     """queries (query_id, query, query_vector) to results, the most relevant first; cross-file context at the end with score 0."""
+    return assembled(steps_of(chunks, files, queries, reranker=reranker, settings=settings, **options), chunks, files, settings=settings, **options)
+
+
+def steps_of(
+    chunks: DataFrame, files: DataFrame, queries: DataFrame, *, reranker: Reranker = lexical_reranker, settings: Settings = Settings(), include_tests: bool = False, max_file_chunks: int | None = 2, directory: str | None = None, max_tokens: int | None = None, file_type: str | None = None, **filters,
+) -> DataFrame:
+    """`stages` of the candidates that the filters let through."""
     project = filters.get("project")
     if directory:
         filters["directory"] = resolve_directory(directory, project, project_root(files, project) if project else None)
     filters["languages"] = languages_of(file_type, settings)
     cands = candidates(chunks, files, queries, settings, **filters)
-    taken = rank(cands, queries, reranker, settings, include_tests=include_tests, max_file_chunks=max_file_chunks, max_tokens=max_tokens).withColumn("is_cross_file_ref", F.lit(False))
+    return stages(cands, queries, reranker, settings, include_tests=include_tests, max_file_chunks=max_file_chunks, max_tokens=max_tokens)
+
+
+def assembled(steps: DataFrame, chunks: DataFrame, files: DataFrame, *, settings: Settings = Settings(), max_tokens: int | None = None, project: str | None = None, **_) -> DataFrame:
+    """The rows that were taken, with cross-file context where a project is given."""
+    taken = steps.where("taken").withColumn("is_cross_file_ref", F.lit(False))
     meta = "context_metadata" in chunks.columns
     imports = F.col("context_metadata.imports") if meta else F.lit(None).cast("array<string>")
     taken = taken.withColumn("imports", imports).withColumn("signature", F.col("context_metadata.signature") if meta else F.lit(None).cast("string"))
@@ -145,8 +147,12 @@ def outcome(queries: DataFrame, found: DataFrame, above: DataFrame, results: Dat
     return df.select("query_id", state.alias("outcome"))
 
 
-def log_rows(queries: DataFrame, results: DataFrame, duration_ms: float, settings: Settings = Settings()) -> DataFrame:
-    """Rows for the JSON log: one a query, with its results nested in rank order."""
+#: Filters that a log row names.
+LOGGED = ("chunk_type", "directory", "file_type", "filepath", "include_tests", "language", "project")
+
+
+def log_rows(queries: DataFrame, results: DataFrame, duration_ms: float, settings: Settings = Settings(), counted: DataFrame | None = None, tool: str | None = None, max_tokens: int | None = None, **filters) -> DataFrame:
+    """Rows for the JSON log: one a query, with its results nested in rank order, and what `counters` counted."""
     result = F.struct(
         "rank",
         F.col("filepath").alias("file"),
@@ -160,14 +166,23 @@ def log_rows(queries: DataFrame, results: DataFrame, duration_ms: float, setting
     df = queries.join(nested, "query_id", "left")
     listed = F.transform(F.coalesce("r", F.array()), lambda x: x.dropFields("rank"))
     intent = resolve_intent("search_intent") if "search_intent" in queries.columns else F.lit(DEFAULT_INTENT)
+    asked = [F.lit(filters[c]).alias(c) for c in LOGGED if filters.get(c) is not None]
+    budget = [F.lit(settings.rerank_top_k_output).alias("max_results"), F.lit(resolve_budget(max_tokens, settings)).alias("max_tokens"), F.size(listed).alias("returned_results"), F.coalesce("used", F.lit(0)).alias("used_tokens")]
+    own = [F.when(F.col("r").isNull(), "empty_after_budget").otherwise("ok").alias("outcome")]
+    if counted is not None:
+        df = df.join(counted.drop("returned_results", "used_tokens"), "query_id")
+        kept = ("candidates", "above_similarity", "passed_threshold", "deduplicated_count", "cut_count", "tests_and_files_dropped", "file_chunks_selected", "fallback_used", "per_file_budget_skipped", "per_file_file_replaced", "per_file_symbol_capped", "test_filter_relaxed", "threshold", "top_score")
+        own = [F.col("outcome"), F.col("reason"), F.struct(*kept, F.lit(settings.similarity_threshold).alias("similarity_threshold")).alias("retrieval")]
+        budget.append(F.col("token_budget_exhausted"))
     return df.select(
         F.col("query_id").cast("long").alias("seq"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.lit(tool).cast("string").alias("tool"),
         "query",
-        F.when(F.col("r").isNull(), "empty_after_budget").otherwise("ok").alias("outcome"),
+        *own,
         F.lit(float(duration_ms)).alias("duration_ms"),
-        F.struct(intent.alias("search_intent"), mentions_tests("query").alias("query_mentions_tests")).alias("filters"),
-        F.struct(F.lit(settings.rerank_top_k_output).alias("max_results"), F.lit(settings.result_max_tokens).alias("max_tokens"), F.size(listed).alias("returned_results"), F.coalesce("used", F.lit(0)).alias("used_tokens")).alias("budget"),
+        F.struct(*asked, intent.alias("search_intent"), mentions_tests("query").alias("query_mentions_tests")).alias("filters"),
+        F.struct(*budget).alias("budget"),
         listed.alias("results"),
     )
 
@@ -195,14 +210,28 @@ class Service:
         rows = [(n, t, [float(x) for x in self.embedder.embed_query(t)]) for n, t in enumerate(texts)]
         return self.store.spark.createDataFrame(rows, "query_id int, query string, query_vector array<double>")
 
-    def search_codebase(self, query: str | list[str], **options) -> DataFrame:
+    def search_codebase(self, query: str | list[str], tool: str = "search_codebase", **options) -> DataFrame:
+        """Results of one or many queries.  With a search log configured they are computed at once, and a row is appended for each query."""
         at = self.store.current()
         project = options.get("project")
         chunks = self.store.read("chunks", at, None if project is None else [project]).drop("project_id")  # of one project, its files alone
-        return search(chunks, self.store.read("files", at), self._queries([query] if isinstance(query, str) else query), reranker=self.reranker, settings=self.settings, **options)
+        files, queries = self.store.read("files", at), self._queries([query] if isinstance(query, str) else query)
+        if not self.settings.search_log_path:
+            return search(chunks, files, queries, reranker=self.reranker, settings=self.settings, **options)
+        start = time.monotonic()
+        steps = steps_of(chunks, files, queries, reranker=self.reranker, settings=self.settings, **options).persist()  # retrieval_k rows a query
+        found = assembled(steps, chunks, files, settings=self.settings, **options)
+        results = self.store.spark.createDataFrame(found.collect(), found.schema)
+        took = (time.monotonic() - start) * 1000
+        try:
+            append_log(log_rows(queries, results, took, self.settings, counters(queries, steps, self.settings), tool, **options), self.settings.search_log_path)
+        except Exception as e:  # a log that can't be written fails no search
+            warnings.warn(f"search log: {e}", stacklevel=2)
+        steps.unpersist()
+        return results
 
     def search_by_file(self, filepath: str, query: str, **options) -> DataFrame:
-        return self.search_codebase(query, filepath=filepath, **options)
+        return self.search_codebase(query, "search_by_file", filepath=filepath, **options)
 
     def list_projects(self) -> DataFrame:
         at = self.store.current()

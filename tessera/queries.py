@@ -577,7 +577,9 @@ def chapter_title(spark, d):
 # == Logs and metrics ==
 
 LOG = """SELECT event_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'no_candidates' WHEN 'purchase' THEN 'below_similarity_threshold' ELSE 'other' END AS outcome,
-  value AS duration_ms, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE event_type END AS search_intent, CAST(user_id % 50 AS BIGINT) AS used_tokens FROM events"""
+  value AS duration_ms, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE event_type END AS search_intent, CAST(user_id % 50 AS BIGINT) AS used_tokens,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 4 AS BIGINT) END AS per_file_budget_skipped, CAST(user_id % 3 AS BIGINT) AS per_file_file_replaced, CAST(event_id % 6 AS BIGINT) AS per_file_symbol_capped FROM events"""
+CONTROLS = ("per_file_budget_skipped", "per_file_file_replaced", "per_file_symbol_capped", "used_tokens")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -624,9 +626,9 @@ def log_relevance(spark, d):
     return analytics.relevance(_log_results(spark, d))
 
 
-@query(f"WITH log AS ({LOG}) SELECT CAST(sum(coalesce(used_tokens, 0)) AS BIGINT) AS used_tokens_total, round(avg(coalesce(used_tokens, 0)), 6) AS used_tokens_mean FROM log")
+@query(f"WITH log AS ({LOG}) SELECT " + ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}_total, round(avg(coalesce({c}, 0)), 6) AS {c}_mean" for c in CONTROLS) + " FROM log")
 def log_controls(spark, d):
-    return analytics.control_counters(_log(spark, d), ("used_tokens",))
+    return analytics.control_counters(_log(spark, d), CONTROLS)
 
 
 NEAR = f"""

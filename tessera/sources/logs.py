@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SCHEMA = (
     "seq long, ts string, tool string, query string, outcome string, reason string, duration_ms double, "
     "filters struct<chunk_type:string,directory:string,file_type:string,filepath:string,include_tests:boolean,language:string,project:string,query_mentions_tests:boolean,search_intent:string>, "
-    "retrieval struct<candidates:long,above_similarity:long,deduplicated_count:long,fallback_used:boolean,per_file_budget_skipped:long,per_file_file_replaced:long,per_file_symbol_capped:long,test_filter_relaxed:boolean,threshold:double,top_score:double>, "
+    "retrieval struct<candidates:long,above_similarity:long,passed_threshold:long,deduplicated_count:long,cut_count:long,tests_and_files_dropped:long,file_chunks_selected:long,similarity_threshold:double,fallback_used:boolean,per_file_budget_skipped:long,per_file_file_replaced:long,per_file_symbol_capped:long,test_filter_relaxed:boolean,threshold:double,top_score:double>, "
     "budget struct<max_results:long,max_tokens:long,returned_results:long,token_budget_exhausted:boolean,used_tokens:long>, "
     "results array<struct<file:string,lines:string,score:double,symbol:string,tokens:long,type:string>>, __bad string"
 )
@@ -29,7 +29,8 @@ def read_log(spark: SparkSession, path: str, since: str | None = None, last: int
         df = df.where(F.try_to_timestamp("ts") >= F.lit(since).cast("timestamp"))
     if last is not None:
         df = df.orderBy(F.desc_nulls_last("seq"), F.desc_nulls_last("ts"), F.xxhash64("query", "duration_ms")).limit(last)
-    return df.select("*", F.col("filters.search_intent").alias("search_intent"), F.col("budget.used_tokens").alias("used_tokens"))
+    counted = ("per_file_budget_skipped", "per_file_file_replaced", "per_file_symbol_capped")
+    return df.select("*", F.col("filters.search_intent").alias("search_intent"), F.col("budget.used_tokens").alias("used_tokens"), *(F.col(f"retrieval.{c}").alias(c) for c in counted))
 
 
 def append_log(df: DataFrame, path: str) -> None:

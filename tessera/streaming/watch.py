@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +94,42 @@ def apply_changes(store: Store, **options):
     return apply
 
 
-def watch(store: Store, projects: dict[str, str], checkpoint: str, every: str = "30 seconds", once: bool = False, initial_sync: bool = True, **options) -> StreamingQuery:
-    """Keep projects in step with their trees.  The query is listed and stopped by spark.streams."""
+PREFIX = "tessera_watch"
+
+
+def watch(store: Store, projects: dict[str, str] | None, checkpoint: str, every: str = "30 seconds", once: bool = False, initial_sync: bool = True, registry: str | None = None, name: str = PREFIX, **options) -> StreamingQuery:
+    """Keep projects in step with their trees.
+
+    projects maps ids to roots; a registry file of the same form is read at every poll instead,
+    so projects may come and go while the stream runs.
+    """
     if initial_sync:
-        for project, root in sorted(projects.items()):
+        for project, root in sorted((projects or (json.loads(Path(registry).read_text("utf-8")) if registry else {})).items()):
             index_project(store, root, project, **options)
-    writer = changes(store.spark, projects).writeStream.foreachBatch(apply_changes(store, **options)).option("checkpointLocation", checkpoint).queryName("tessera_watch")
+    writer = changes(store.spark, projects, registry).writeStream.foreachBatch(apply_changes(store, **options)).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def watch_each(store: Store, projects: dict[str, str], checkpoints: str, every: str = "30 seconds", stagger: float = 2.0, **options) -> dict[str, StreamingQuery]:
+    """A stream of its own for each project, begun `stagger` seconds apart so that their polls don't fall together."""
+    out = {}
+    for n, (project, root) in enumerate(sorted(projects.items())):
+        if n:
+            time.sleep(stagger)
+        out[project] = watch(store, {project: root}, f"{checkpoints}/{quote(project, safe='')}", every, name=f"{PREFIX}:{project}", **options)
+    return out
+
+
+def watchers(spark: SparkSession) -> list[dict]:
+    """The session's watching streams: name, id, and whether it is active, with the last batch."""
+    return [{"name": q.name, "id": str(q.id), "active": q.isActive, "batch": (q.lastProgress or {}).get("batchId")} for q in spark.streams.active if q.name and q.name.startswith(PREFIX)]
+
+
+def stop(spark: SparkSession, name: str | None = None) -> list[str]:
+    """Stop one watching stream, or all of them; the names of those stopped.  A checkpoint lets each go on later."""
+    stopped = []
+    for q in spark.streams.active:
+        if q.name and q.name.startswith(PREFIX) and name in (None, q.name, q.name.removeprefix(f"{PREFIX}:")):
+            q.stop()
+            stopped.append(q.name)
+    return stopped

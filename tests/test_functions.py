@@ -1,8 +1,11 @@
+import threading
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.config import IGNORED_NAMES, BUILTIN_TYPES, Settings
 from tessera.functions import columns as fn
-from tessera.functions.embedding import HashEmbedder, call_with_retry, embed, rerank_prompt, token_batches
+from tessera.functions.embedding import HashEmbedder, RemoteEmbedder, call_with_retry, embed, remote_reranker, rerank_prompt, token_batches
 from tessera.operators.filters import filter_chunks, languages_of, resolve_directory
 from tessera.plans.search import resolve_intent_name
 from tessera.sources.epub import html_text
@@ -86,3 +89,44 @@ def test_retry():
 def test_html():
     assert html_text("<nav>x</nav><h1>T</h1><script>var a</script><p>a <b>b</b></p><style>q</style>") == "T\na\nb"
     assert html_text(None) is None and html_text("") == ""
+
+
+def test_remote_embedder():
+    """Order, concurrency, pacing and retries of a client whose clock is ours."""
+    now, running, most, failed, begun = [0.0], [0], [0], set(), []
+    lock = threading.Lock()
+
+    def sleep(seconds):
+        with lock:
+            now[0] += seconds
+
+    def call(texts, kind):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            begun.append(now[0])
+            fresh = texts[0] not in failed
+            failed.add(texts[0])
+        time.sleep(0.002)
+        with lock:
+            running[0] -= 1
+        if fresh and texts[0].endswith("7"):
+            raise RuntimeError("503 overloaded")
+        return [[float(t.split()[-1]), 1.0] for t in texts]
+
+    e = RemoteEmbedder(call, dim=2, in_flight=4, per_minute=20, batch_tokens=2, clock=lambda: now[0], sleep=sleep)
+    out = e.embed_documents([f"text {i}" for i in range(50)])
+    assert out[:, 0].tolist() == [float(i) for i in range(50)] and most[0] <= 4
+    assert len(begun) == 55 and max(sum(a <= b < a + 60 for b in begun) for a in begun) <= 20
+    assert e.embed_query("text 3") == [3.0, 1.0] and e.embed_documents([]).shape == (0, 2)
+
+
+def test_remote_reranker(spark):
+    asked = spark.createDataFrame([(0, "how does it work", "abc"), (0, "how does it work", "a"), (1, "other", "abcd"), (1, "other", None)], "query_id int, query string, chunk_text string")
+
+    def call(instruction, texts):
+        assert "Query: " in instruction and "Ranking rules" in instruction
+        return [len(t) / 10 for t in texts]
+
+    rows = remote_reranker(call, "debug")(asked).collect()
+    assert sorted((r["query_id"], r["score"]) for r in rows) == [(0, 0.1), (0, 0.3), (1, 0.0), (1, 0.4)]

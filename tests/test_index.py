@@ -9,14 +9,16 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.config import Settings
 from tessera.functions.embedding import HashEmbedder
-from tessera.operators import merge
+from tessera.operators import analytics, merge
+from tessera.plans import benchmark
 from tessera.plans import search as plan
 from tessera.plans.index import check_status, delete_project, index_books, index_project, sync_all
 from tessera.sources import logs
 from tessera.sources.files import collect_files, list_files, read_files
 from tessera.sources.snapshots import FILES, Conflict, Store
-from tessera.streaming.watch import watch
+from tessera.streaming.watch import stop, watch, watch_each, watchers
 
 CODE = "def {name}(value: Widget) -> Result:\n" + "".join(f"    step_{i} = compute(value, {i})\n" for i in range(12)) + "    return step_0\n"
 
@@ -151,6 +153,54 @@ def test_log(spark, tree, tmp_path):
     assert logs.load_baseline(str(tmp_path / "b.json"))["by_category"]["a"]["mrr"] == 1.0 and logs.load_baseline(str(tmp_path / "none")) is None
 
 
+def test_service_log_and_benchmark(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    index_project(store, tree, "p")
+    path = str(tmp_path / "log")
+    service = plan.Service(store, settings=Settings(search_log_path=path))
+    found = service.search_codebase(["alpha value compute step", "zzz qqq"], project="p")
+    plain = plan.Service(store).search_codebase(["alpha value compute step", "zzz qqq"], project="p")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["filepath"], r["score"]) for r in df.collect())
+    assert key(found) == key(plain) and key(found)
+    rows = {r["query"]: r for r in logs.read_log(spark, path).collect()}
+    good, bad = rows["alpha value compute step"], rows["zzz qqq"]
+    assert (good["outcome"], good["tool"], good["filters"]["project"], good["budget"]["max_tokens"]) == ("ok", "search_codebase", "p", 8000)
+    assert good["retrieval"]["candidates"] > 0 and good["retrieval"]["fallback_used"] and len(good["results"]) == sum(r[0] == 0 for r in key(found))
+    assert bad["outcome"] != "ok" and bad["budget"]["returned_results"] == 0
+    report = analytics.control_counters(logs.read_log(spark, path), ("per_file_budget_skipped", "per_file_file_replaced", "per_file_symbol_capped"))
+    assert report.first()["per_file_symbol_capped_total"] == 0
+    questions = tmp_path / "questions.json"
+    lines = [{"query": "alpha value compute step", "category": "code", "expect_files": ["src/a.py"], "expect_symbols": ["alpha"]}, {"query": "zzz qqq", "category": "none", "expect_files": ["nowhere.py"]}, {"category": "broken"}]
+    questions.write_text("\n".join(map(json.dumps, lines)))
+    base = str(tmp_path / "base" / "one.json")
+    metrics = benchmark.run(plan.Service(store), str(questions), "p")
+    first = {r["query_id"]: r for r in metrics.collect()}
+    assert first[0]["file_hit_5"] and first[0]["symbol_hit_5"] and not first[1]["file_hit_5"] and len(first) == 2
+    assert benchmark.report(metrics, save=base)["overall"]["queries"] == 2
+    again = benchmark.report(metrics, compare=base)
+    assert {r["mrr_delta"] for r in again["delta"]} == {0.0} and "delta" not in benchmark.report(metrics, compare=base + ".none")
+
+
+def test_watchers(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    registry = tmp_path / "registry.json"
+    registry.write_text(json.dumps({"p": tree}))
+    watch(store, None, str(tmp_path / "check"), every="1 second", registry=str(registry))
+    each = watch_each(store, {"a/b": f"{tree}/src"}, str(tmp_path / "checks"), every="1 second", stagger=0.1, initial_sync=False)
+    try:
+        assert {r["symbol_name"] for r in store.read("chunks").collect()} >= {"alpha", "beta"}  # the first sync
+        assert {w["name"] for w in watchers(spark)} == {"tessera_watch", "tessera_watch:a/b"} and set(each) == {"a/b"}
+        registry.write_text(json.dumps({"p": tree, "q": f"{tmp_path}/two"}))  # a project comes while the stream runs
+        write(f"{tmp_path}/two/x.py", CODE.format(name="delta"))
+        deadline = time.time() + 90
+        while time.time() < deadline and "delta" not in {r["symbol_name"] for r in store.read("chunks").collect()}:
+            time.sleep(0.5)
+        assert "delta" in {r["symbol_name"] for r in store.read("chunks").collect()}
+        assert stop(spark, "a/b") == ["tessera_watch:a/b"] and len(watchers(spark)) == 1
+    finally:
+        assert stop(spark) == ["tessera_watch"] and watchers(spark) == []
+
+
 def test_counters(spark):
     schema = "query_id int, chunk_id int, filepath string, chunk_type string, start_line int, end_line int, chunk_text string, similarity double, token_count long"
     rows = [
