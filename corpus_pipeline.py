@@ -9,6 +9,13 @@ columns of documents.  Every stage works on all rows that the one before kept:
 3. decontaminate: documents that hold a passage of a benchmark item go.
 4. pii: spans of personal data are replaced by their kind in brackets, n_chars is set anew.
 5. bpe: (doc_id, tokens, n_tokens, exact) of each remaining document.
+
+* Null and blank texts are rejected by the classifier; without labels of both classes there is none, and
+  they go through: a null text is in no group, leaks nothing, stays null and has null tokens.
+* Repeated rows, and rows that agree in id and text, are copies: one stays.  Rows of one id with
+  different texts are different documents.  A null doc_id is kept like any other.
+* Ties: the copy of least doc_id stays, then of least text hash, then whose columns as JSON come first.
+* An empty table gives an empty result.  Further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
