@@ -37,6 +37,19 @@ def language_of(name: str) -> str | None:
     return SUFFIX_LANGUAGE.get("." + suffix.lower()) if dot and stem.strip(".") else None
 
 
+@dataclass
+class Part:
+    """Lines of a statement, absolute, and the statements of its body."""
+
+    start: int
+    end: int
+    parts: list["Part"] = field(default_factory=list)
+
+
+#: Levels of nested statements that a structural split goes down.
+DEPTH = 3
+
+
 @dataclass
 class Chunk:
     text: str
@@ -48,8 +61,8 @@ class Chunk:
     parent: str | None = None
     signature: str | None = None
     tokens: int = 0
-    #: Line spans, absolute, of the statements within, where a structural split is possible.
-    parts: list[tuple[int, int]] = field(default_factory=list)
+    #: The statements within, where a structural split is possible.
+    parts: list["Part"] = field(default_factory=list)
 
     def __post_init__(self):
         if not self.tokens:
@@ -79,6 +92,13 @@ def _python(source: str) -> tuple[list[str], list[Chunk]]:
         head = cut(n.lineno, max(n.lineno, first.lineno - 1), n.col_offset) if first.lineno > n.lineno else lines[n.lineno - 1][n.col_offset : first.col_offset]
         return re.sub(r"\s*(#[^\n]*\s*)*$", "", head.split('"""')[0].rstrip()).strip()
 
+    def body(n: ast.AST, depth: int = DEPTH) -> list[Part]:
+        """The statements of a compound one, in all its blocks."""
+        if not depth:
+            return []
+        blocks = [*getattr(n, "body", []), *[s for h in getattr(n, "handlers", []) for s in h.body], *getattr(n, "orelse", []), *getattr(n, "finalbody", []), *[s for c in getattr(n, "cases", []) for s in c.body]]
+        return [Part(*span(s), body(s, depth - 1)) for s in blocks if isinstance(s, ast.stmt)]
+
     out: list[Chunk] = []
     for n in tree.body:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -89,7 +109,7 @@ def _python(source: str) -> tuple[list[str], list[Chunk]]:
         else:
             continue
         a, b = span(n)
-        out.append(Chunk(cut(a, b), a, b, "declaration", name, imports))
+        out.append(Chunk(cut(a, b), a, b, "declaration", name, imports, parts=body(n)))
 
     def visit(node: ast.AST, owner: str | None) -> None:
         for n in ast.iter_child_nodes(node):
@@ -98,8 +118,7 @@ def _python(source: str) -> tuple[list[str], list[Chunk]]:
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 a, b = n.lineno, n.end_lineno
                 kind, name = ("method", f"{owner}.{n.name}") if owner else ("function", n.name)
-                parts = [span(s) for s in n.body]
-                out.append(Chunk(cut(a, b, n.col_offset), a, b, kind, name, imports, owner, signature(n), parts=parts))
+                out.append(Chunk(cut(a, b, n.col_offset), a, b, kind, name, imports, owner, signature(n), parts=body(n)))
             else:
                 visit(n, owner)
 
@@ -208,49 +227,77 @@ def _braces(source: str, language: str) -> tuple[list[str], list[Chunk]]:
     declared: list[Chunk] = []
     inner: list[Chunk] = []
 
+    def inside(a: int, b: int) -> tuple[int, int] | None:
+        """What the braces of a statement hold, from its first to its last."""
+        brace = clean.find("{", a, b)
+        return (brace + 1, clean.rfind("}", a, b)) if brace >= 0 else None
+
+    def body(a: int, b: int, depth: int = DEPTH) -> list[Part]:
+        held = inside(a, b)
+        if not held or not depth:
+            return []
+        return [Part(line_at(s), line_at(max(s, e - 1)), body(s, e, depth - 1)) for s, e in statements(clean, *held)]
+
     def callable_chunk(a: int, b: int, kind: str, name: str, owner: str | None) -> Chunk:
         brace = clean.find("{", a, b)
         arrow = clean.find("=>", a, b)
         head = source[a : brace if brace >= 0 else (arrow + 2 if arrow >= 0 else b)].strip()
-        body = [(line_at(s), line_at(e - 1)) for s, e in statements(clean, brace + 1, clean.rfind("}", a, b))] if brace >= 0 else []
-        return Chunk(source[a:b], line_at(a), line_at(max(a, b - 1)), kind, name, imports, owner, head, parts=body)
+        return Chunk(source[a:b], line_at(a), line_at(max(a, b - 1)), kind, name, imports, owner, head, parts=body(a, b))
 
     def members(a: int, b: int, owner: str | None) -> None:
-        brace = clean.find("{", a, b)
-        if brace < 0:
-            return
-        for s, e in statements(clean, brace + 1, clean.rfind("}", a, b)):
+        """Callables of a class; classes within it have members of their own."""
+        for s, e in statements(clean, *(inside(a, b) or (0, 0))):
+            nested = _DECL[language].match(source[s:e])
             m = _MEMBER.get(language, _MEMBER["typescript"]).match(source[s:e])
-            if m and m["name"] not in _NOT_A_NAME and "{" in clean[s:e]:
+            if nested and nested["kind"] in CLASS_LIKE:
+                members(s, e, nested["name"])
+            elif m and m["name"] not in _NOT_A_NAME and "{" in clean[s:e]:
                 kind, name = ("method", f"{owner}.{m['name']}") if owner else ("function", m["name"])
                 inner.append(callable_chunk(s, e, kind, name, owner))
 
-    for a, b in statements(clean, 0, len(clean)):
-        text = source[a:b]
-        if _IMPORT[language].match(text):
-            imports.append(text.strip().rstrip(";") if language == "python" else text.strip())
-            continue
+    def callables(a: int, b: int, text: str) -> None:
+        """What a statement declares, or statements in its braces do: namespaces, modules, bare and guarded blocks."""
         m = _DECL[language].match(text)
         if not m:
-            if language in ("typescript", "javascript") and text.startswith("export"):
-                declared.append(Chunk(text, line_at(a), line_at(max(a, b - 1)), "declaration", None, imports))
-            continue
+            if _BLOCK.match(text) and (held := inside(a, b)):
+                for s, e in statements(clean, *held):
+                    callables(s, e, source[s:e])
+            return
         kind, name = m["kind"], m["name"]
-        declared.append(Chunk(text, line_at(a), line_at(max(a, b - 1)), "declaration", None if kind == "impl" else name, imports))
         offset = len(re.match(r"(?:export\s+)?(?:default\s+)?", text)[0]) if language in ("typescript", "javascript") else 0
-        if kind in ("class", "interface", "enum") and language != "rust":
+        if kind in CLASS_LIKE and language != "rust":
             members(a, b, name)
-        elif kind in ("impl", "trait", "mod"):
+        elif kind in ("impl", "trait"):
             members(a, b, None)
+        elif kind == "mod":
+            for s, e in statements(clean, *(inside(a, b) or (0, 0))):
+                callables(s, e, source[s:e])
         elif kind in ("function", "function*", "func", "fn"):
             inner.append(callable_chunk(a + offset, b, "method" if language == "go" and text.startswith("func (") else "function", name, None))
         elif kind in ("const", "let", "var") and (arrow := _ARROW.match(text)):
             equals = clean.index("=", a)
             begin = equals + 1 + len(source[equals + 1 : b]) - len(source[equals + 1 : b].lstrip())
             inner.append(callable_chunk(begin, b - (clean[b - 1] == ";"), "function", arrow["name"], None))
+
+    for a, b in statements(clean, 0, len(clean)):
+        text = source[a:b]
+        if _IMPORT[language].match(text):
+            imports.append(text.strip().rstrip(";") if language == "python" else text.strip())
+            continue
+        m = _DECL[language].match(text)
+        if m:
+            declared.append(Chunk(text, line_at(a), line_at(max(a, b - 1)), "declaration", None if m["kind"] == "impl" else m["name"], imports, parts=body(a, b)))
+        elif language in ("typescript", "javascript") and text.startswith("export"):
+            declared.append(Chunk(text, line_at(a), line_at(max(a, b - 1)), "declaration", None, imports, parts=body(a, b)))
+        callables(a, b, text)
     return imports, declared + inner
 
 
+CLASS_LIKE = ("class", "interface", "enum")
+#: Statements whose braces hold further declarations.
+_BLOCK = re.compile(r"^(?:(?:export\s+)?(?:declare\s+)?(?:namespace|module|global)\b|(?:if|else|try|do|for|while|extern|unsafe|static)\b|\{)")
+
+
 # == SQL and Markdown ==
 
 _SQL_START = re.compile(r"(?:--[^\n]*\n|/\*.*?\*/|\s)*", re.S)
@@ -347,22 +394,22 @@ def split_tokens(chunk: Chunk, limit: int) -> list[Chunk]:
     return out
 
 
-def split_structure(chunk: Chunk, limit: int, lines: list[str]) -> list[Chunk]:
-    """Groups of whole statements; an oversized statement is split by lines."""
-    if not chunk.parts:
+def split_structure(chunk: Chunk, limit: int, lines: list[str], depth: int = DEPTH) -> list[Chunk]:
+    """Groups of whole statements; an oversized statement by its own statements, DEPTH levels down, and then by lines."""
+    if not chunk.parts or not depth:
         return split_lines(chunk, limit)
-    sized = [(a, b, count_tokens("\n".join(lines[a - 1 : b]))) for a, b in chunk.parts]
-    groups: list[list[tuple[int, int, int]]] = []
-    for s in sized:
-        if groups and sum(x[2] for x in groups[-1]) + s[2] <= limit:
-            groups[-1].append(s)
+    groups: list[list[tuple[Part, int]]] = []
+    for p in chunk.parts:
+        n = count_tokens("\n".join(lines[p.start - 1 : p.end]))
+        if groups and sum(x for _, x in groups[-1]) + n <= limit:
+            groups[-1].append((p, n))
         else:
-            groups.append([s])
+            groups.append([(p, n)])
     out = []
     for g in groups:
-        a, b = g[0][0], g[-1][1]
-        part = replace(chunk, text="\n".join(lines[a - 1 : b]), start=a, end=b, tokens=sum(x[2] for x in g), parts=[])
-        out += split_lines(part, limit) if part.tokens > limit else [part]
+        a, b = g[0][0].start, g[-1][0].end
+        part = replace(chunk, text="\n".join(lines[a - 1 : b]), start=a, end=b, tokens=sum(n for _, n in g), parts=g[0][0].parts if len(g) == 1 else [])
+        out += split_structure(part, limit, lines, depth - 1) if part.tokens > limit else [replace(part, parts=[])]
     return out
 
 
@@ -390,6 +437,7 @@ def chunk_file(filepath: str, content: str | None, settings: Settings = Settings
     elif language.strategy == "section":
         found = markdown_sections(content)
     total = count_tokens(content)
+    # a whole file has no parts: it is split by lines, so that its pieces don't take the place of its symbols'
     whole = [Chunk(content, 1, len(lines), "file", filepath.replace("\\", "/").rsplit("/", 1)[-1], imports, tokens=total)] if content.strip() and 50 <= total <= 10_000 else []
     sized: list[Chunk] = []
     for c in whole + found:
