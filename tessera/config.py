@@ -39,6 +39,8 @@ class Settings:
     search_log_path: str | None = None
     similarity_threshold: float = 0.3
     small_file_lines: int = 200
+    token_pattern: str = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"
+    token_vocabulary: str | None = None
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Settings":

@@ -3,15 +3,19 @@
 Python files are parsed with the standard library's `ast`; brace languages with a scanner that
 knows strings and comments; SQL with a splitter that knows quotes and $$ bodies; Markdown by
 heading lines.  Broken Python goes to the line scanner.  Tokens are counted as in
-`functions.columns.token_count`, so boundaries differ from those of a model's tokenizer.
+`functions.columns.token_count`, unless the settings name the vocabulary file of a model's
+tokenizer.
 """
 
 from __future__ import annotations
 
 import ast
+import base64
 import re
 from collections.abc import Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -27,8 +31,44 @@ SCHEMA = (
 )
 
 
+class RegexTokens:
+    """Runs of letters, runs of digits, and every other mark."""
+
+    def count(self, text: str) -> int:
+        return sum(1 for _ in _TOKEN.finditer(text))
+
+    def starts(self, text: str) -> list[int]:
+        return [m.start() for m in _TOKEN.finditer(text)]
+
+
+class BpeTokens:
+    """The tokens of a byte-level BPE vocabulary file (base64 token, space, rank on each line)."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        lines = (line.split() for line in open(path, "rb").read().splitlines() if line)
+        ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
+    def starts(self, text: str) -> list[int]:
+        return self.encoding.decode_with_offsets(self.encoding.encode_ordinary(text))[1]
+
+
+@cache
+def tokens_of(path: str | None, pattern: str) -> RegexTokens | BpeTokens:
+    return BpeTokens(path, pattern) if path else RegexTokens()
+
+
+#: What counts tokens while a file is chunked; `chunk_file` sets it as its settings say.
+_COUNTER: ContextVar[RegexTokens | BpeTokens] = ContextVar("counter", default=RegexTokens())
+
+
 def count_tokens(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
+    return _COUNTER.get().count(text)
 
 
 def language_of(name: str) -> str | None:
@@ -385,7 +425,7 @@ def split_lines(chunk: Chunk, limit: int) -> list[Chunk]:
 
 def split_tokens(chunk: Chunk, limit: int) -> list[Chunk]:
     """Slices of exactly `limit` tokens, for when structural splitting is off."""
-    marks = [m.start() for m in _TOKEN.finditer(chunk.text)]
+    marks = _COUNTER.get().starts(chunk.text)
     cuts = [0, *marks[limit::limit], len(chunk.text)]
     out = []
     for k, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
@@ -415,6 +455,14 @@ def split_structure(chunk: Chunk, limit: int, lines: list[str], depth: int = DEP
 
 def chunk_file(filepath: str, content: str | None, settings: Settings = Settings()) -> list[Chunk]:
     """All chunks of a file, in the order file, declarations, functions; none for an unknown language or null content."""
+    before = _COUNTER.set(tokens_of(settings.token_vocabulary, settings.token_pattern))
+    try:
+        return _chunk_file(filepath, content, settings)
+    finally:
+        _COUNTER.reset(before)
+
+
+def _chunk_file(filepath: str, content: str | None, settings: Settings) -> list[Chunk]:
     name = language_of(filepath)
     if not name or content is None:
         return []
