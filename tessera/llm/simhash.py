@@ -3,14 +3,14 @@
 Fingerprints have 256 bits: the sign of the weighted sum over a text's distinct words and word
 pairs, longer words weighing more.  Two unrelated texts are within RADIUS with a chance of less
 than 2^-70 as far as their bits are random, so billions of them aren't joined by accident.  Equal fingerprints are one vertex, however many documents
-share it.  Reference fingerprints (pivots), about 8 * sqrt(vertices) of them, are drawn by hash
+share it.  Reference fingerprints (pivots), about 1.73 * vertices^0.7 of them, are drawn by hash
 from the vertices; the table of Hamming distances from each vertex to every pivot is computed
 once.  By the triangle inequality near vertices have near rows in the table, so each vertex goes
 to the cells of its nearest pivots, and only pairs that share a cell are looked at.  The more
 pivots there are the more cells it takes to hold the recall: `nearest` says how many.  In a cell,
 tiles of pairs whose rows differ by more than the radius in any kept coordinate are discarded, and
-the survivors are verified by their Hamming distance.  Cells hold about nearest / 8 * sqrt(vertices),
-so the work grows as a power of about 1.8; there is no cap on a cell or on a fingerprint's partners.
+the survivors are verified by their Hamming distance.  Cells hold about vertices * nearest / pivots fingerprints,
+so the work grows as a power of about 1.7; there is no cap on a cell or on a fingerprint's partners.
 A cell of many copies of one text costs no more than a pass for each of its leaders: fingerprints
 within the radius of a leader are one group already, and aren't compared among themselves.
 
@@ -52,6 +52,10 @@ RADIUS = 56
 #: Cells that a fingerprint is put in, at least; and how their number grows with that of the pivots.
 NEAREST = 22
 GROWTH = (3.5, 0.27)
+#: Pivots: this times a power of the number of fingerprints, and 8 times its root at least.
+PIVOTS = (1.73, 0.7)
+#: Distances of fingerprints to pivots that are computed at once.
+TABLE = 1 << 23
 #: Coordinates of the pivot table that are kept in a cell.
 COORDINATES = 16
 #: Rows and columns of a piece of a cell whose pairs are looked at together.
@@ -60,45 +64,61 @@ TILE = (64, 1024)
 DENSE, MISSES = 1024, 8
 LONGS = ", ".join(f"{w} long" for w in WORDS)
 WORD = re.compile(r"\w+")
-BIT_BLOCK = 1 << 14
+#: Features whose bits are counted at once.
+BIT_BLOCK = 1 << 12
 
 
-def _weighted_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The bytes of the fingerprint of one text's features; integer weights keep sums exact."""
-    total = np.zeros(BITS)
-    for s in range(0, len(hashes), BIT_BLOCK):
-        h = hashes[s : s + BIT_BLOCK]
-        words = np.stack([split_mix(h, k + 1) for k in range(len(WORDS))], 1).astype("<u8")
-        bits = np.unpackbits(words.view(np.uint8), axis=1)
-        w = weights[s : s + BIT_BLOCK].astype(np.float32)
-        total += 2.0 * (w @ bits.astype(np.float32)) - w.sum(dtype=np.float64)
-    return np.packbits(total > 0)
+def _hashed_bits(hashes: np.ndarray) -> np.ndarray:
+    """(n, BITS) bits, a byte each."""
+    words = np.stack([split_mix(hashes, k + 1) for k in range(len(WORDS))], 1).astype("<u8")
+    return np.unpackbits(words.view(np.uint8), axis=1)
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def fingerprint_texts(texts: list[str]) -> np.ndarray:
-    """(n, len(WORDS)) uint64 fingerprints."""
-    out = np.zeros((len(texts), BITS // 8), np.uint8)
+    """(n, len(WORDS)) uint64 fingerprints.
+
+    The features of all texts are numbers (text, weight, word, next word) in one sorted array.
+    Those of one text and weight lie together, and their bits are counted eight columns to an addition.
+    """
     words = [WORD.findall(t.lower()) for t in texts]
-    code = {w: zlib.crc32(w.encode()) for w in set(chain.from_iterable(words))}
-    size = {w: min(len(w), 10) for w in code}
+    index = {w: i for i, w in enumerate(set(chain.from_iterable(words)))}
+    none = len(index)  # stands for the next word where a feature is a single one
+    wide = none.bit_length()
+    if len(texts) > 1 and (len(texts) << 5).bit_length() + 2 * wide > 63:
+        half = len(texts) // 2
+        return np.concatenate([fingerprint_texts(texts[:half]), fingerprint_texts(texts[half:])])
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    n = int(counts.sum())
-    h = np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.uint64, n)
-    w = np.fromiter(map(size.__getitem__, chain.from_iterable(words)), np.int64, n)
-    ends = np.cumsum(counts)
-    for i, (text, count, end) in enumerate(zip(texts, counts.tolist(), ends.tolist())):
-        if not count:
-            out[i] = _weighted_bits(np.array([zlib.crc32(text.encode()) | 1 << 40], np.uint64), np.ones(1))
-            continue
-        hi, wi = h[end - count : end], w[end - count : end]
-        single, at = np.unique(hi, return_index=True)
-        hashes, weights = [single], [2 * wi[at]]
-        if count > 1:
-            pair, at = np.unique(split_mix(hi[:-1], 7) + hi[1:], return_index=True)
-            hashes.append(pair)
-            weights.append(wi[at] + wi[at + 1])
-        out[i] = _weighted_bits(np.concatenate(hashes), np.concatenate(weights))
-    return out.view("<u8")
+    code = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+    crc = np.fromiter(map(zlib.crc32, map(str.encode, index)), np.uint64, none)
+    size = np.minimum(np.fromiter(map(len, index), np.int64, none), 10)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    inner = doc[:-1] == doc[1:]
+    a, b = code[:-1][inner], code[1:][inner]
+    single = ((doc << 5 | 2 * size[code]) << wide | code) << wide | none
+    key = np.concatenate([single, ((doc[:-1][inner] << 5 | size[a] + size[b]) << wide | a) << wide | b])
+    key.sort()
+    key = key[_begins(key)]
+    ones, total = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+    left, right = split_mix(crc, 7), np.append(crc, np.uint64(0))
+    for s in range(0, len(key), BIT_BLOCK):
+        part = key[s : s + BIT_BLOCK]
+        group, a, b = part >> 2 * wide, part >> wide & (1 << wide) - 1, part & (1 << wide) - 1
+        at = np.union1d(_begins(group), np.arange(0, len(part), 255)[1:])  # so that no byte overflows
+        count = np.add.reduceat(_hashed_bits(np.where(b == none, crc[a], left[a] + right[b])).view(np.uint64), at, axis=0).view(np.uint8)
+        owner, weight = group[at] >> 5, group[at] & 31
+        first = _begins(owner)
+        ones[owner[first]] += np.add.reduceat(count * weight[:, None].astype(np.int32), first, axis=0)
+        total[owner[first]] += np.add.reduceat(np.diff(np.append(at, len(part))) * weight, first)
+    bits = 2 * ones > total[:, None]
+    bare = np.flatnonzero(counts == 0)
+    if len(bare):
+        bits[bare] = _hashed_bits(np.array([zlib.crc32(texts[i].encode()) | 1 << 40 for i in bare], np.uint64))
+    return np.packbits(bits, axis=1).view("<u8")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,32 +144,51 @@ def _fingerprints(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy() for k in WORDS], 1).view(np.uint64)
 
 
+def pivot_count(fingerprints: int) -> int:
+    """Pivots for so many fingerprints.
+
+    The table costs fingerprints * pivots, the cells about (fingerprints * nearest)^2 / (2 * pivots).
+    """
+    return min(fingerprints, math.ceil(max(8 * fingerprints**0.5, PIVOTS[0] * fingerprints ** PIVOTS[1])))
+
+
 def nearest(pivots: int) -> int:
     """Cells that a fingerprint is put in.
 
     Fitted to isolated pairs of random fingerprints at RADIUS, of which 0.99 share a cell with
-    800 to 25,000 pivots (10,000 to 10 million vertices).
+    800 to 180,000 pivots.
     """
     return min(pivots, max(NEAREST, math.ceil(GROWTH[0] * pivots ** GROWTH[1])))
 
 
+def _signs(fp: np.ndarray) -> np.ndarray:
+    """Fingerprints as rows of 1 and -1, whose products are BITS less twice the distance."""
+    signs = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1).astype(np.float32)
+    signs *= 2
+    signs -= 1
+    return signs
+
+
 def _cells(vertices: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(pivot, dist, v, fingerprint): each vertex in the cells of its nearest pivots."""
-    near = nearest(len(pivots))
+    """(pivot, dist, v, fingerprint): each vertex in the cells of its nearest pivots, of equally near ones the last."""
+    near, n = nearest(len(pivots)), len(pivots)
+    step = max(1, min(128, TABLE // n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs, tie = _signs(pivots).T, np.linspace(0, 1, n, dtype=np.float32)
         for batch in batches:
             fp = _fingerprints(batch)
-            step = max(1, (1 << 19) // len(pivots))
             for s in range(0, len(fp), step):
-                table = hamming(fp[s : s + step], pivots)
-                cell = np.argpartition(table, near - 1, axis=1)[:, :near]
-                dist = np.take_along_axis(table, cell, 1)
-                row = np.repeat(np.arange(s, s + len(cell)), near)
-                part = batch.select(["v", *WORDS]).take(pa.array(row))
-                yield pa.record_batch([pa.array(cell.ravel().astype(np.int32)), pa.array(dist.ravel().astype(np.int16)), *part.columns], names=["pivot", "dist", "v", *WORDS])
+                table = _signs(fp[s : s + step]) @ signs
+                table += tie
+                least = np.partition(table, n - near, axis=1)[:, n - near]
+                row, cell = np.nonzero(table >= least[:, None])
+                dist = (BITS - np.floor(table[row, cell] / 2) * 2) / 2
+                part = batch.select(["v", *WORDS]).take(pa.array(row + s))
+                yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(dist.astype(np.int16)), *part.columns], names=["pivot", "dist", "v", *WORDS])
 
-    return vertices.select("v", *WORDS).mapInArrow(run, f"pivot int, dist short, v struct<id:long,key:long>, {LONGS}")
+    kind = vertices.schema["v"].dataType.simpleString()
+    return vertices.select("v", *WORDS).mapInArrow(run, f"pivot int, dist short, v {kind}, {LONGS}")
 
 
 def followers(fp: np.ndarray, radius: int) -> np.ndarray:
@@ -176,6 +215,7 @@ def near_in_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.nda
     order = np.lexsort((table[:, 0], ball))
     fp, table, ball = fp[order], table[order], ball[order]
     words = [np.ascontiguousarray(w) for w in fp.T]
+    mixed, bits, sums = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, np.uint8)
     left, right = [order[np.searchsorted(ball, ball)]], [order]  # a leader and its followers
     for s in range(0, len(fp), TILE[0]):
         e = min(len(fp), s + TILE[0])
@@ -186,14 +226,14 @@ def near_in_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.nda
                 continue
             if max((table[a:b].min(0) - high).max(), (low - table[a:b].max(0)).max()) > radius:
                 continue
-            apart = np.bitwise_count(words[0][s:e, None] ^ words[0][None, a:b])
-            apart += np.bitwise_count(words[1][s:e, None] ^ words[1][None, a:b])
+            both, ones, apart = mixed[: e - s, : b - a], bits[: e - s, : b - a], sums[: e - s, : b - a]
+            np.bitwise_count(np.bitwise_xor(words[0][s:e, None], words[0][None, a:b], out=both), out=apart)
+            for w in words[1:-1]:  # 192 bits leave hardly any pair of unrelated texts
+                np.add(apart, np.bitwise_count(np.bitwise_xor(w[s:e, None], w[None, a:b], out=both), out=ones), out=apart)
             at = np.flatnonzero(apart <= radius)
             i, j, d = at // (b - a) + s, at % (b - a) + a, apart.ravel()[at].astype(np.int16)
-            for w in words[2:]:
-                d = d + np.bitwise_count(w[i] ^ w[j])
-                near = d <= radius
-                i, j, d = i[near], j[near], d[near]
+            near = d + np.bitwise_count(words[-1][i] ^ words[-1][j]) <= radius
+            i, j = i[near], j[near]
             later = i < j
             left.append(order[i[later]])
             right.append(order[j[later]])
@@ -252,7 +292,7 @@ def _edges(cells: DataFrame, pivots: np.ndarray, radius: int) -> DataFrame:
         if held and (out := solve(pa.Table.from_batches(held))) is not None:
             yield out
 
-    v = "struct<id:long,key:long>"
+    v = cells.schema["v"].dataType.simpleString()
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(n, "pivot").sortWithinPartitions("pivot").mapInArrow(run, f"a {v}, b {v}").distinct()
 
@@ -296,17 +336,19 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = materialise(fingerprints(docs, id_col, text_col).groupBy("doc_id", "key", *WORDS).agg(F.count("*").alias("n")), "fingerprints")
-    vertices = materialise(rows.groupBy(*WORDS).agg(F.min(F.struct(_order_id("doc_id").alias("id"), "key")).alias("v")), "vertices")
+    # A number for each fingerprint is shorter than the id and key of its first row.
+    first = rows.groupBy(*WORDS).agg(F.min(F.struct(_order_id("doc_id").alias("id"), "key")).alias("top"))
+    vertices = materialise(first.withColumn("v", F.monotonically_increasing_id()), "vertices")
     count = vertices.count()
     if not count:
         return spark.createDataFrame([], "doc_id long, keeper_id long, distance int, n_rows long, key long, is_keeper boolean")
-    drawn = vertices.orderBy(F.xxhash64(*WORDS), *WORDS).limit(math.ceil(8 * math.sqrt(count))).select(*WORDS).collect()
+    drawn = vertices.orderBy(F.xxhash64(*WORDS), *WORDS).limit(pivot_count(count)).select(*WORDS).collect()
     pivots = np.array([tuple(r) for r in drawn], np.int64).view(np.uint64)
     roots = components(_edges(_cells(vertices, pivots), pivots, radius))
+    grouped = vertices.join(roots, "v", "left").select(*WORDS, "top", F.coalesce("root", "v").alias("group"))
     # The keeper's own fingerprint comes along for the distance.
-    top = vertices.select(F.col("v").alias("root"), *(F.col(w).alias(f"root_{w}") for w in WORDS))
-    named = vertices.join(roots, "v", "left").select(*WORDS, F.coalesce("root", "v").alias("root"))
-    named = named.join(top, "root")
+    keepers = grouped.groupBy("group").agg(F.min(F.struct("top", *(F.col(w).alias(f"root_{w}") for w in WORDS))).alias("k"))
+    named = grouped.drop("top").join(keepers, "group").select(*WORDS, F.col("k.top").alias("root"), *(f"k.root_{w}" for w in WORDS))
     found = rows.join(named, list(WORDS))
     is_keeper = (_order_id("doc_id") == F.col("root.id")) & (F.col("key") == F.col("root.key"))
     gone = found.withColumn("n_rows", F.when(is_keeper, F.col("n") - 1).otherwise(F.col("n"))).where("n_rows > 0")

@@ -159,3 +159,60 @@ def test_shuffled_anti_join(spark, monkeypatch):
     assert common.without(df, keys, "k").count() == 40
     monkeypatch.setattr(common, "BROADCAST_KEYS", 3)
     assert common.without(df, keys, "k").count() == 40
+
+
+def test_work_at_six_gigabytes():
+    """2.8 million fingerprints: with 8 * sqrt(n) pivots the cells held 6 * 10^11 pairs, more than there was time for."""
+    n = 2_800_000
+    pivots = simhash.pivot_count(n)
+    pairs = (n * simhash.nearest(pivots)) ** 2 / (2 * pivots)
+    assert pairs <= 3.5e11 and n * pivots <= 2e11
+    assert [simhash.pivot_count(k) for k in (1, 5, 100)] == [1, 5, 80]
+
+
+def test_isolated_pairs_share_cells_of_the_pivots_drawn(spark):
+    rng = np.random.default_rng(7)
+    a = random_prints(rng, 200)
+    fp = np.concatenate([a, flipped(rng, a, simhash.RADIUS)]).view(np.int64).tolist()
+    vertices = spark.createDataFrame([(n, *row) for n, row in enumerate(fp)], f"v long, {simhash.LONGS}")
+    for n in (1_000_000, 10_000_000):
+        pivots = random_prints(rng, simhash.pivot_count(n))
+        cells = {}
+        for r in simhash._cells(vertices, pivots).select("pivot", "v").collect():
+            cells.setdefault(r["v"], set()).add(r["pivot"])
+        assert np.mean([not cells[k].isdisjoint(cells[k + 200]) for k in range(200)]) >= 0.97, n
+
+
+def test_cells_are_the_nearest_pivots(spark):
+    rng = np.random.default_rng(8)
+    fp, pivots = random_prints(rng, 300), random_prints(rng, 700)
+    vertices = spark.createDataFrame([(n, *row) for n, row in enumerate(fp.view(np.int64).tolist())], f"v long, {simhash.LONGS}")
+    table, got = simhash.hamming(fp, pivots), {}
+    for r in simhash._cells(vertices, pivots).collect():
+        assert r["dist"] == table[r["v"], r["pivot"]]
+        got.setdefault(r["v"], []).append(r["dist"])
+    near = simhash.nearest(700)
+    assert all(sorted(got[n]) == sorted(table[n].tolist())[:near] for n in range(300))
+
+
+def slow_fingerprint(t):
+    """One text's bits, feature by feature."""
+    words = simhash.WORD.findall(t.lower())
+    code = lambda w: np.array([simhash.zlib.crc32(w.encode())], np.uint64)
+    weight = lambda w: min(len(w), 10)
+    features = [(code(w), 2 * weight(w)) for w in set(words)] + [(common.split_mix(code(a), 7) + code(b), weight(a) + weight(b)) for a, b in set(zip(words, words[1:]))]
+    total = np.zeros(simhash.BITS)
+    for h, w in features or [(np.array([simhash.zlib.crc32(t.encode()) | 1 << 40], np.uint64), 1)]:
+        bits = np.unpackbits(np.stack([common.split_mix(h, k + 1) for k in range(4)], 1).astype("<u8").view(np.uint8))
+        total += w * (2.0 * bits - 1)
+    return np.packbits(total > 0).view("<u8")
+
+
+def test_fingerprints_against_one_feature_at_a_time(monkeypatch):
+    texts = ["", "!!!", "a", "a a a", "x" * 500, "über Straße 日本語", text(2000), *(text(RNG.randint(1, 60)) for _ in range(60)), " ".join(f"w{i:04}" for i in range(900))]
+    want = np.stack([slow_fingerprint(t) for t in texts])
+    assert (simhash.fingerprint_texts(texts) == want).all()
+    assert (np.concatenate([simhash.fingerprint_texts([t]) for t in texts]) == want).all()
+    monkeypatch.setattr(simhash, "BIT_BLOCK", 300)
+    assert (simhash.fingerprint_texts(texts) == want).all()
+    assert simhash.fingerprint_texts([]).shape == (0, 4)
