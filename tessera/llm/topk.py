@@ -1,4 +1,6 @@
-"""Operator 7, exact top-k search with a KD-tree in each shard.  Every vector is a query.
+"""Operator 7, exact top-k search with a KD-tree in each shard.
+
+The queries are the vectors whose id is divisible by `every` (all of them by default); all vectors are searched.
 
 Vectors go to shards along a small KD-tree over a sample (median splits), so that a shard is a
 region.  In a shard a KD-tree is built with median splits on the widest side, each node with
@@ -12,6 +14,7 @@ distances are summed from differences in double precision.
 
 Results: (vec_id, rank, neighbor_id, distance), Euclidean, ranks from 1; ties by lower id.
 
+* Without an id divisible by `every` the result is empty.
 * Rows without id or vector, with a null or non-finite element, or of another length than most
   rows have, are neither queries nor neighbours.
 * Several rows with the same id count as one, with the least of their vectors.
@@ -189,8 +192,8 @@ def _found(q_ids: np.ndarray, best: Best) -> pa.Table:
     return pa.table({"vec_id": np.repeat(q_ids, n), "neighbor_id": best.ids[keep], "d2": best.dist[keep]})
 
 
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance) of the k nearest others of every vector."""
+def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance) of the k nearest others of every vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     out = "vec_id long, rank int, neighbor_id long, distance double"
     # Single precision is shuffled as such; distances are always computed in double.
@@ -213,12 +216,14 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
 
     placed = materialise(clean.mapInArrow(place, f"vec_id long, x {kind}, shard int"), "vectors")
 
+    nothing = pa.table({"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+
     def home(part: pa.Table) -> pa.Table:
         ids, points = part.column("vec_id").to_numpy(), matrix(part.column("x"), dim)
-        root, tables = build(points), []
-        for leaf in leaves(root):
+        root, tables, queries = build(points), [nothing], np.flatnonzero(ids % every == 0)
+        for leaf in leaves(build(points[queries])):
             for s in range(0, len(leaf.rows), LEAF):
-                rows = leaf.rows[s : s + LEAF]
+                rows = queries[leaf.rows[s : s + LEAF]]
                 best = Best(len(rows), k)
                 search(root, points, ids, points[rows], ids[rows], best)
                 tables.append(_found(ids[rows], best))
@@ -260,7 +265,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
         def visit(asking: pa.Table, held: pa.Table) -> pa.Table:
             ids, pts = held.column("vec_id").to_numpy(), matrix(held.column("x"), dim)
             q_ids, q, kth = asking.column("vec_id").to_numpy(), matrix(asking.column("x"), dim), asking.column("kth").to_numpy()
-            root, tables = build(pts), [pa.table({"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})]
+            root, tables = build(pts), [nothing]
             for leaf in leaves(build(q)) if root else ():  # queries that lie together go together
                 for s in range(0, len(leaf.rows), LEAF):
                     rows = leaf.rows[s : s + LEAF]
@@ -272,7 +277,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
         first, size = 0, FIRST_VISITS
         while first < len(shards) - 1:
             kth = near.groupBy("vec_id").agg(F.max("d2").alias("d2"), F.count("*").alias("n")).select("vec_id", F.when(F.col("n") >= k, F.col("d2")).otherwise(F.lit(float("inf"))).alias("kth"))
-            asked = placed.join(kth, "vec_id", "left").select("vec_id", "x", "shard", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+            asked = placed.where(F.col("vec_id") % every == 0).join(kth, "vec_id", "left").select("vec_id", "x", "shard", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
             visits = materialise(asked.mapInArrow(spread(first, first + size), f"vec_id long, x {kind}, kth double, shard int"), "visits")
             counts = [(r["shard"], math.ceil(r["count"] / query_rows)) for r in visits.groupBy("shard").count().collect()]  # at most MOST_SHARDS rows
             if not counts:  # boxes come in order of distance, so no further one is within reach
@@ -291,6 +296,7 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 p AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.x, b.x) AS d
   FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % {every} = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM p
 )

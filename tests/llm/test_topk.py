@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import topk
+from tessera.llm import queries, topk
 
 
 def brute(rows, k):
@@ -59,3 +60,27 @@ def test_awkward(spark):
     assert sorted(map(tuple, topk.top_k(df, 1, shard_rows=2, query_rows=1).collect())) == brute(clean, 1)
     assert topk.top_k(df.where("false"), 3).count() == 0 and topk.top_k(df.where("vec_id = 4"), 3).count() == 0
     assert topk.top_k(df.where("vec_id = 1"), 3).count() == 0
+
+
+def test_some_queries_against_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6))
+    x[350:360] = x[0]  # ties
+    rows = [(i - 100, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = [r for r in brute(rows, 5) if r[0] % 50 == 0]
+    for shard_rows, query_rows in ((10_000, 10_000), (40, 3)):  # of 32 shards many have no query
+        got = sorted(map(tuple, topk.top_k(df, 5, shard_rows=shard_rows, query_rows=query_rows, every=50).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) == 14 * 5
+        assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+    assert topk.top_k(df.where("vec_id % 50 <> 0"), 5, shard_rows=100, every=50).count() == 0
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    """Queries are the ids divisible by 50; as many as all rows make the cost quadratic."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    got = sorted(map(tuple, queries.op7_topk(spark, sf_dir).collect()))
+    assert got == sorted(con.sql(queries.oracle_sql()["op7_topk"]).fetchall())
+    ids = [r[0] for r in con.sql("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()]
+    assert {g[0] for g in got} == set(ids) and len(got) == queries.NEIGHBOURS * len(ids)
