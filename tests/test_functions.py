@@ -91,6 +91,11 @@ def test_html():
     assert html_text(None) is None and html_text("") == ""
 
 
+def test_html_references():
+    """Only those that a semicolon ends, as in the SQL of html_to_text."""
+    assert html_text("<h1>a &amp b&amp</h1><p>&ampc; &&amp;&copy &copy;&amp;quot; &#38; &#38 &x;</p>") == "a &amp b&amp\n&ampc; &&&copy ©&quot; & &#38 &x;"
+
+
 def test_remote_embedder():
     """Order, concurrency, pacing and retries of a client whose clock is ours."""
     now, running, most, failed, begun = [0.0], [0], [0], set(), []
