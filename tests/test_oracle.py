@@ -33,6 +33,21 @@ def test_query(spark, duck, sf_dir, name):
     assert plain(rows) == plain(found.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+#: Blank lines at the start, between long ones and alone, other white space, a null.
+TEXTS = [
+    "", " ", "\n", "\na", "a\n ", "w " * 150 + "\n\n" + "v " * 150, None, "\n\n" + "w " * 150 + "\n\n", "\tx\t\n\th\r\nb\u00a0c", "\fa\u2028b\v\n\u00a0h\u2003\n#\n  # no",
+]
+
+
+@pytest.mark.parametrize("name", ["line_chunks"])
+def test_odd_texts(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = engine.QUERIES[name](spark, str(tmp_path))
+    assert plain(df.collect()) == plain(c.sql(engine.ORACLE[name]).select(*df.columns).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
