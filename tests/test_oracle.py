@@ -39,7 +39,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["line_chunks"])
+@pytest.mark.parametrize("name", ["line_chunks", "markdown_sections"])
 def test_odd_texts(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     c = duckdb.connect()
