@@ -53,6 +53,8 @@ MARKS = ".,;:!?*&%$#|()[]{}<>\"'`~^_=+/\\-"
 TYPES = (5, 0.45)
 #: Positions of a block, on average.
 BLOCK = 1 << 16
+#: Blocks that travel together, at most.
+GROUP = 16
 EPOCHS, BATCH, RATE = 1, 4096, 0.2
 #: Levels of the tree down to a type; the one below parts the words of a bucket.
 FEATURES, LEVELS = 3, 3
@@ -250,11 +252,20 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
-ROUTED = "block long, base long, n int, rows binary, b binary, a binary, word binary"
+def grouped(blocks: int, partitions: int) -> int:
+    """Blocks that travel together: enough groups for partitions of like size."""
+    return max(1, min(GROUP, blocks // (4 * partitions)))
 
 
-def routed(codes: DataFrame, lex) -> DataFrame:
-    """The positions of each slice of documents, by block.  lex: a broadcast Lexicon."""
+ROUTED = "part int, base long, n int, sizes binary, rows binary, b binary, a binary, word binary"
+
+
+def routed(codes: DataFrame, lex, group: int = 1) -> DataFrame:
+    """The positions of each slice of documents, by so many blocks in a row; sizes: positions of each.
+
+    Every slice has positions for nearly every block, so there are as many pieces as slices times groups: single
+    blocks would be too small to be worth a row each.  lex: a broadcast Lexicon.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lex.value
@@ -272,11 +283,13 @@ def routed(codes: DataFrame, lex) -> DataFrame:
                 base = int(row.min())
                 order = np.argsort(block.astype(np.uint16) if lexicon.blocks <= 1 << 16 else block, kind="stable")  # of 16 bits, in one pass
                 block, row, b, a, number = block[order], row[order] - base, b[order], a[order], lexicon.numbers(words)[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+                part = block // group
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                sizes = [np.bincount(block[s:e] % group, minlength=group).astype("<u4").tobytes() for s, e in parts]
                 yield pa.record_batch(
                     [
-                        pa.array(block[cuts[:-1]]), pa.array(np.full(len(parts), base)), pa.array(np.diff(cuts).astype(np.int32)),
+                        pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(parts), base)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(sizes, pa.binary()),
                         *(pa.array([pack(x[s:e]) for s, e in parts], pa.binary()) for x in (row, b, a, number)),
                     ],
                     names=[c.split()[0] for c in ROUTED.split(", ")],
@@ -422,9 +435,15 @@ SUMS = 1 << 21
 def block_scores(routes: DataFrame, lex) -> DataFrame:
     """(row, logprob): sums over the positions of a document that a task has seen."""
 
-    def solve(held: list[dict], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-        row, b, a, number = (np.concatenate([unpacked(h[c], h["n"]) + (h["base"] if c == "rows" else 0) for h in held]) for c in ("rows", "b", "a", "word"))
-        return row, Block(lexicon, b, a, number).logprobs()
+    def solve(held: list[dict], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.cumsum([np.frombuffer(h["sizes"], "<u4") for h in held], axis=1, dtype=np.int64)
+        whole = {c: [unpacked(h[c], h["n"]) for h in held] for c in ("rows", "b", "a", "word")}
+        for k in range(cuts.shape[1]):
+            spans = [slice(x[k - 1] if k else 0, x[k]) for x in cuts]
+            if any(s.stop > s.start for s in spans):
+                row = np.concatenate([x[s] + h["base"] for x, s, h in zip(whole["rows"], spans, held)])
+                b, a, number = (np.concatenate([x[s] for x, s in zip(whole[c], spans)]) for c in ("b", "a", "word"))
+                yield row, Block(lexicon, b, a, number).logprobs()
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         row, logprob = (np.concatenate(x) for x in zip(*parts))
@@ -436,8 +455,8 @@ def block_scores(routes: DataFrame, lex) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         pieces = chain.from_iterable(batch.to_pylist() for batch in batches)
         for piece in chain(pieces, [None]):
-            if held and (piece is None or held[0]["block"] != piece["block"]):
-                parts.append(solve(held, lex.value))
+            if held and (piece is None or held[0]["part"] != piece["part"]):
+                parts += solve(held, lex.value)
                 held = []
                 if piece is None or sum(len(p[0]) for p in parts) > SUMS:
                     yield summed(parts)
@@ -445,7 +464,7 @@ def block_scores(routes: DataFrame, lex) -> DataFrame:
             held.append(piece)
 
     n = int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return routes.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "row long, logprob double")
+    return routes.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part").mapInArrow(run, "row long, logprob double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -457,6 +476,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     if lex is None:
         return rows.select("doc_id", "n_words", F.lit(None).cast("double").alias("logprob"), F.lit(None).cast("double").alias("perplexity"))
     given = spark.sparkContext.broadcast(lex)
-    sums = block_scores(routed(table, given), given).groupBy("row").agg(F.sum("logprob").alias("logprob"))
+    group = grouped(lex.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = block_scores(routed(table, given, group), given).groupBy("row").agg(F.sum("logprob").alias("logprob"))
     mean = F.col("logprob") / F.col("n_words")
     return rows.join(sums, "row", "left").select("doc_id", "n_words", F.round("logprob", 6).alias("logprob"), F.round(F.exp(-mean), 6).alias("perplexity"))

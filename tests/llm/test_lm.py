@@ -180,6 +180,18 @@ def test_frequent_words_have_blocks_of_bounded_size():
     assert lex.blocks == 20 and sizes.max() < 4 * 2000
 
 
+def test_blocks_travel_in_groups(spark, make):
+    """As single blocks there were as many pieces as slices times blocks; the sums are the same."""
+    texts = corpus(100, 5)
+    lex = lexicon(texts, 50)
+    given = spark.sparkContext.broadcast(lex)
+    table = lm.coded(make(texts).coalesce(1), "doc_id", "text")
+    assert lm.grouped(24_000, 200) == lm.GROUP and lm.grouped(2044, 51) == 10 and lm.grouped(1, 12) == 1
+    one, many = ({r["row"]: r["s"] for r in lm.block_scores(lm.routed(table, given, g), given).groupBy("row").agg({"logprob": "sum"}).toDF("row", "s").collect()} for g in (1, 7))
+    assert lex.blocks == 120 and lm.routed(table, given, 7).count() == 18
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], abs=1e-9) for k in one)
+
+
 def test_tables(spark, awkward, none, make):
     rows = lm.score(awkward).collect()
     assert len(rows) == len(AWKWARD)
