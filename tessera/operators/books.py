@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import slug
-from tessera.operators.chunking import count_tokens
+from tessera.operators.chunking import count_tokens, map_rows
 
 PASSAGE_TOKENS, OVERLAP_TOKENS = 500, 50
 #: Books with a fixed id: a part of the title, and the id.
@@ -72,18 +71,13 @@ def passages_of(content: str | None, limit: int = PASSAGE_TOKENS, overlap: int =
 def chunk_chapters(chapters: DataFrame, limit: int = PASSAGE_TOKENS) -> DataFrame:
     """chapters (book_id, chapter_order, chapter_title, content) to passages, numbered over the whole book from 0."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [
-                (b, o, t, i, *p)
-                for b, o, t, c in zip(pdf.book_id, pdf.chapter_order, pdf.chapter_title, pdf.content)
-                for i, p in enumerate(passages_of(c, limit))
-            ]
-            yield pd.DataFrame(rows, columns=["book_id", "chapter_order", "chapter_title", "pos", "chunk_text", "section", "token_count"])
+    def rows(book, order, title: str, content: str | None) -> Iterator[tuple]:
+        return ((book, order, title, i, *p) for i, p in enumerate(passages_of(content, limit)))
 
     types = {f.name: f.dataType.simpleString() for f in chapters.schema}
     schema = f"book_id {types['book_id']}, chapter_order {types['chapter_order']}, chapter_title string, pos int, chunk_text string, section string, token_count long"
-    split = chapters.select("book_id", "chapter_order", "chapter_title", "content").mapInPandas(run, schema)
+    split = chapters.select("book_id", "chapter_order", "chapter_title", "content")
+    split = map_rows(split, rows, schema)
     index = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_order", "pos")) - 1
     return split.withColumn("chunk_index", index).drop("pos")
 
