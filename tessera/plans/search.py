@@ -130,7 +130,7 @@ def assembled(steps: DataFrame, chunks: DataFrame, files: DataFrame, *, settings
     if settings.cross_file_assembly_enabled and project:
         budget = resolve_budget(max_tokens, settings)
         refs = references.chunk_refs(taken)
-        more = references.cross_file(refs, chunks.drop("project_id"), files, project, budget, settings.cross_file_max_chunks, settings.cross_file_budget_threshold)
+        more = references.cross_file(refs, chunks.drop("project_id"), files, project, budget, settings.cross_file_max_chunks, settings.cross_file_budget_threshold, max_results=settings.rerank_top_k_output)
         more = more.withColumn("imports", imports).withColumn("pos", F.lit(1_000_000) + F.col("nth"))
         out = out.unionByName(more.select(*columns, "pos"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")

@@ -3,7 +3,7 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessera.operators import controls, folds
+from tessera.operators import controls, folds, references
 
 SCHEMA = "query_id int, pos int, filepath string, chunk_type string, start_line int, end_line int, chunk_text string, score double, token_count long"
 ROW = st.tuples(
@@ -142,3 +142,27 @@ def test_fallback_and_no_cap(spark):
     df = frame(spark, [[("/a", "file", 1, 5, "t", s, 10) for s in (0.1, 0.3, 0.2, 0.05)]])
     assert keep(controls.relative_threshold(df)) == [(0, 0), (0, 1), (0, 2)]
     assert len(keep(controls.file_chunk_cap(df, None))) == 4 and keep(controls.file_chunk_cap(df, -1)) == []
+
+
+def test_cross_file_joins_bounded_declarations(spark):
+    """Every declaration of a name was joined with every query that asks for it."""
+    import random
+
+    r = random.Random(1)
+    chunks = [(i, f"/p/f{r.randrange(60)}.py", "declaration", f"S{r.randrange(3)}", r.randrange(20, 2000)) for i in range(900)]
+    results = [(q, f"/p/f{r.randrange(12)}.py", None, 100, ["S0", "S1"]) for q in range(20) for _ in range(3)]
+    c = spark.createDataFrame(chunks, "chunk_id long, filepath string, chunk_type string, symbol_name string, token_count long")
+    f = spark.createDataFrame([(f"/p/f{i}.py", "p") for i in range(60)], "filepath string, project_id string")
+    res = spark.createDataFrame(results, "query_id long, filepath string, symbol_name string, token_count long, refs array<string>")
+    want = set()
+    for q in range(20):
+        shown, room = {x[1] for x in results if x[0] == q}, 8000 - 450
+        for x in sorted((x for x in chunks if x[3] in ("S0", "S1") and x[1] not in shown), key=lambda x: (x[4], x[0]))[:3]:
+            room -= x[4] + 50
+            if room < 0:
+                break
+            want.add((q, x[0]))
+    for most in (3, None):
+        out = references.cross_file(res, c, f, "p", max_results=most)
+        assert {(x["query_id"], x["chunk_id"]) for x in out.collect()} == want
+    assert "WindowGroupLimit [symbol_name" in out._jdf.queryExecution().executedPlan().toString()
